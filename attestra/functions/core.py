@@ -49,4 +49,6 @@ def blank_to_null(text: Column) -> Column:
 
 
 def literal_map(table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    """A constant map built from one string literal, so that large tables keep plans small."""
+    packed = "\u0002".join(f"{key}\u0003{value}" for key, value in table.items())
+    return F.str_to_map(F.lit(packed), F.lit("\u0002"), F.lit("\u0003"))

@@ -32,10 +32,11 @@ _UNIT_FOLDS = _fold_table([(0x3300, 0x33FF)])
 def _fold(text: Column, table: dict[str, str], guard: str) -> Column:
     """Replace listed characters by their (possibly longer) form; untouched rows skip the work."""
     lookup = literal_map(table)
-    folded = F.array_join(
-        F.transform(F.split(text, ""), lambda ch: F.coalesce(F.try_element_at(lookup, ch), ch)), ""
-    )
-    return F.when(text.rlike(guard), folded).otherwise(text)
+
+    def spell(value: Column) -> Column:
+        folded = F.array_join(F.transform(F.split(value, ""), lambda ch: F.coalesce(F.try_element_at(lookup, ch), ch)), "")
+        return F.when(value.rlike(guard), folded).otherwise(value)
+    return let(text, spell)
 
 
 def clean(text: Column) -> Column:

@@ -11,6 +11,11 @@ from ..operators import judgement as J
 from .records import KEYS, REC_SQL, records
 from .registry import query
 
+
+def _lines(t):
+    return t.wide("lineitem", *KEYS, "l_quantity")
+
+
 _UNIT_SQL = """CASE WHEN n = 4 THEN 'IU/mL' WHEN n = 3 THEN 'scalar'
   WHEN l_linenumber = 4 THEN 'cells/mL' WHEN l_linenumber = 5 THEN 'μg/mL' ELSE 'mg' END"""
 _VALUE_SQL = "CAST(CASE WHEN l_linenumber = 4 AND n <> 4 THEN q * 1000 ELSE q END AS DOUBLE)"
@@ -82,7 +87,7 @@ def judge_limit(t):
     def limit(value, form):
         return (F.when(form == 0, F.concat(value, F.lit(" EU/mL 미만"))).when(form == 1, F.concat(F.lit("≤"), value, F.lit("EU/mL")))
                 .when(form == 2, F.concat(F.lit("> "), value, F.lit(" EU/mL"))).otherwise(F.concat(value, F.lit(" EU/mL 이상"))))
-    base = t.lineitem.select(*KEYS, limit((F.col("l_partkey") % 50) + 1, F.col("l_linenumber") % 4).alias("criteria"),
+    base = _lines(t).select(*KEYS, limit((F.col("l_partkey") % 50) + 1, F.col("l_linenumber") % 4).alias("criteria"),
                              limit(F.col("l_quantity").cast("bigint"), F.col("l_suppkey") % 4).alias("result"))
     parsed = base.withColumns({"crit": criterion(F.col("criteria")), "res": criterion(F.col("result"))})
     return parsed.select(*KEYS, V.limit_expression(F.col("crit"), F.col("res"))["status"].alias("status"))
@@ -96,7 +101,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
          OR LEAST(ABS(o1 - e2), ABS(o2 - e2)) / CAST(e2 AS DOUBLE) > 0.1 THEN 'FAIL' ELSE 'PASS' END AS status FROM b""")
 def judge_nearest_band(t):
     q = F.col("l_quantity").cast("bigint") * 100
-    base = t.lineitem.select(*KEYS, F.concat(q, F.lit(" bp, "), F.format_number(q + 5000, 0), F.lit("bp의 밴드")).alias("criteria"),
+    base = _lines(t).select(*KEYS, F.concat(q, F.lit(" bp, "), F.format_number(q + 5000, 0), F.lit("bp의 밴드")).alias("criteria"),
                              F.concat(F.format_number((F.col("l_partkey") % 50 + 1) * 100, 0), F.lit(" bp / "),
                                       (F.col("l_suppkey") % 60) * 100 + 4500, F.lit(" BP")).alias("result"))
     return base.select(*KEYS, V.nearest_band(F.col("criteria"), F.col("result"))["status"].alias("status"))
@@ -109,7 +114,7 @@ def judge_quantification(t):
     n = F.col("l_suppkey") % 4
     result = (F.when(n == 0, "정량한계 미만").when(n == 1, "검출되지 않음").when(n == 2, "LOQ 이상")
               .otherwise(F.concat(F.col("l_quantity").cast("int"), F.lit(" pg/mL"))))
-    base = t.lineitem.select(*KEYS, F.lit("정량한계(LOQ) 미만").alias("criteria"), result.alias("result"))
+    base = _lines(t).select(*KEYS, F.lit("정량한계(LOQ) 미만").alias("criteria"), result.alias("result"))
     return base.select(*KEYS, V.below_quantification(F.col("criteria"), F.col("result"))["status"].alias("status"))
 
 
@@ -126,7 +131,7 @@ def judge_min_count(t):
     rows = F.concat(F.lit("E1A: "), q, F.lit(" pg/μL, E1B: "), second, F.lit(" "), q, F.lit(" pg / μL; "))
     third = (F.when(f == 7, F.lit("")).when(f == 5, F.concat(F.lit("hTERT: "), q * 2, F.lit(" ng/μL")))
              .otherwise(F.concat(F.lit("hTERT: "), q * 2, F.lit(".0 pg/µL"))))
-    base = t.lineitem.select(*KEYS, F.concat(F.lit("E1A, E1B, hTERT 유전자 중 "), F.col("l_suppkey") % 3 + 1,
+    base = _lines(t).select(*KEYS, F.concat(F.lit("E1A, E1B, hTERT 유전자 중 "), F.col("l_suppkey") % 3 + 1,
                                              F.lit("종 이상 정량한계(25 pg/μL) 미만")).alias("criteria"),
                              F.concat(rows, third).alias("result"))
     return base.select(*KEYS, V.minimum_count(F.col("criteria"), F.col("result"))["status"].alias("status"))
@@ -144,7 +149,7 @@ def judge_labelled(t):
     protein = F.concat(F.lit("단백질: "), p, F.lit(" %"))
     result = (F.when(f == 6, dna).when(f == 7, F.concat(dna, F.lit("; "), dna, F.lit("; "), protein))
               .when(f % 2 == 0, F.concat(protein, F.lit("\n"), dna)).otherwise(F.concat(dna, F.lit(", "), protein)))
-    base = t.lineitem.select(*KEYS, F.lit("잔류DNA: 30 ng/mL 이하, 단백질: 10 % 이상").alias("criteria"), result.alias("result"))
+    base = _lines(t).select(*KEYS, F.lit("잔류DNA: 30 ng/mL 이하, 단백질: 10 % 이상").alias("criteria"), result.alias("result"))
     return base.select(*KEYS, V.labelled(F.col("criteria"), F.col("result"), ["잔류 DNA", "단백질"])["status"].alias("status"))
 
 
@@ -157,7 +162,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
 def judge_multi(t):
     q, p, f = F.col("l_quantity").cast("bigint"), F.col("l_partkey") % 50, F.col("l_linenumber")
     result = F.when(f == 7, F.concat(q, F.lit(" mg"))).otherwise(F.concat(q, F.lit(" mg, "), p, F.lit(" nm")))
-    base = t.lineitem.select(*KEYS, F.lit("40 mg 이하, 5 ~ 30 nm").alias("criteria"), result.alias("result"))
+    base = _lines(t).select(*KEYS, F.lit("40 mg 이하, 5 ~ 30 nm").alias("criteria"), result.alias("result"))
     return base.select(*KEYS, V.several_requirements(F.col("criteria"), F.col("result"))["status"].alias("status"),
                        F.size(V.numeric_results(F.col("result"))).alias("results"))
 
@@ -170,7 +175,7 @@ def judge_unit_veto(t):
     q, f = F.col("l_quantity").cast("bigint"), F.col("l_linenumber")
     result = (F.when(f == 6, F.concat(q, F.lit(" nm"))).when(f == 7, F.concat(q, F.lit(" mg, "), q + 1, F.lit(" mg")))
               .otherwise(F.concat(F.lit("37 nm, "), q, F.lit(" mg"))))
-    base = t.lineitem.select(*KEYS, F.lit("함량은 40 mg 이하").alias("criteria"), result.alias("result"))
+    base = _lines(t).select(*KEYS, F.lit("함량은 40 mg 이하").alias("criteria"), result.alias("result"))
     return base.select(*KEYS, V.unit_matched(F.col("criteria"), F.col("result"))["status"].alias("status"))
 
 
@@ -199,7 +204,7 @@ def judge_lexicon(t):
 
     def pick(i):
         return F.get(F.array(*[F.lit(p[i]) for p in _PHRASES]), n.cast("int"))
-    base = t.lineitem.select(*KEYS, pick(0).alias("criteria"), pick(1).alias("result"))
+    base = _lines(t).select(*KEYS, pick(0).alias("criteria"), pick(1).alias("result"))
     return base.select(*KEYS, lexicon.semantic(F.col("criteria"), F.col("result"))["status"].alias("status"))
 
 
@@ -220,7 +225,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE
 def judge_methods(t):
     q, w, k = F.col("l_quantity").cast("int"), F.col("l_suppkey") % 3, F.col("l_partkey") % 8
     name = F.get(F.array(*[F.lit(x) for x in _METHOD_NAMES]), k.cast("int"))
-    wording = F.when(w == 0, "균의 발육이 인정되지 않음").when(w == 1, "A 불검출, B 검출").otherwise("결과 참조")
+    wording = F.when(w == 0, "균이 검출되지 않음").when(w == 1, "A 불검출, B 검출").otherwise("결과 참조")
     hundredth = F.concat(F.lit("0."), F.lpad(q.cast("string"), 2, "0"))
     result = (F.when(k < 3, wording).when(k == 3, F.concat(F.lit("합계 "), F.floor(q / 10), F.lit("."), q % 10, F.lit(" °C")))
               .when(k.isin(4, 5), hundredth)
@@ -228,7 +233,7 @@ def judge_methods(t):
     criteria = F.when(k == 6, F.when(w == 0, "■ 100 mL 미만").otherwise("☑ 100 mL 이상")).otherwise("")
     start = F.to_date(F.lit("2024-01-01"))
     period = F.concat(F.date_format(start, "yyyy.MM.dd"), F.lit(" ~ "), F.date_format(F.date_add(start, q - 1), "yyyy-M-d"))
-    base = t.lineitem.select(*KEYS, name.alias("test_name"), F.when((k == 2) & (w == 2), "증균 배양법").otherwise("").alias("method"),
+    base = _lines(t).select(*KEYS, name.alias("test_name"), F.when((k == 2) & (w == 2), "증균 배양법").otherwise("").alias("method"),
                              criteria.alias("criteria"), result.alias("result"), F.when(k < 3, period).otherwise("").alias("test_period"))
     text = F.concat_ws("\n", "test_name", "method", "criteria", "result")
     v = methods.method_verdict(text, F.col("result"), F.col("criteria"), F.col("test_period"))
@@ -257,6 +262,6 @@ def judge_cascade(t):
     k = (F.col("l_partkey") % len(_CASCADE)).cast("int")
     q = F.col("l_quantity").cast("int").cast("string")
     result = F.replace(F.get(F.array(*[F.lit(c[1]) for c in _CASCADE]), k), F.lit("{q}"), q)
-    base = t.lineitem.select(*KEYS, F.get(F.array(*[F.lit(c[0]) for c in _CASCADE]), k).alias("criteria"), result.alias("result"))
+    base = _lines(t).select(*KEYS, F.get(F.array(*[F.lit(c[0]) for c in _CASCADE]), k).alias("criteria"), result.alias("result"))
     judged = J.judge_records(J.parse_records(base))
     return judged.select(*KEYS, "verdict.status", "verdict.comparator")

@@ -29,8 +29,8 @@ def by_line(*texts) -> F.col:
 def records(t: Tables) -> DataFrame:
     """doc = order, record = line: criterion from the part size, result from the quantity in five notations."""
     base = (
-        t.lineitem.select(*KEYS, F.col("l_quantity").cast("bigint").alias("q"), "l_shipdate", "l_returnflag",
-                          "l_linestatus", "l_extendedprice")
+        t.wide("lineitem", *KEYS, F.col("l_quantity").cast("bigint").alias("q"), "l_shipdate", "l_returnflag",
+               "l_linestatus", "l_extendedprice")
         .join(t.part.select("p_partkey", F.col("p_size").alias("s")), F.col("l_partkey") == F.col("p_partkey"))
         .withColumn("n", F.col("l_suppkey") % 5)
     )

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import widen
+
 QUERIES: dict[str, "Query"] = {}
 
 
@@ -27,6 +29,10 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}.parquet"
 
+    def wide(self, name: str, *columns) -> DataFrame:
+        """Selected columns of a table, spread for CPU-heavy row work."""
+        return widen(getattr(self, name).select(*columns))
+
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
