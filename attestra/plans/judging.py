@@ -229,7 +229,7 @@ def judge_methods(t):
     hundredth = F.concat(F.lit("0."), F.lpad(q.cast("string"), 2, "0"))
     result = (F.when(k < 3, wording).when(k == 3, F.concat(F.lit("합계 "), F.floor(q / 10), F.lit("."), q % 10, F.lit(" °C")))
               .when(k.isin(4, 5), hundredth)
-              .when(k == 6, F.concat(F.lit("10 ㎛ 이상 "), q, F.lit(" EA/mL, 25 um 이상: "), q % 7, F.lit(" EA/mL"))).otherwise("적합"))
+              .when(k == 6, F.concat(F.lit("10 ㎛ 이상 "), q, F.lit(" EA/mL\n두 번째 크기의 입자에 대하여 따로 센 값은 25 um 이상: "), q % 7, F.lit(" EA/mL"))).otherwise("적합"))
     criteria = F.when(k == 6, F.when(w == 0, "■ 100 mL 미만").otherwise("☑ 100 mL 이상")).otherwise("")
     start = F.to_date(F.lit("2024-01-01"))
     period = F.concat(F.date_format(start, "yyyy.MM.dd"), F.lit(" ~ "), F.date_format(F.date_add(start, q - 1), "yyyy-M-d"))
