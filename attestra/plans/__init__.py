@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["judging", "ruling", "texts", "permits", "matching"]
+MODULES = ["judging", "ruling", "texts", "permits", "matching", "scalars", "reporting", "intake"]
 
 
 def load() -> dict:
