@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -38,10 +39,8 @@ def sub(text: Column, pattern: str, replacement: str) -> Column:
 
 
 def contains_any(text: Column, markers: list[str]) -> Column:
-    out = F.lit(False)
-    for marker in markers:
-        out = out | text.contains(marker)
-    return out
+    """True when one of the literal markers occurs in the text."""
+    return text.rlike("|".join(re.escape(m) for m in markers)) if markers else F.lit(False)
 
 
 def blank_to_null(text: Column) -> Column:

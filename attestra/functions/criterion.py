@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .core import capture, find_all, let, sub
-from .measure import MEASUREMENT, NUMBER_AND_TAIL, measurement
+from .measure import MEASUREMENT, NUMBER_AND_TAIL, measure_text, measured
 from .text import clean
 
 CRITERION = f"struct<kind:string,op:string,threshold:{MEASUREMENT},lower:{MEASUREMENT},upper:{MEASUREMENT}>"
@@ -47,7 +47,7 @@ def _symbol_candidates(raw: Column) -> Column:
     pattern = r"(?s)(>=|<=|>|<)(?=(.*))"
     ops = find_all(raw, pattern, 1)
     return F.transform(find_all(raw, pattern, 2), lambda rest, i: let(
-        measurement(rest), lambda m: _candidate(F.length(raw) - F.length(rest), 1, F.get(ops, i), m)))
+        measured(rest), lambda m: _candidate(F.length(raw) - F.length(rest), 1, F.get(ops, i), m)))
 
 
 def _word_candidates(raw: Column) -> Column:
@@ -60,8 +60,8 @@ def _word_candidates(raw: Column) -> Column:
               .when(word == "이상", F.lit(">=")).otherwise(F.lit(">")))
         end = F.length(raw) - F.length(rest)
         before = F.try_element_at(find_all(F.substr(raw, F.lit(1), end - 2), NUMBER_AND_TAIL), F.lit(-1))
-        return F.array(let(measurement(before), lambda m: _candidate(end, 1, op, m)),
-                       let(measurement(rest), lambda m: _candidate(end, 0, op, m)))
+        return F.array(let(measured(before), lambda m: _candidate(end, 1, op, m)),
+                       let(measured(rest), lambda m: _candidate(end, 0, op, m)))
     return F.flatten(F.transform(find_all(raw, pattern, 2), both_sides))
 
 
@@ -76,8 +76,8 @@ def criterion(text: Column) -> Column:
 
     def as_range(parts: Column) -> Column:
         unit = F.coalesce(F.nullif(F.get(parts, F.lit(4)), F.lit("")), F.get(parts, F.lit(2)))
-        return _struct("range", none, none, measurement(F.concat_ws(" ", F.get(parts, F.lit(1)), unit)),
-                       measurement(F.concat_ws(" ", F.get(parts, F.lit(3)), unit)))
+        return _struct("range", none, none, measured(F.concat_ws(" ", F.get(parts, F.lit(1)), unit)),
+                       measured(F.concat_ws(" ", F.get(parts, F.lit(3)), unit)))
 
     def as_compare(best: Column) -> Column:
         return _struct("compare", best["op"], best["m"], none, none)
@@ -86,9 +86,12 @@ def criterion(text: Column) -> Column:
         return (F.when(_quality(m) >= 0, _struct("exact", F.lit("=="), m, none, none))
                 .otherwise(_struct("unknown", none, none, none, none)))
 
+    def limits(raw: Column) -> Column:
+        return let(_best(_symbol_candidates(raw)), lambda s: F.when(s.isNotNull(), as_compare(s)).otherwise(
+            let(_best(_word_candidates(raw)), lambda w: F.when(w.isNotNull(), as_compare(w)).otherwise(
+                let(measured(raw), as_exact)))))
+
     def parse(raw: Column) -> Column:
         return let(capture(raw, _RANGE, 4), lambda parts: F.when(parts.isNotNull(), as_range(parts)).otherwise(
-            let(_best(_symbol_candidates(raw)), lambda s: F.when(s.isNotNull(), as_compare(s)).otherwise(
-                let(_best(_word_candidates(raw)), lambda w: F.when(w.isNotNull(), as_compare(w)).otherwise(
-                    let(measurement(raw), as_exact)))))))
+            let(measure_text(raw), limits)))
     return let(criterion_text(text), parse)

@@ -43,7 +43,7 @@ def measure_text(text: Column) -> Column:
 
 
 def _unit_struct(value: Column, tail: Column) -> Column:
-    cut = sub(clean(tail), r"(?s)\s*(?:이상|이하|초과|미만|이어야|하여야|함|일치|확인|무|음성|양성|불검출|검출)\b.*$", "")
+    cut = sub(tail, r"(?s)\s*(?:이상|이하|초과|미만|이어야|하여야|함|일치|확인|무|음성|양성|불검출|검출)\b.*$", "")
     edge = F.regexp_replace(cut, _EDGE, "")
 
     def with_edge(text: Column) -> Column:
@@ -62,12 +62,17 @@ def _unit_struct(value: Column, tail: Column) -> Column:
 
 def measurement(text: Column) -> Column:
     """First number of a text with its unit (null when the text holds no number)."""
+    return measured(measure_text(text))
+
+
+def measured(normal: Column) -> Column:
+    """`measurement` of a text that is in its normal form already."""
     def build(parts: Column) -> Column:
         base = F.replace(F.get(parts, F.lit(1)), F.lit(","), F.lit("")).try_cast("double")
         power = F.translate(F.get(parts, F.lit(2)), _SUPERSCRIPTS, "0123456789-+").try_cast("int")
         value = F.when(power.isNull(), base).otherwise(base * F.pow(F.lit(10.0), power))
         return F.when(base.isNotNull(), let(value, lambda v: _unit_struct(v, F.get(parts, F.lit(3)))))
-    return let(capture(measure_text(text), _MEASURE, 3), build)
+    return let(capture(normal, _MEASURE, 3), build)
 
 
 def comparable(a: Column, b: Column) -> Column:

@@ -103,9 +103,8 @@ def phase_edges(nodes: DataFrame) -> DataFrame:
     free_dst = dst.join(same.select("doc_id", "phase", "dst").distinct(), ["doc_id", "phase", "dst"], "left_anti")
     counts = free_src.groupBy("doc_id", "phase").agg(F.count(F.lit(1)).alias("ns")).join(
         free_dst.groupBy("doc_id", "phase").agg(F.count(F.lit(1)).alias("nd")), ["doc_id", "phase"], "left").na.fill(0, ["nd"])
-    order = Window.partitionBy("doc_id", "phase")
-    numbered_src = free_src.withColumn("i", F.row_number().over(order.orderBy("sp"))).join(counts, ["doc_id", "phase"])
-    numbered_dst = free_dst.withColumn("i", F.row_number().over(order.orderBy("dp")))
+    numbered_src = row_numbers(free_src.withColumn("block", block_of(F.col("sp"))), ["doc_id", "phase"], "block", ["sp"], "i").drop("block").join(counts, ["doc_id", "phase"])
+    numbered_dst = row_numbers(free_dst.withColumn("block", block_of(F.col("dp"))), ["doc_id", "phase"], "block", ["dp"], "i").drop("block")
     pairwise = numbered_src.where("ns = nd").join(numbered_dst, ["doc_id", "phase", "i"]).select("doc_id", "phase", "src", "dst")
     every = numbered_src.where("nd > 0 and ns <> nd").join(free_dst, ["doc_id", "phase"]).select("doc_id", "phase", "src", "dst")
     closed = numbered_src.where("nd = 0").join(dst.drop("prefix"), ["doc_id", "phase"]).select("doc_id", "phase", "src", "dst")
@@ -144,7 +143,8 @@ def layout_edges(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """
     # every branch below reads the rows, so they are computed once
     placed = cut_lineage(layout_rows(nodes, keys))
-    ranked = placed.withColumn("i", F.row_number().over(Window.partitionBy(*keys, "layer").orderBy("x", "node_id")))
+    across = placed.withColumn("block", F.floor(F.col("x") / 1024).cast("bigint"))
+    ranked = row_numbers(across, [*keys, "layer"], "block", ["x", "node_id"], "i").drop("block")
     sizes = placed.groupBy(*keys, "layer").agg(F.count(F.lit(1)).alias("n"), (F.min("name") == F.max("name")).alias("one_name"))
     up = ranked.join(sizes, [*keys, "layer"]).select(*keys, F.col("layer").alias("step"), F.col("node_id").alias("src"), F.col("x").alias("sx"), F.col("i"), F.col("n").alias("ns"))
     down = ranked.join(sizes, [*keys, "layer"]).select(*keys, (F.col("layer") - 1).alias("step"), F.col("node_id").alias("dst"), F.col("x").alias("dx"), F.col("i"), F.col("n").alias("nd"), F.col("one_name"))

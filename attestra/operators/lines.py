@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.core import let, literal_map, matches, sub
 from ..functions.fields import key_value
-from .ordered import block_of, neighbour, running_last, running_sum
+from ..session import cut_lineage
+from .ordered import block_of, neighbour, row_numbers, running_last, running_lasts, running_sum
 
 # Field labels of a test block and the field each one fills.
 LABELS = {
@@ -72,19 +73,19 @@ def join_broken_names(lines: DataFrame, keys: list[str], order: str) -> DataFram
     """A line completed by a following bare ending takes it over; the ending line disappears.
 
     In a run of consecutive candidates only every second one starts a join, because the line that was
-    taken over cannot start another.
+    taken over cannot start another. Only the few candidate lines take part in that bookkeeping.
     """
-    ahead = neighbour(lines, keys, "block", [order], F.col("line"), "_next", following=True)
-    joined = F.concat("line", F.col("_next"))
-    candidate = F.coalesce(F.col("_next").isin(NAME_ENDINGS) & is_test_name(joined), F.lit(False))
-    numbered = ahead.withColumns({"_candidate": candidate, "_one": F.lit(1)})
-    counted = running_sum(numbered, keys, "block", [order], F.col("_one"), "_n")
-    marked = running_last(counted, keys, "block", [order], F.when(~F.col("_candidate"), F.col("_n")), "_last_plain")
-    starts = F.col("_candidate") & ((F.col("_n") - F.coalesce("_last_plain", F.lit(0))) % 2 == 1)
-    flagged = neighbour(marked.withColumn("_starts", starts), keys, "block", [order], F.col("_starts"), "_taken")
-    return (flagged.where(~F.coalesce("_taken", F.lit(False)))
-            .withColumn("line", F.when(F.col("_starts"), F.concat("line", "_next")).otherwise(F.col("line")))
-            .drop("_next", "_candidate", "_one", "_n", "_last_plain", "_starts", "_taken"))
+    ahead = neighbour(lines, keys, "block", [order], F.struct(F.col("line").alias("line"), F.col(order).alias("pos")), "_next", following=True)
+    joined = F.concat("line", F.col("_next.line"))
+    found = ahead.where(F.col("_next.line").isin(NAME_ENDINGS) & is_test_name(joined))
+    candidates = cut_lineage(found.select(*keys, "block", order, F.col("_next.pos").alias("_end"), joined.alias("_joined")))
+    follows = candidates.select(*keys, F.col("_end").alias(order), F.lit(True).alias("_follows"))
+    numbered = row_numbers(candidates.join(follows, [*keys, order], "left"), keys, "block", [order], "_n")
+    runs = running_last(numbered, keys, "block", [order], F.when(F.col("_follows").isNull(), F.col("_n")), "_first")
+    starts = runs.where((F.col("_n") - F.col("_first")) % 2 == 0)
+    taken = starts.select(*keys, F.col("_end").alias(order))
+    kept = lines.join(taken, [*keys, order], "left_anti").join(starts.select(*keys, order, "_joined"), [*keys, order], "left")
+    return kept.withColumn("line", F.coalesce("_joined", "line")).drop("_joined")
 
 
 def classify(lines: DataFrame) -> DataFrame:
@@ -107,11 +108,10 @@ def section_paths(lines: DataFrame, keys: list[str], order: str, levels: int | N
     """
     if levels is None:
         levels = lines.agg(F.max("heading.depth")).first()[0] or 0
-    rows = lines
-    for k in range(1, levels + 1):
-        entry = F.struct(F.col(order).alias("pos"), F.col("heading.number").alias("number"), F.col("heading.title").alias("title"),
-                         F.col("heading.depth").alias("depth"))
-        rows = running_last(rows, keys, "block", [order], F.when(F.col("heading.depth") <= k, entry), f"_d{k}")
+    entry = F.struct(F.col(order).alias("pos"), F.col("heading.number").alias("number"), F.col("heading.title").alias("title"),
+                     F.col("heading.depth").alias("depth"))
+    open_at = {f"_d{k}": F.when(F.col("heading.depth") <= k, entry) for k in range(1, levels + 1)}
+    rows = running_lasts(lines, keys, "block", [order], open_at) if levels else lines
     stack = [F.when(F.col(f"_d{k}.depth") == k, F.col(f"_d{k}")) for k in range(1, levels + 1)]
     path = F.array_compact(F.array(*stack)) if stack else F.array()
     return rows.withColumn("path", path).drop(*[f"_d{k}" for k in range(1, levels + 1)])

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 BLOCK_ROWS = 4096
 
 
@@ -25,16 +27,33 @@ def _across(keys: list[str], block: str):
     return Window.partitionBy(*keys).orderBy(block)
 
 
+def range_blocks(df: DataFrame, keys: list[str], order: list[str], name: str = "block", parts: int | None = None) -> DataFrame:
+    """Blocks for orders without a dense position (event times): rows are range-partitioned by key and order.
+
+    The cut points are sampled, so a hot key is split into even parts however its rows are spread. The result
+    is stored in the shared folder, which fixes the block of every row even when executors are lost later.
+    """
+    count = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(count, *keys, *order)
+    return cut_lineage(ranged.withColumn(name, F.spark_partition_id().cast("bigint")))
+
+
 def running_last(df: DataFrame, keys: list[str], block: str, order: list[str], value: Column, name: str) -> DataFrame:
     """Latest non-null value at or before each row."""
-    rows = df.withColumn("_v", value)
-    tails = rows.groupBy(*keys, block).agg(
-        F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_tail"))
+    return running_lasts(df, keys, block, order, {name: value})
+
+
+def running_lasts(df: DataFrame, keys: list[str], block: str, order: list[str], values: dict[str, Column]) -> DataFrame:
+    """Several running values in one pass over the rows."""
+    rows = df.withColumns({f"_v_{n}": v for n, v in values.items()})
+    tails = rows.groupBy(*keys, block).agg(*[
+        F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.struct(*order))).alias(f"_t_{n}") for n in values])
     before = _across(keys, block).rowsBetween(Window.unboundedPreceding, -1)
-    carried = tails.select(*keys, block, F.last("_tail", ignorenulls=True).over(before).alias("_carry"))
-    inner = F.last("_v", ignorenulls=True).over(_inside(keys, block, order))
-    return (rows.withColumn("_inner", inner).join(carried, [*keys, block])
-            .withColumn(name, F.coalesce("_inner", "_carry")).drop("_v", "_inner", "_carry"))
+    carried = tails.select(*keys, block, *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in values])
+    window = _inside(keys, block, order)
+    inner = rows.withColumns({f"_i_{n}": F.last(f"_v_{n}", ignorenulls=True).over(window) for n in values})
+    out = inner.join(carried, [*keys, block]).withColumns({n: F.coalesce(f"_i_{n}", f"_c_{n}") for n in values})
+    return out.drop(*[f"_{k}_{n}" for n in values for k in "vic"])
 
 
 def running_sum(df: DataFrame, keys: list[str], block: str, order: list[str], value: Column, name: str) -> DataFrame:

@@ -145,11 +145,12 @@ def scope_leaves(t):
 @query("content_hash", "N14 P7", """
 WITH s AS (SELECT doc_id, STRING_SPLIT(REPLACE(text, CHR(13), CHR(10)), CHR(10)) AS ls FROM documents),
 l AS (SELECT doc_id, UNNEST(RANGE(LEN(ls))) AS i, UNNEST(ls) AS line FROM s),
-b AS (SELECT doc_id, i // 16 AS b, SHA256(STRING_AGG(line, CHR(10) ORDER BY i)) AS h FROM l GROUP BY ALL)
-SELECT doc_id, SHA256(STRING_AGG(h, CHR(10) ORDER BY b)) AS digest FROM b GROUP BY doc_id""")
+b AS (SELECT doc_id, i // 4 AS b, SHA256(STRING_AGG(line, CHR(10) ORDER BY i)) AS h FROM l GROUP BY ALL),
+c AS (SELECT doc_id, b // 4 AS c, SHA256(STRING_AGG(h, CHR(10) ORDER BY b)) AS h FROM b GROUP BY ALL)
+SELECT doc_id, SHA256(STRING_AGG(h, CHR(10) ORDER BY c)) AS digest FROM c GROUP BY doc_id""")
 def content_hash(t):
     rows = L.explode_lines(t.wide("documents", "doc_id", "text"), ["doc_id"])
-    return P.content_hash(rows, ["doc_id"], "line_no", F.col("raw"), size=16)
+    return P.content_hash(rows, ["doc_id"], "line_no", F.col("raw"), size=4)
 
 
 _PRESENCE_SQL = """g AS (SELECT o_orderkey AS doc_id, f AS test_key, b AS batch FROM (SELECT o_orderkey, o_custkey % 5 AS p FROM orders), (VALUES (1), (2), (3)) v(f),

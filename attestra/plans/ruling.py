@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import judgement as J
 from ..operators import outcome as O
 from ..operators import rules as R
-from ..operators.ordered import neighbour
+from ..operators.ordered import neighbour, range_blocks
 from ..operators.rules import Rule
 from .judging import JUDGED_SQL
 from .records import records
@@ -115,7 +115,7 @@ docs AS (SELECT DISTINCT user_id AS doc_id FROM events),
 checks AS (SELECT user_id AS doc_id, CASE WHEN f IS NULL THEN 'HOLD' WHEN event_id % 3 = 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM e)
 """ + OUTCOME_SQL)
 def rule_elapsed(t):
-    events = t.events.select(F.col("user_id").alias("doc_id"), "event_id", "ts").withColumn("blk", F.date_trunc("day", "ts"))
+    events = range_blocks(t.events.select(F.col("user_id").alias("doc_id"), "event_id", "ts"), ["doc_id"], ["ts", "event_id"], "blk")
     steps = neighbour(events, ["doc_id"], "blk", ["ts", "event_id"], F.col("ts"), "next_ts", following=True)
     begin, finish_ts = (F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("ts", "next_ts"))
     span = F.unix_timestamp(finish_ts) - F.unix_timestamp(begin) + F.when(F.col("event_id") % 3 == 0, 90).otherwise(30)
