@@ -34,8 +34,7 @@ def quantity(text: Column) -> Column:
         number = F.regexp_replace(F.regexp_replace(plain.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
         unit = F.try_element_at(literal_map(_QUANTITY_UNITS), F.lower(F.get(parts, F.lit(2))))
         return F.when(plain.isNotNull(), F.struct(number.alias("number"), unit.alias("unit")))
-    whole = F.when(flat.rlike(rf"(?iU)^[0-9]+(?:\.[0-9]+)?\s*(?:{units})?$"), flat)
-    return let(capture(whole, rf"([0-9]+(?:\.[0-9]+)?)\s*((?i:{units}))?", 2), build)
+    return let(capture(flat, rf"^([0-9]+(?:\.[0-9]+)?)\s*((?i:{units}))?$", 2), build)
 
 
 def bp_sizes(text: Column) -> Column:

@@ -23,10 +23,11 @@ def severity_name(level: Column) -> Column:
 
 def parse_records(records: DataFrame) -> DataFrame:
     """Typed columns for criterion and result, computed once per record."""
+    limit_like = F.col("result").rlike("[<>≤≥＜＞]|이하|미만|이상|초과")
     return records.withColumns({
         "crit": criterion(F.col("criteria")),
         "res": measurement(F.col("result")),
-        "res_limit": criterion(F.col("result")),
+        "res_limit": F.when(limit_like, criterion(F.col("result"))),
     })
 
 
@@ -77,14 +78,11 @@ def worst_of(rows: DataFrame, keys: list[str], status: str = "status") -> DataFr
 
 
 def status_counts(rows: DataFrame, keys: list[str], status: str = "status") -> DataFrame:
-    """PASS/FAIL/HOLD counts per key with a totals row (all keys null)."""
-    counted = rows.groupBy(*keys).agg(*[
+    """PASS/FAIL/HOLD counts per key with a totals row (all keys null), in one pass over the rows."""
+    grouped = rows.groupingSets([[F.col(k) for k in keys], []], *[F.col(k) for k in keys])
+    return grouped.agg(*[
         F.count_if(F.col(status) == name).alias(name.lower()) for name in ("PASS", "FAIL", "HOLD")
     ], F.count(F.lit(1)).alias("total"))
-    measures = ["pass", "fail", "hold", "total"]
-    totals = counted.agg(*[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in measures])
-    blanks = [F.lit(None).cast(counted.schema[k].dataType).alias(k) for k in keys]
-    return counted.unionByName(totals.select(*blanks, *measures))
 
 
 def record_or_lot_counts(evaluations: DataFrame, lots: DataFrame, doc: str = "doc_id") -> DataFrame:

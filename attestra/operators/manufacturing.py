@@ -31,11 +31,10 @@ def lot_windows(lines: DataFrame, label: str, fields: list[str], reach: int = 8)
 
 def normal_value(field: Column, value: Column) -> Column:
     """Comparable form of a field value by its kind."""
-    q = C.quantity(value)
-    parts = D.date_parts(value)
-    date = F.concat_ws("-", parts["y"], parts["m"], parts["d"])
+    date = let(D.date_parts(value), lambda p: F.concat_ws("-", p["y"], p["m"], p["d"]))
+    amount = let(C.quantity(value), lambda q: F.concat_ws(" ", q["number"], q["unit"]))
     return (F.when(contains_any(field, ["번호", "로트"]), C.lot_code(value)).when(contains_any(field, ["년월일", "기간", "일자"]), date)
-            .when(contains_any(field, ["량", "수량"]), F.concat_ws(" ", q["number"], q["unit"])).otherwise(key(value)))
+            .when(contains_any(field, ["량", "수량"]), amount).otherwise(key(value)))
 
 
 def lot_agreement(occurrences: DataFrame) -> DataFrame:
@@ -47,7 +46,7 @@ def lot_agreement(occurrences: DataFrame) -> DataFrame:
 
 def compare_field(field: Column, summary: Column, document: Column) -> Column:
     """Equality by kind of field; a missing side fails. Dates compare on their shared precision."""
-    date = D.same_date(D.date_parts(summary), D.date_parts(document))
+    date = let(D.date_parts(summary), lambda a: let(D.date_parts(document), lambda b: D.same_date(a, b)))
     is_date = contains_any(field, ["년월일", "일자"])
     same = F.when(is_date, date).otherwise(normal_value(field, summary) == normal_value(field, document))
     blank = (F.coalesce(F.trim(summary), F.lit("")) == "") | (F.coalesce(F.trim(document), F.lit("")) == "")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import find_all, sub
 from ..functions.text import key
+from ..session import cut_lineage
 from .permits import containing_pairs
 
 # Weights of the two parts of the fused score.
@@ -74,7 +75,7 @@ def top_documents(queries: DataFrame, docs: DataFrame, k: int, common: DataFrame
     """
     hot_q = queries.join(common, "term", "left_semi")
     rare_q = queries.join(common, "term", "left_anti")
-    wanted = docs.join(queries.select("term").distinct(), "term", "left_semi")
+    wanted = cut_lineage(docs.join(queries.select("term").distinct(), "term", "left_semi"))
     hot_d = wanted.join(common, "term", "left_semi")
 
     def dot(q: DataFrame, d: DataFrame, name: str) -> DataFrame:
@@ -108,7 +109,8 @@ def search(corpus: DataFrame, questions: DataFrame, k: int, words: bool = True,
     for use, name, counts, weight in ((words, "w", word_counts, WORD_WEIGHT if chars else 1.0), (chars, "c", char_counts, CHAR_WEIGHT if words else 1.0)):
         if not use:
             continue
-        idf, vectors = weights(counts(corpus, "doc", "text"), "doc", documents)
+        # the postings are written once and read by every later step
+        idf, vectors = weights(cut_lineage(counts(corpus, "doc", "text")), "doc", documents)
         asked = unit_length(counts(questions, "query", "text").join(idf, "term"), "query")
         tag = F.concat(F.lit(name), "term").alias("term")
         d_parts.append(vectors.select("doc", tag, "w"))
