@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from ..functions import codes as C
 from ..functions import dates as D
@@ -136,7 +137,7 @@ def stage_terms(folded: Column) -> Column:
     return F.filter(F.array(*[F.lit(x) for x in STAGE_TERMS]), lambda w: folded.contains(w))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _block_ratio(a, b):
     """Share of letters in common matching blocks of two short names."""
     import difflib

@@ -11,7 +11,7 @@ from ..operators import inbox as I
 from ..operators import judgement as J
 from ..operators import lines as L
 from ..operators import reports as P
-from ..session import shared_folder
+from ..session import cut_lineage, shared_folder
 from ..sources import readers as S
 from ..sources import rulesets, writers
 from .judging import JUDGED_SQL
@@ -59,7 +59,7 @@ SELECT COALESCE(ac.stage, bc.stage) AS stage, COALESCE(ac.pass, 0) - COALESCE(bc
 def before_after(t):
     judged = J.judge_records(J.parse_records(records(t)))
     # one pass over the records; both summaries come from the same small counts
-    tally = judged.groupBy(F.col("l_suppkey").alias("stage"), (F.col("l_orderkey") % 2 == 0).alias("linked"), "verdict.status").agg(F.count(F.lit(1)).alias("n"))
+    tally = cut_lineage(judged.groupBy(F.col("l_suppkey").alias("stage"), (F.col("l_orderkey") % 2 == 0).alias("linked"), "verdict.status").agg(F.count(F.lit(1)).alias("n")))
 
     def summary(rows):
         return rows.groupBy("stage").agg(*[F.coalesce(F.sum(F.when(F.col("status") == s, F.col("n"))), F.lit(0)).alias(s.lower()) for s in ("PASS", "FAIL", "HOLD")], F.sum("n").alias("total"))
