@@ -141,3 +141,23 @@ def month_rows(text: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(
         F.regexp_extract(x, "(?U)" + pattern, 1).alias("lot"), F.regexp_extract(x, "(?U)" + pattern, 2).alias("date"),
         F.regexp_extract(x, "(?U)" + pattern, 3).alias("result")))
+
+
+def merge_split_rows(rows: DataFrame, doc: str, columns: list[str]) -> DataFrame:
+    """Material rows continued on the next page become one row; headers repeated there disappear.
+
+    A row continues the one above when its first cell and its amount (the last column) are empty; text cells are
+    joined with a blank, the lot (second to last column) without one. rows: doc, position and the columns.
+    """
+    from .ordered import block_of, running_sum
+    first, lot, amount = columns[0], columns[-2], columns[-1]
+    header = F.lit(True)
+    for c in columns:
+        header = header & (F.trim(c) == c)
+    body = rows.where(~header).withColumn("block", block_of(F.col("position")))
+    blank = {c: F.coalesce(F.trim(c), F.lit("")) == "" for c in columns}
+    continued = blank[first] & blank[amount] & ~(blank[columns[1]] & blank[lot])
+    opened = running_sum(body, [doc], "block", ["position"], F.when(continued, 0).otherwise(1), "row_no")
+    cells = {c: F.array_sort(F.collect_list(F.when(~blank[c], F.struct("position", F.trim(c).alias("v"))))) for c in columns}
+    return opened.where("row_no > 0").groupBy(doc, "row_no").agg(*[
+        F.array_join(F.transform(cells[c], lambda x: x["v"]), "" if c == lot else " ").alias(c) for c in columns])

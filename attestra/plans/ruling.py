@@ -8,6 +8,7 @@ from ..operators import judgement as J
 from ..operators import outcome as O
 from ..operators import rules as R
 from ..operators.ordered import neighbour, range_blocks
+from ..operators.review import record_guards, review, run_rules
 from ..operators.rules import Rule
 from .judging import JUDGED_SQL
 from .records import records
@@ -397,7 +398,7 @@ FROM e LEFT JOIN g USING (doc_id, f)""")
 def rule_guards(t):
     n = F.col("l_suppkey") % 3
     evaluations = lines(t).select("doc_id", "order_idx", F.when(n == 0, "PASS").when(n == 1, "HOLD").otherwise("FAIL").alias("status"))
-    lowered = O.apply_guards(evaluations, O.guards(_checks(t).where("rule_id = 'C.1'")))
+    lowered = O.apply_guards(evaluations, record_guards(_checks(t), _RULES))
     return lowered.select("doc_id", F.col("order_idx").cast("int").alias("order_idx"), "previous", "status", "changed")
 
 
@@ -443,3 +444,55 @@ def lot_worst_of(t):
     judged = J.judge_records(J.parse_records(records(t)))
     rows = judged.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("order_idx"), "verdict.status")
     return J.worst_of(rows, ["doc_id", "order_idx"])
+
+
+_REVIEW_RULES = [
+    Rule("A.4", "signature", {"type": "content"}, {"alias": "A"}),
+    Rule("B.4", "numeric_compare", {"type": "test"}, {"alias": "B"}),
+    Rule("C.1", "duration", {"type": "test"}, {"minimum_days": 14, "inclusive": True, "alias": "C"}),
+    Rule("C.7", "test_after_manufacture", {}, {"stages": [{"source": ["원액"], "target": ["완제"]}], "alias": "C"}, products=("P1", "P2")),
+    # this rule lacks its parameters: it must hold everywhere without stopping the others
+    Rule("C.9", "elapsed_time", {}, {"alias": "C"}),
+]
+_REVIEW_SQL = f"""{JUDGED_SQL}, {ORDERS_SQL},
+l AS (SELECT j.*, l_orderkey AS doc_id, l_linenumber AS f, CAST(l_shipdate AS DATE) + {SHIFT} AS shipped, COALESCE(numeric_status, 'HOLD') AS base FROM judged j),
+checks AS (SELECT doc_id, 'A.4' AS rule_id, CASE WHEN doc_id % 4 < 2 THEN 'PASS' ELSE 'FAIL' END AS status FROM o
+  UNION ALL SELECT doc_id, 'B.4', CASE WHEN n = 3 AND f < 6 THEN 'HOLD' ELSE base END FROM l
+  UNION ALL SELECT doc_id, 'C.1', CASE WHEN f = 7 THEN 'HOLD' WHEN q + 1 < 14 THEN 'FAIL' ELSE 'PASS' END FROM l
+  UNION ALL SELECT l.doc_id, 'C.7', CASE WHEN f = 7 THEN 'HOLD' WHEN shipped < made THEN 'FAIL' ELSE 'PASS' END FROM l JOIN o ON o.doc_id = l.doc_id),
+grid AS (SELECT doc_id, rule_id, rule_id <> 'C.7' OR o_custkey % 3 <> 0 AS applies FROM o, (VALUES ('A.4'), ('B.4'), ('C.1'), ('C.7'), ('C.9')) r(rule_id)),
+rolled AS (SELECT doc_id, rule_id, COUNT(*) FILTER (status = 'FAIL') AS v, COUNT(*) FILTER (status = 'HOLD') AS m, COUNT(*) AS c FROM checks GROUP BY ALL),
+findings AS (SELECT g.doc_id, g.rule_id, CASE WHEN NOT applies THEN 'N/A' WHEN COALESCE(v, 0) > 0 THEN 'FAIL' WHEN COALESCE(m, 0) > 0 OR c IS NULL THEN 'HOLD' ELSE 'PASS' END AS status,
+  g.rule_id = 'C.9' AS execution_error FROM grid g LEFT JOIN rolled r ON r.doc_id = g.doc_id AND r.rule_id = g.rule_id)"""
+
+
+def _review_inputs(t):
+    base = records(t)
+    shipped = F.date_add(F.to_date("l_shipdate"), SHIFT)
+    period = F.when(F.col("l_linenumber") == 7, "미정").otherwise(F.concat(dotted(shipped), F.lit(" ~ "), dotted(F.date_add(shipped, F.col("q").cast("int")))))
+    blank = F.lit("")
+    tests = base.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("double").alias("order_idx"), F.lit("test").alias("record_type"),
+                        F.lit("완제 시험").alias("section_title"), F.lit("함량").alias("test_name"), blank.alias("method"), "criteria", "result", period.alias("test_period"), blank.alias("content"))
+    signed = F.when(F.col("doc_id") % 4 < 2, "서명: 홍길동").otherwise("서명:")
+    content = orders(t).select("doc_id", F.lit(0.0).alias("order_idx"), "record_type", "section_title", "test_name", blank.alias("method"), blank.alias("criteria"), blank.alias("result"),
+                               blank.alias("test_period"), F.concat(F.lit("제조년월일: "), dotted("made"), F.lit("\n"), signed).alias("content"))
+    docs = t.orders.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("P"), F.col("o_custkey") % 3).alias("product"))
+    return docs, {"records": tests.unionByName(content)}
+
+
+@query("rule_run", "R34 R27 U1", f"WITH {_REVIEW_SQL} SELECT doc_id, rule_id, status, execution_error FROM findings")
+def rule_run(t):
+    docs, inputs = _review_inputs(t)
+    return run_rules(docs, inputs, _REVIEW_RULES)[1].select("doc_id", "rule_id", "status", "execution_error")
+
+
+@query("review_counts", "A1 G19 R28 R30 R31", f"""WITH {_REVIEW_SQL},
+g AS (SELECT doc_id, f, MAX(CASE WHEN base = 'FAIL' AND NOT (n = 3 AND f < 6) THEN 3 WHEN f <> 7 AND q + 1 < 14 THEN 3 WHEN f = 7 THEN 2 ELSE 0 END) AS guard FROM l GROUP BY ALL),
+e AS (SELECT l.doc_id, CASE GREATEST(CASE base WHEN 'FAIL' THEN 3 WHEN 'HOLD' THEN 2 ELSE 1 END, guard) WHEN 3 THEN 'FAIL' WHEN 2 THEN 'HOLD' ELSE 'PASS' END AS status
+  FROM l JOIN g ON g.doc_id = l.doc_id AND g.f = l.f),
+u AS (SELECT * FROM e UNION ALL SELECT doc_id, status FROM findings WHERE status <> 'N/A')
+SELECT doc_id, COUNT(*) FILTER (status = 'PASS') AS pass, COUNT(*) FILTER (status = 'FAIL') AS fail, COUNT(*) FILTER (status = 'HOLD') AS hold, COUNT(*) AS total
+FROM u GROUP BY ROLLUP (doc_id)""")
+def review_counts(t):
+    docs, inputs = _review_inputs(t)
+    return review(docs, inputs, _REVIEW_RULES)["counts"]

@@ -317,3 +317,19 @@ def control_fields(t):
                           F.when(k == 0, "양성대조군 기준: 150~200 μg/mL"))
     rows = t.wide("orders", "o_orderkey", "o_custkey").select(F.col("o_orderkey").alias("doc_id"), L.control_fields(remarks).alias("c"))
     return rows.select("doc_id", F.col("c.result").alias("control_result"), F.col("c.criteria").alias("control_criteria"))
+
+
+@query("split_rows", "T12", """
+SELECT o_custkey AS doc_id, 'M' || (o_orderkey % 20) AS material, CASE WHEN o_orderkey % 3 = 0 THEN 'part one part two' ELSE 'part one' END AS component,
+  'L' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN '-02' ELSE '-' END AS lot, (o_orderkey % 70) || ' mL' AS amount FROM orders""")
+def split_rows(t):
+    o, blank = F.col("o_orderkey"), F.lit("")
+
+    def row(k, *cells):
+        return F.struct(F.lit(k).alias("k"), *[c.alias(n) for n, c in zip(("material", "component", "lot", "amount"), cells)])
+    first = row(0, F.concat(F.lit("M"), o % 20), F.lit("part one"), F.concat(F.lit("L"), o, F.lit("-")), F.concat(o % 70, F.lit(" mL")))
+    header = row(1, *[F.lit(x) for x in ("material", "component", "lot", "amount")])
+    rest = F.when(o % 3 == 0, row(2, blank, F.lit("part two"), F.lit("02"), blank))
+    cells = t.wide("orders", "o_orderkey", "o_custkey").select(F.col("o_custkey").alias("doc_id"), o, F.explode(F.array_compact(F.array(first, header, rest))).alias("r"))
+    rows = cells.select("doc_id", (o * 4 + F.col("r.k")).alias("position"), "r.material", "r.component", "r.lot", "r.amount")
+    return B.merge_split_rows(rows, "doc_id", ["material", "component", "lot", "amount"]).drop("row_no")
