@@ -1,7 +1,7 @@
 """Incremental intake: ledgers that make repeated deliveries harmless, and the latest status per document.
 
 Every micro-batch writes its own folder and overwrites it when the batch is repeated after a failure, so a
-lost executor or a restarted query never counts a row twice. Ledgers never expire.
+lost executor or a restarted query never counts a row twice. Ledgers never expire; they hold keys, not contents.
 """
 
 from __future__ import annotations
@@ -44,28 +44,42 @@ def keep_new(stream: DataFrame, ledger: str, checkpoint: str, key: str = "key",
     return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def keep_latest(stream: DataFrame, folder: str, checkpoint: str, key: str = "doc_id", order: str = "updated_at"):
-    """Start a query that maintains the latest row per key as versioned folders with a pointer written last.
+def keep_latest(stream: DataFrame, folder: str, checkpoint: str, key: str = "doc_id", order: str = "updated_at", compact_every: int = 20):
+    """Start a query that maintains the latest row per key.
 
-    Readers follow the pointer, so they see a complete version or the previous one.
+    A batch writes only its own latest rows; every `compact_every` batches a full version is written. A folder
+    counts for readers only once it is complete, so they see whole batches in order.
     """
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        others = [c for c in batch.columns if c != key]
-        current = current_version(spark, folder, batch.schema, before=batch_id)
-        merged = batch if current is None else batch.unionByName(current)
-        latest = merged.groupBy(key).agg(F.max(F.struct(order, *[c for c in others if c != order])).alias("r"))
-        latest.select(key, *[F.col(f"r.{c}").alias(c) for c in others]).write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
-        spark.range(1).select(F.lit(batch_id).cast("bigint").alias("version")).coalesce(1).write.mode("overwrite").json(f"{folder}/_pointer/{batch_id}")
+        latest_rows(batch, key, order).write.mode("overwrite").parquet(f"{folder}/delta={batch_id}")
+        if batch_id and batch_id % compact_every == 0:
+            whole = current_version(spark, folder, batch.schema, key, order, upto=batch_id)
+            whole.write.mode("overwrite").parquet(f"{folder}/base={batch_id}")
     return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current_version(spark: SparkSession, folder: str, schema, before: int | None = None) -> DataFrame | None:
-    """The newest complete version (older than `before` while that batch is being written)."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_pointer")
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(target):
-        return None
-    done = [int(s.getPath().getName()) for s in fs.listStatus(target) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    done = [v for v in done if before is None or v < before]
-    return spark.read.schema(schema).parquet(f"{folder}/version={max(done)}") if done else None
+def latest_rows(rows: DataFrame, key: str, order: str) -> DataFrame:
+    others = [c for c in rows.columns if c not in (key, order)]
+    newest = rows.groupBy(key).agg(F.max(F.struct(order, *others)).alias("r"))
+    return newest.select(*[F.col(key) if c == key else F.col(f"r.{c}").alias(c) for c in rows.columns])
+
+
+def current_version(spark: SparkSession, folder: str, schema, key: str = "doc_id", order: str = "updated_at", upto: int | None = None) -> DataFrame:
+    """Latest row per key from the newest full version and the batches after it."""
+    bases, deltas = _complete(spark, folder, "base", upto), _complete(spark, folder, "delta", upto)
+    start = max((b for b in bases if upto is None or b < upto), default=-1)
+    paths = [f"{folder}/base={start}"] if start >= 0 else []
+    paths += [f"{folder}/delta={d}" for d in deltas if d > start]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return latest_rows(spark.read.schema(schema).parquet(*paths), key, order)
+
+
+def _complete(spark: SparkSession, folder: str, kind: str, upto: int | None) -> list[int]:
+    """Numbers of the finished folders of a kind."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    pattern = path(f"{folder}/{kind}=*/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    numbers = [int(s.getPath().getParent().getName().split("=")[1]) for s in found]
+    return sorted(n for n in numbers if upto is None or n <= upto)

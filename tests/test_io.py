@@ -103,10 +103,13 @@ def test_latest_status_over_batches(spark, folder):
 
     def run(name, rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in/{name}")
-        W.keep_latest(spark.readStream.schema(schema).parquet(f"{folder}/in/*"), f"{folder}/out", f"{folder}/cp").awaitTermination()
+        W.keep_latest(spark.readStream.schema(schema).parquet(f"{folder}/in/*"), f"{folder}/out", f"{folder}/cp", compact_every=2).awaitTermination()
         return {r["doc_id"]: r["status"] for r in W.current_version(spark, f"{folder}/out", spark.createDataFrame([], schema).schema).collect()}
     assert run("one", [("a", 1, "x"), ("a", 3, "y"), ("b", 1, "x")]) == {"a": "y", "b": "x"}
     assert run("two", [("a", 2, "late"), ("b", 5, "z"), ("c", 1, "new")]) == {"a": "y", "b": "z", "c": "new"}
+    # the third batch also writes a full version
+    assert run("three", [("c", 2, "newer")]) == {"a": "y", "b": "z", "c": "newer"}
+    assert run("four", [("a", 9, "last")]) == {"a": "last", "b": "z", "c": "newer"}
 
 
 def test_checked_key_depends_on_the_query(value):
