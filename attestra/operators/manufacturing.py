@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from ..functions import codes as C
 from ..functions import dates as D
-from ..functions.core import contains_any, find_all, let, sub
+from ..functions.core import contains_any, let, sub
 from ..functions.fields import field_value
 from ..functions.text import key
 from .judgement import severity, severity_name
-from .ordered import block_of, neighbour, running_last, running_sum
+from .ordered import block_of, neighbour, running_last
 from .permits import containing_pairs
 
 

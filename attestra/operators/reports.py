@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codes import fingerprint
-from ..functions.core import contains_any, literal_map, matches, sub
+from ..functions.codes import bp_sizes, fingerprint
+from ..functions.core import contains_any, matches, sub
+from ..functions.fields import numbers
 from ..functions.text import key
-from .judgement import severity, severity_name
+from ..functions.verdict import is_above, is_below, required_below_count
+from .ordered import running_last
 from .permits import containing_pairs
 
 COUNTS = ["pass", "fail", "hold", "total"]
@@ -142,7 +146,6 @@ def rule_catalogue(lines: DataFrame, keys: list[str], order: str) -> DataFrame:
 
     lines: keys, order, block, line.
     """
-    from .ordered import running_last
     title = F.when(F.col("line").startswith("#"), F.trim(sub(F.col("line"), r"^#+", "")))
     placed = running_last(lines, keys, "block", [order], title, "section").where(F.col("line").startswith("- "))
     flat = F.lower(sub(F.col("line"), r"\s+", ""))
@@ -158,8 +161,6 @@ def declarative_rules(records: DataFrame, rules: list[dict]) -> DataFrame:
     it decides by 'text_pass' (wording in the result), 'terms_confirmed' (all terms in the result),
     'bp_contains_all' (all sizes present) or 'numeric_min_or_text' (a number at or above a minimum, else wording).
     """
-    from ..functions.codes import bp_sizes
-    from ..functions.fields import numbers
     flat_result = key(F.col("result"))
     decided = F.lit(None).cast("struct<rule_id:string,status:string>")
     for rule in reversed(rules):
@@ -195,7 +196,6 @@ def rewrite_notation(records: DataFrame, aliases: list[dict]) -> DataFrame:
 
     Each alias: test (contained in the name), from, to. The original texts stay in place.
     """
-    import re
     out = records
     for column in ("criteria", "result"):
         text = F.coalesce(F.col(column), F.lit(""))
@@ -212,7 +212,6 @@ def table_below_count(rows: DataFrame, keys: list[str]) -> DataFrame:
 
     rows: keys, criteria, result (one row per table line).
     """
-    from ..functions.verdict import is_above, is_below, required_below_count
     rolled = rows.groupBy(*keys).agg(
         F.max(required_below_count(F.col("criteria"))).alias("needed"), F.count_if(is_below(F.col("result"))).alias("below"),
         F.count_if(is_above(F.col("result")) & ~is_below(F.col("result"))).alias("above"), F.count(F.lit(1)).alias("rows"))

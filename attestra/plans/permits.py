@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import lines as L
 from ..operators import permits as P
 from ..operators import rules as R
 from ..operators.rules import Rule
 from .registry import query
-from .ruling import OUTCOME_SQL, finish, order_docs
+from .ruling import OUTCOME_SQL, finish
 from .texts import HEADS_SQL, numbered_lines
 
 _PAGES_SQL = """p AS (SELECT source AS doc_id, doc_id AS page_no, doc_id % 10 = 9 AS form,

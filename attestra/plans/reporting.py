@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from ..functions.codes import fingerprint
 from ..operators import inbox as I
 from ..operators import judgement as J
-from ..operators import lines as L
 from ..operators import reports as P
 from ..session import cut_lineage, shared_folder
 from ..sources import readers as S

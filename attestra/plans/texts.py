@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.core import find_all
-from ..functions.fields import key_value
 from ..operators import lines as L
 from ..operators import tables as B
 from ..operators.tree import tree_nodes

@@ -37,6 +37,8 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="spark-attestra-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
