@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
+from . import packing, quality, simhash, spans
+
+WORD_TOKENIZER = "word_bpe_49k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -17,7 +20,38 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return build
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+
+
+@query
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the sentences that a repeated run covers, and the ranges removed."""
+    return spans.remove_repeated(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary(WORD_TOKENIZER))
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of all documents by trees fitted outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    forest = quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return (quality.scored(docs, forest).withColumn("held_out", quality.held_out(F.col("doc_id")))
+            .select("doc_id", "held_out", "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")))
+
+
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicate components of all documents."""
-    return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -131,6 +131,15 @@ def links(distinct: DataFrame, radius: int = 3, tile_rows: int = TILE_ROWS) -> D
     return pairs.mapInPandas(compare, "a long, b long")
 
 
+def _grouped(docs: DataFrame, key: str, text: str, radius: int, words: int, tile_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (_key, _row, fp), where _row hashes the text, and distinct fingerprints (fp, first, root)."""
+    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text_of(text)).alias("_row"), F.col(text).alias("_text"))
+    rows = stored(fingerprints(rows, "_text", words, "fp"))
+    distinct = stored(rows.groupBy("fp").agg(F.min("_key").alias("first")))
+    labels = components(links(distinct.select("fp"), radius, tile_rows), "a", "b")
+    return rows, distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, words: int = 3,
                     tile_rows: int = TILE_ROWS) -> DataFrame:
     """Columns key, fingerprint (16 hex digits) and component_id, the smallest key reachable over links.
@@ -139,12 +148,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     have fingerprint zero and link like others; repeated rows stay; a null key never names a component unless all
     keys of it are null. Further columns are dropped, whatever their names. An empty table gives an empty result.
     """
-    rows = stored(fingerprints(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", words))
-    rows = rows.withColumnRenamed("_fp", "fp")
-    distinct = stored(rows.groupBy("fp").agg(F.min("_key").alias("first")))
-    labels = components(links(distinct.select("fp"), radius, tile_rows), "a", "b")
-    rooted = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rows, rooted = _grouped(docs, key, text, radius, words, tile_rows)
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(lowest, "root").select("fp", "component_id")
     return (rows.join(named, "fp")
             .select(F.col("_key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, words: int = 3,
+                    tile_rows: int = TILE_ROWS) -> DataFrame:
+    """One whole row of docs per component: that of the smallest key, of several such rows that of the smallest text hash.
+
+    Null keys come last. All columns are kept; of rows equal in key and text one is kept.
+    """
+    rows, rooted = _grouped(docs, key, text, radius, words, tile_rows)
+    chosen = (rows.join(rooted.select("fp", "root"), "fp").groupBy("root")
+              .agg(F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "_row")).alias("of")).select("of._key", "of._row"))
+    marked = docs.withColumns({"_key": F.col(key), "_row": F.xxhash64(text_of(text))})
+    same = marked["_key"].eqNullSafe(chosen["_key"]) & (marked["_row"] == chosen["_row"])
+    return marked.join(chosen, same, "left_semi").dropDuplicates(["_key", "_row"]).select(*docs.columns)
