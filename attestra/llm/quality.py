@@ -20,31 +20,37 @@ from .common import small_batches, text_of
 # Labelled rows that the trees are fitted on at most: those of the smallest hash of their key.
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.3
-STATISTICS = ("log_bytes", "log_words", "word_bytes", "word_spread", "upper", "digits", "marks", "stops", "shouts", "signs", "bars",
-              "blanks", "lines", "beyond_ascii", "entropy", "distinct_words", "top_word", "same_next", "distinct_pairs", "distinct_lines",
-              "marked_words", "signed_words", "upper_words", "longest_word")
+STATISTICS = ("log_bytes", "log_words", "word_bytes", "word_spread", "longest_word", "upper", "digits", "marks", "stops", "shouts", "signs",
+              "bars", "blanks", "lines", "beyond_ascii", "entropy", "distinct_words", "top_word", "same_next", "distinct_lines",
+              "stopped_words", "signed_words", "capital_words")
+
+# The bytes that part words.
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def statistics(text: str) -> list[float]:
-    """The document statistics of one text, in the order of STATISTICS; all zero for an empty one."""
+    """The document statistics of one text, in the order of STATISTICS; all zero without any word."""
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
     if not words:
         return [0.0] * len(STATISTICS)
-    counts = np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256)
+    codes = np.frombuffer(b" " + raw + b" ", dtype=np.uint8)
+    counts = np.bincount(codes[1:-1], minlength=256)
     share = counts / len(raw)
+    blank = BLANK[codes]
+    begin, end = np.flatnonzero(blank[:-1] > blank[1:]) + 1, np.flatnonzero(blank[:-1] < blank[1:])
+    sizes = end - begin + 1
+    first, last = (np.bincount(codes[at], minlength=128) / len(sizes) for at in (begin, end))
     seen = Counter(words)
-    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     lines = raw.split(b"\n")
-    n = len(words)
-    some = share[share > 0]
+    some = share[counts > 0]
     marks = share[33:48].sum() + share[58:65].sum() + share[91:97].sum() + share[123:127].sum()
+    signs = [35, 36, 37, 38, 42]
     return [
-        np.log1p(len(raw)), np.log1p(n), sizes.mean(), sizes.std(), share[65:91].sum(), share[48:58].sum(), marks, share[46], share[33],
-        share[35:39].sum() + share[42], share[124], share[32], share[10], share[128:].sum(), -(some * np.log2(some)).sum(),
-        len(seen) / n, max(seen.values()) / n, sum(map(bytes.__eq__, words, words[1:])) / n, len(set(zip(words, words[1:]))) / max(1, n - 1),
-        len(set(lines)) / len(lines), sum(w[-1:] in b".,;:!?" for w in words) / n, sum(w[-1:] in b"#$%&*" for w in words) / n,
-        sum(map(bytes.isupper, words)) / n, np.log1p(sizes.max())]
+        np.log1p(len(raw)), np.log1p(len(words)), sizes.mean(), sizes.std(), np.log1p(sizes.max()), share[65:91].sum(), share[48:58].sum(),
+        marks, share[46], share[33], share[signs].sum(), share[124], share[32], share[10], share[128:].sum(), -(some * np.log2(some)).sum(),
+        len(seen) / len(words), max(seen.values()) / len(words), sum(map(bytes.__eq__, words, words[1:])) / len(words),
+        len(set(lines)) / len(lines), last[[33, 44, 46, 58, 59, 63]].sum(), last[signs].sum(), first[65:91].sum()]
 
 
 def table_of(texts: pd.Series) -> np.ndarray:

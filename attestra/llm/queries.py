@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, simhash, spans
+from . import bpe, packing, quality, sharding, simhash, spans
 
 WORD_TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,6 +31,18 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+@query
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of near-equal bytes."""
+    return sharding.shard_records(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents and the texts decoded from them, as digests."""
+    return bpe.encode_and_decode(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary(BYTE_TOKENIZER), digest=True)
+
+
 @query
 def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the sentences that a repeated run covers, and the ranges removed."""

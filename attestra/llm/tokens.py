@@ -15,18 +15,44 @@ SEPARATORS_OF_STR_SPLIT = re.compile("[\x1c-\x1f]")
 MARK = "<|endoftext|>"
 
 
-class WordEncoder:
-    """Encodes texts like a tokenizer file that drops white space: the ids of a text are those of its words in turn.
+_tokenizers: dict = {}
 
-    The words of a batch that are not known yet are encoded together, parted by a special token.
-    """
 
-    def __init__(self, path: str) -> None:
+def load_tokenizer(path: str):
+    """The tokenizer of a file, without truncation and padding; one per process."""
+    if path not in _tokenizers:
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        self.mark = self.tokenizer.token_to_id(MARK)
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_padding()
+        tokenizer.no_truncation()
+        _tokenizers[path] = tokenizer
+    return _tokenizers[path]
+
+
+def encode_words(tokenizer, words: list[str]) -> list[bytes]:
+    """Little-endian unsigned 32-bit ids of each word; many are encoded together, parted by a special token."""
+    mark = tokenizer.token_to_id(MARK)
+    out: list[bytes] = [b""] * len(words)
+    alone = [k for k, w in enumerate(words) if "<|" in w or not w]
+    together = [k for k, w in enumerate(words) if w and "<|" not in w]
+    for at in range(0, len(together), 2000):
+        part = together[at:at + 2000]
+        ids = np.array(tokenizer.encode(MARK.join([words[k] for k in part]), add_special_tokens=False).ids, dtype="<u4")
+        cuts = np.flatnonzero(ids == mark)
+        begin, end = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
+        raw = ids.tobytes()
+        for k, b, e in zip(part, begin, end, strict=True):
+            out[k] = raw[4 * b:4 * e]
+    for k in alone:
+        out[k] = np.array(tokenizer.encode(words[k], add_special_tokens=False).ids, dtype="<u4").tobytes()
+    return out
+
+
+class WordEncoder:
+    """Encodes texts like a tokenizer file that drops white space: the ids of a text are those of its words in turn."""
+
+    def __init__(self, path: str) -> None:
+        self.tokenizer = load_tokenizer(path)
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -37,22 +63,10 @@ class WordEncoder:
         new = set()
         for words in split:
             new.update(words)
-        self._learn([w for w in new if w not in self.known])
+        missing = [w for w in new if w not in self.known]
+        self.known.update(zip(missing, encode_words(self.tokenizer, missing)))
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if "<|" not in w]
-        for at in range(0, len(plain), 2000):
-            part = plain[at:at + 2000]
-            ids = np.array(self.tokenizer.encode(MARK.join(part), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.mark)
-            begin, end = np.concatenate([[0], cuts + 1]).tolist(), np.concatenate([cuts, [len(ids)]]).tolist()
-            raw = ids.tobytes()
-            self.known.update((w, raw[4 * b:4 * e]) for w, b, e in zip(part, begin, end, strict=True))
-        for word in words:
-            if "<|" in word:
-                self.known[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
 
 _encoders: dict[str, WordEncoder] = {}
 
