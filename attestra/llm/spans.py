@@ -3,7 +3,8 @@
 Every run of consecutive sentences is hashed: from each sentence on, the shortest run of at least `min_sentences`
 sentences and `min_words` words. Hashes are joined over the whole corpus; every run but the first of its hash covers
 its sentences, and covered sentences are removed. A sentence ends at a stop mark or a line break; one of more than
-LONG_WORDS words is cut further behind words chosen by their own hash, so a passage is cut alike wherever it stands.
+LONG_WORDS words is cut further behind words chosen by their own hash, and CUT_AFTER words behind such a cut at the
+latest, so a passage is cut alike wherever it stands.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?:\s+|$)|[.!?]+|\n\s*|$)")
 WORD = re.compile(r"\S+\s*")
 LONG_WORDS = 24
 CUT_EVERY = 8
+CUT_AFTER = 16
 # An odd multiplier and its inverse modulo 2**64: run hashes are differences of one prefix sum.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -35,11 +37,12 @@ def sentences(text: str) -> list[str]:
         if not piece:
             continue
         if len(piece) > 4 * LONG_WORDS and len(piece.split()) > LONG_WORDS:
-            start = 0
+            start = since = 0
             for word in WORD.finditer(piece):
-                if xxhash.xxh32_intdigest(word[0].strip()) % CUT_EVERY == 0:
+                since += 1
+                if since == CUT_AFTER or xxhash.xxh32_intdigest(word[0].strip()) % CUT_EVERY == 0:
                     found.append(piece[start:word.end()])
-                    start = word.end()
+                    start, since = word.end(), 0
             piece = piece[start:]
             if not piece:
                 continue
