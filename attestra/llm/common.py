@@ -44,3 +44,18 @@ def range_index(value: Column, bounds: Sequence[int]) -> Column:
 
     widths = F.array(*[F.lit(1 << k) for k in reversed(range(depth))])
     return F.aggregate(widths, F.lit(0), step)
+
+
+def splitters(rows: DataFrame, key: str, size: str, row: str, total: int, ranges: int, samples: int = 32) -> list[int]:
+    """At most ranges - 1 ascending keys that cut the key order into ranges of about equal size.
+
+    They are quantiles of a sample that takes a row with a chance in proportion to its size, drawn by the hash of its
+    row id, so it is the same at every run; about `samples` rows a range.
+    """
+    if ranges < 2:
+        return []
+    chance = F.col(size) * F.lit(ranges * samples / max(1, total))
+    draw = F.pmod(F.xxhash64(row, F.lit("draw")), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    quantiles = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
+    cuts = rows.where(draw < chance).agg(F.percentile_approx(key, quantiles, F.lit(10 * ranges)).alias("cuts")).first()["cuts"]
+    return sorted({c for c in cuts or [] if c is not None})

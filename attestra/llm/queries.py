@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, sharding, simhash, spans
+from . import bpe, editprint, hosts, mih, packing, pagetext, quality, sharding, simhash, spans
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,6 +38,54 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def url_filter_sql() -> str:
+    """The rules as one CASE, and the propagation as one table per step."""
+    def fits(rule: str) -> str:
+        suffix, slash, prefix = rule.partition("/")
+        return f"(host = '{suffix}' OR ends_with(host, '.{suffix}')) AND starts_with(path, '{slash + prefix}')"
+
+    ranked = sorted(URL_RULES, key=lambda r: (len(r[1]), r[0] == "block"), reverse=True)
+    case = lambda k: "CASE " + " ".join(f"WHEN {fits(rule)} THEN '{(action, rule)[k]}'" for action, rule in ranked) + " END"
+    host = lambda rest: f"translate(regexp_extract({rest}, '^[^/?#]*'), '{hosts.UPPER}', '{hosts.LOWER}')"
+    link = hosts.LINK.replace("'", "''")
+    steps = [f"""s{k} AS MATERIALIZED (
+        SELECT coalesce(b.host, m.host) AS host, coalesce(b.good, m.good) AS good, coalesce(seed, 0) AS seed,
+               {1 - hosts.DAMPING} * coalesce(seed, 0) + {hosts.DAMPING} * coalesce(come, 0) AS score
+        FROM s{k - 1} b FULL JOIN (SELECT w.dest AS host, s.good, sum(s.score * w.share) AS come
+                                   FROM s{k - 1} s JOIN ways w ON w.host = s.host AND w.good = s.good GROUP BY 1, 2) m
+        ON b.host = m.host AND b.good = m.good)""" for k in range(1, hosts.MOST_STEPS + 1)]
+    return f"""WITH cut AS (
+        SELECT page_id, html, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) END AS rest FROM pages),
+    p AS (SELECT page_id, html, coalesce({host('rest')}, '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
+    judged AS MATERIALIZED (SELECT *, {case(1)} AS rule, {case(0)} AS action FROM p),
+    marks AS (SELECT host, count(*) FILTER (action = 'allow') AS trust, count(*) FILTER (action = 'block') AS distrust
+              FROM judged WHERE action IS NOT NULL AND host <> '' GROUP BY 1),
+    seeds AS (SELECT host, trust / greatest(1, sum(trust) OVER ()) AS trust, distrust / greatest(1, sum(distrust) OVER ()) AS distrust FROM marks),
+    found AS (SELECT host AS source, unnest(list_distinct(list_transform(regexp_extract_all(html, '{link}', 1),
+                     x -> {host("substr(x, position('//' IN x) + 2)")}))) AS target FROM p),
+    pairs AS (SELECT source, target, count(*) AS n FROM found WHERE source <> '' AND target <> '' AND source <> target GROUP BY 1, 2),
+    edges AS MATERIALIZED (SELECT source, target, n / sum(n) OVER (PARTITION BY source) AS share FROM pairs),
+    ways AS MATERIALIZED (SELECT true AS good, source AS host, target AS dest, share FROM edges
+             UNION ALL SELECT false, target, source, share / sum(share) OVER (PARTITION BY target) FROM edges),
+    s0 AS MATERIALIZED (SELECT host, true AS good, trust AS seed, trust AS score FROM seeds UNION ALL SELECT host, false, distrust, distrust FROM seeds),
+    {", ".join(steps)},
+    ranks AS (SELECT host, coalesce(max(score) FILTER (good), 0) AS trust, coalesce(max(score) FILTER (NOT good), 0) AS distrust FROM s{hosts.MOST_STEPS} GROUP BY 1)
+    SELECT page_id, j.host, path, rule, coalesce(action, CASE WHEN distrust > 0 AND distrust >= {hosts.DISTRUST_SHARE} * (trust + distrust) THEN 'block' END, 'allow') AS verdict
+    FROM judged j LEFT JOIN ranks ON ranks.host = j.host"""
+
+
+@query
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on all page urls by rules and, without one, by trust and distrust of the host."""
+    return hosts.judge(table(spark, sf_dir, "pages", "page_id", "url", "html"), URL_RULES)
+
+
+@query
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return pagetext.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 @query
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents and the texts decoded from them, as digests."""
@@ -49,6 +98,13 @@ def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.remove_repeated(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@query
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector among all."""
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return mih.search(rows, rows.where("vec_id % 50 = 0"))
+
+
 @query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
@@ -68,3 +124,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicate components of all documents."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op10_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edit fingerprints of all documents and of their edited texts."""
+    return editprint.compare_with_edits(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+SQL["op2_url_filter"] = url_filter_sql()

@@ -11,9 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import range_index, stored, text_of
+from .common import range_index, splitters, stored, text_of
 
-SAMPLES_PER_RANGE = 32
 RANGES_PER_SHARD = 128
 # Beyond this many bytes in a range there are more ranges, so a task of the numbering stays small at any scale.
 RANGE_BYTES = 1 << 30
@@ -25,11 +24,7 @@ def assign(rows: DataFrame, shards: int, key: str = "_g", size: str = "size", ro
     total = measured["bytes"] or 1
     ranges = max(shards * RANGES_PER_SHARD, -(-total // RANGE_BYTES))
     target = total / ranges
-    chance = F.col(size) * F.lit(ranges * SAMPLES_PER_RANGE / total)
-    draw = F.pmod(F.xxhash64(row, F.lit("draw")), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    quantiles = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
-    cuts = rows.where(draw < chance).agg(F.percentile_approx(key, quantiles, F.lit(10 * ranges)).alias("cuts")).first()["cuts"]
-    bounds = sorted(set(cuts or []))
+    bounds = splitters(rows, key, size, row, total, ranges)
     ranged = rows.withColumn("_range", range_index(F.col(key), bounds))
     # One row per range at most, so it can be sent to every task.
     overfull = (ranged.groupBy("_range").agg(F.sum(size).alias("_bytes"), F.min(key).alias("_low"), F.max(key).alias("_high"))
