@@ -62,7 +62,7 @@ def url_filter_sql() -> str:
               FROM judged WHERE action IS NOT NULL AND host <> '' GROUP BY 1),
     seeds AS (SELECT host, trust / greatest(1, sum(trust) OVER ()) AS trust, distrust / greatest(1, sum(distrust) OVER ()) AS distrust FROM marks),
     found AS (SELECT host AS source, unnest(list_distinct(list_transform(regexp_extract_all(html, '{link}', 1),
-                     x -> {host("substr(x, position('//' IN x) + 2)")}))) AS target FROM p),
+                     lambda x: {host("substr(x, position('//' IN x) + 2)")}))) AS target FROM p),
     pairs AS (SELECT source, target, count(*) AS n FROM found WHERE source <> '' AND target <> '' AND source <> target GROUP BY 1, 2),
     edges AS MATERIALIZED (SELECT source, target, n / sum(n) OVER (PARTITION BY source) AS share FROM pairs),
     ways AS MATERIALIZED (SELECT true AS good, source AS host, target AS dest, share FROM edges
