@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_of
+from .common import carried, restored, small_batches, text_of
 from .tokens import WHITE_SPACE, encode_words, load_tokenizer
 
 # Characters of a block of documents at most, unless one document alone has more; bounds the memory of a task.
@@ -93,8 +93,7 @@ def _blocks(docs: DataFrame, path: str, words: bool) -> DataFrame:
         yield from table()
 
     rows = docs.select("_key", "_text")
-    key = f"key {docs.schema['_key'].dataType.simpleString()}"
-    return rows.mapInPandas(cut, "block long, word string, place int" if words else f"block long, {key}, places binary")
+    return rows.mapInPandas(cut, "block long, word string, place int" if words else "block long, key string, places binary")
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -127,7 +126,7 @@ def encode_and_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str
     and must give the same rows each time, as a table or stored frame does.
     """
     small_batches(docs.sparkSession)
-    source = docs.select(F.col(key).alias("_key"), text_of(text).alias("_text"))
+    source = docs.select(carried(key).alias("_key"), text_of(text).alias("_text"))
     words = _blocks(source, path, words=True).repartition("word")
 
     @F.pandas_udf("array<int>")
@@ -160,6 +159,6 @@ def encode_and_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str
         return pd.DataFrame(out, columns=["key", "n_tokens", *[c.split()[0] for c in outcome.split(", ")]])
 
     blocks = _blocks(source, path, words=False)
-    schema = f"key {docs.schema[key].dataType.simpleString()}, n_tokens long, {outcome}"
+    schema = f"key string, n_tokens long, {outcome}"
     joined = blocks.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(assemble, schema)
-    return joined.withColumnRenamed("key", key)
+    return joined.select(restored(docs, key, "key").alias(key), *joined.columns[1:])

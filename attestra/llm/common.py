@@ -9,15 +9,26 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-# Rows sent to a Python worker at once. Texts may be long, so a batch stays far below Spark's 10,000 rows.
+# Rows and bytes sent to a Python worker at once. Texts may be long, so a batch stays far below Spark's 10,000 rows.
 BATCH_ROWS = 512
+BATCH_BYTES = 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Python workers on long texts; a smaller value set by the user is kept."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Bound the memory of Python workers on long texts; smaller values set by the user are kept."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(spark.conf.get(name).removesuffix("b")) <= most:
+            spark.conf.set(name, str(most))
+
+
+def carried(key: str) -> Column:
+    """A key as it passes through pandas: as text, since pandas would turn whole numbers beside nulls into floats."""
+    return F.col(key).cast("string")
+
+
+def restored(docs: DataFrame, key: str, name: str) -> Column:
+    """The carried key `name` in the type that `key` has in docs."""
+    return F.col(name).cast(docs.schema[key].dataType)
 
 
 def text_of(column: str = "text") -> Column:

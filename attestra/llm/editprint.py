@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import range_index, small_batches, splitters, stored, text_of
+from .common import carried, range_index, restored, small_batches, splitters, stored, text_of
 from .components import components
 
 BITS = 512
@@ -143,9 +143,9 @@ def compare_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
                 waiting = None if tail else (key_, text_, kinds, standing, print_)
             yield pd.DataFrame(out, columns=names)
 
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"key {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs, key, text).mapInPandas(read, schema).withColumnRenamed("key", key)
+    schema = "key string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    rows = with_next(docs, key, text).withColumn("_key", carried("_key"))
+    return rows.mapInPandas(read, schema).select(restored(docs, key, "key").alias(key), *names[1:])
 
 
 def _bands(raw: np.ndarray) -> np.ndarray:

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_of
+from .common import carried, restored, small_batches, text_of
 from .tokens import word_encoder
 
 POOL = 1024
@@ -100,11 +100,11 @@ def pack_examples(examples: DataFrame, key: str, tokens: str, loss_tokens: str,
     Null counts are zero. An example beyond a limit by itself gets no sequence (nulls); an example of no tokens takes
     a segment. Repeated rows are separate examples. An empty table gives an empty result.
     """
-    rows = examples.select(F.col(key).alias("_key"), *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(n) for c, n in ((tokens, "_tokens"), (loss_tokens, "_loss"))])
+    rows = examples.select(carried(key).alias("_key"), *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(n) for c, n in ((tokens, "_tokens"), (loss_tokens, "_loss"))])
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer = Packer(limits, cut=False, first=_first_sequence())
-        frame = lambda out: pd.DataFrame([(n[0], n[1], n[2], q, o) for n, _, _, q, o in out], columns=list("ktlso"))
+        frame = lambda out: pd.DataFrame([(n[0], n[1], n[2], q, o) for n, _, _, q, o in out], columns=list("ktlso")).astype({"s": "Int64", "o": "Int64"})
         for batch in batches:
             over = []
             for name in zip(batch["_key"], batch["_tokens"], batch["_loss"]):
@@ -115,8 +115,8 @@ def pack_examples(examples: DataFrame, key: str, tokens: str, loss_tokens: str,
             yield frame(over + packer.place())
         yield frame(packer.finish())
 
-    out = rows.mapInPandas(pack, f"k {examples.schema[key].dataType.simpleString()}, t long, l long, s long, o long")
-    return out.toDF(key, tokens, loss_tokens, "sequence_id", "offset")
+    out = rows.mapInPandas(pack, "k string, t long, l long, s long, o long")
+    return out.select(restored(examples, key, "k").alias(key), F.col("t").alias(tokens), F.col("l").alias(loss_tokens), F.col("s").alias("sequence_id"), F.col("o").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 1, limits: Limits = Limits()) -> DataFrame:
@@ -130,7 +130,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
     size = min(limits.tokens, limits.loss_tokens)
     limits = Limits(size, limits.segments, size)
     end = np.array([end_id], dtype="<u4").tobytes()
-    rows = docs.select(F.col(key).alias("_key"), text_of(text).alias("_text"))
+    rows = docs.select(carried(key).alias("_key"), text_of(text).alias("_text"))
     names = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,5 +156,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
                 yield pieces(out + packer.place())
         yield pieces(packer.finish())
 
-    schema = f"key {docs.schema[key].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return rows.mapInPandas(pack, schema).withColumnRenamed("key", key)
+    schema = "key string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    return rows.mapInPandas(pack, schema).select(restored(docs, key, "key").alias(key), *names[1:])

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_of
+from .common import carried, restored, small_batches, text_of
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -211,6 +211,6 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
             texts = [main_text(p) for p in batch["_page"]]
             yield pd.DataFrame({"key": batch["_key"], "url": batch["_url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    rows = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), text_of(page).alias("_page"))
-    kind = pages.schema[key].dataType.simpleString()
-    return rows.mapInPandas(read, f"key {kind}, url string, text string, n_chars long").withColumnsRenamed({"key": key, "url": url})
+    rows = pages.select(carried(key).alias("_key"), F.col(url).alias("_url"), text_of(page).alias("_page"))
+    out = rows.mapInPandas(read, "key string, url string, text string, n_chars long")
+    return out.select(restored(pages, key, "key").alias(key), F.col("url").alias(url), "text", "n_chars")

@@ -1,7 +1,7 @@
 """Substring deduplication by sliding sentence spans.
 
 Every run of consecutive sentences is hashed: from each sentence on, the shortest run of at least `min_sentences`
-sentences and `min_words` words. Hashes are joined over the whole corpus; every run but the first of its hash covers
+sentences and `min_words` words, and likewise back from the end of each line. Hashes are joined over the whole corpus; every run but the first of its hash covers
 its sentences, and covered sentences are removed. A sentence ends at a stop mark or a line break; one of more than
 LONG_WORDS words is cut further behind words chosen by their own hash, and CUT_AFTER words behind such a cut at the
 latest, so a passage is cut alike wherever it stands.
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, text_of
+from .common import carried, restored, small_batches, stored, text_of
 
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?:\s+|$)|[.!?]+|\n\s*|$)")
 WORD = re.compile(r"\S+\s*")
@@ -55,13 +55,19 @@ def sentences(text: str) -> list[str]:
 
 def runs(text: str, min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first sentence and number of sentences of every run; letter case and white space do not count."""
-    words = [s.lower().split() for s in sentences(text)]
+    pieces = sentences(text)
+    words = [s.lower().split() for s in pieces]
     own = np.array([xxhash.xxh64_intdigest(" ".join(w).encode("utf-8", "surrogatepass")) for w in words], dtype=np.uint64)
     sums = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)]).astype(np.int64)
     n = len(own)
     start = np.arange(n)
     end = np.maximum(np.searchsorted(sums, sums[:-1] + min_words), start + min_sentences)
+    close = np.array([k + 1 for k, s in enumerate(pieces) if "\n" in s or k == n - 1], dtype=np.int64)
+    back = np.minimum(np.searchsorted(sums, sums[close] - min_words, side="right") - 1, close - min_sentences)
+    close, back = close[back >= 0], back[back >= 0]
+    new = end[back] != close
     start, end = start[end <= n], end[end <= n]
+    start, end = np.concatenate([start, back[new]]), np.concatenate([end, close[new]])
     powers = np.full(n + 1, BASE, dtype=np.uint64)
     inverse = np.full(n + 1, BASE_INVERSE, dtype=np.uint64)
     powers[0] = inverse[0] = 1
@@ -96,27 +102,23 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
                         "place": np.concatenate([f[1] << 32 | f[2] for f in found]),
                         "key": part["_key"].repeat(sizes).to_numpy()})
 
-    keyed = docs.select(F.col(key).alias("_key"), row, text_of(text).alias("_text")).where("_text <> ''")
-    key_type = docs.schema[key].dataType.simpleString()
-    spans = keyed.mapInPandas(emit, f"h long, rid long, place long, key {key_type}")
+    keyed = docs.select(carried(key).alias("_key"), row, text_of(text).alias("_text")).where("_text <> ''")
+    spans = keyed.mapInPandas(emit, "h long, rid long, place long, key string").withColumn("key", restored(docs, key, "key"))
     repeated = stored(spans.groupBy("h").agg(F.min(F.struct("key", "rid", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
                       .where("n > 1").select("h", F.col("first.rid").alias("first_rid"), F.col("first.place").alias("first_place")))
     later = spans.select("h", "rid", "place").join(repeated, "h").where("rid <> first_rid or place <> first_place")
     covered = later.groupBy("rid").agg(F.collect_set("place").alias("places")).withColumnRenamed("rid", "_rid")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            kept = [_without(t, p) for t, p in zip(batch[text], batch["places"])]
-            batch[text] = [k[0] for k in kept]
-            batch["removed_spans"] = [k[1] for k in kept]
-            yield batch.drop(columns=["_rid", "places"])
+    spans_type = "array<struct<start:int,end:int>>"
+
+    @F.pandas_udf(f"text string, spans {spans_type}")
+    def cut(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_without(t, p) for t, p in zip(texts, places)], columns=["text", "spans"])
 
     marked = docs.withColumn("_rid", row).join(covered, "_rid", "left")
-    touched, rest = marked.where("places is not null"), marked.where("places is null")
-    spans_type = "array<struct<start:int,end:int>>"
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, removed_spans {spans_type}"
-    same = rest.select(*docs.columns, F.array().cast(spans_type).alias("removed_spans"))
-    return touched.mapInPandas(cut, schema).unionByName(same)
+    touched = marked.where("places is not null").withColumn("_cut", cut(F.col(text), F.col("places")))
+    same = marked.where("places is null").select(*docs.columns, F.array().cast(spans_type).alias("removed_spans"))
+    return touched.withColumns({text: F.col("_cut.text"), "removed_spans": F.col("_cut.spans")}).select(*same.columns).unionByName(same)
 
 
 def _without(text: str, places: np.ndarray) -> tuple[str, list[dict]]:
