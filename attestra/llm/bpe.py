@@ -133,6 +133,8 @@ def encode_and_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str
     def ids_of(found: pd.Series) -> pd.Series:
         return pd.Series([np.frombuffer(raw, dtype="<i4") for raw in encode_words(load_tokenizer(path), found.tolist())])
 
+    # Nondeterministic to the optimizer, so that it is not moved below the exchange and evaluated for every block's words.
+    ids_of = ids_of.asNondeterministic()
     table = decode(words.select("word").distinct().withColumn("ids", ids_of("word")), ["word"], "ids", path)
     back = words.join(table, "word").select("block", "place", "ids", "decoded")
     outcome = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
