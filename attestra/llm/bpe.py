@@ -1,29 +1,33 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Texts are split into words in blocks of documents; a block keeps its distinct words and, per document, their places.
-Each distinct word of the corpus is encoded once; its ids become text again through a join with the table of pieces. Ids
-and pieces go back to the blocks by a join on the word and to the documents by place. Only distinct words of a block
-and compressed places are shuffled, never texts, and no word is hot: it occurs once per block.
+The words of all blocks are dealt out by their hash, so that each distinct word of the corpus is encoded once, in one
+task; its ids become text again by a join with the table of pieces. Ids and pieces go back to their block, and from there to the
+documents by place. Only distinct words of a block and places are shuffled, both packed, never texts; no word is hot,
+since it occurs once per block.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import carried, restored, small_batches, text_of
-from .tokens import WHITE_SPACE, encode_words, load_tokenizer
+from .tokens import KNOWN_WORDS, WHITE_SPACE, encode_words, load_tokenizer
 
 # Characters of a block of documents at most, unless one document alone has more; bounds the memory of a task.
 BLOCK_CHARS = 28_000_000
+# Parts that the words are dealt into by their hash.
+BUCKETS = 512
 # A word takes one space before it; of other white space a run goes up to the place where such a word begins.
 WORD = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]")
 
@@ -50,6 +54,37 @@ def unpack_places(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def pack_columns(numbers: list[np.ndarray], texts: list[list[bytes]]) -> bytes:
+    """Columns of numbers below 2**32 and columns of byte strings, compressed."""
+    parts = [np.array([len(n) for n in numbers] + [len(t) for t in texts], dtype="<u4").tobytes()]
+    parts += [n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for n in numbers]
+    for column in texts:
+        parts.append(np.fromiter(map(len, column), dtype="<u4", count=len(column)).view(np.uint8).reshape(-1, 4).T.tobytes())
+        parts += column
+    return zstandard.compress(b"".join(parts), 3)
+
+
+def unpack_columns(raw: bytes, numbers: int, texts: int) -> tuple[list[np.ndarray], list[list[bytes]]]:
+    raw = zstandard.decompress(raw)
+    sizes = np.frombuffer(raw, dtype="<u4", count=numbers + texts).tolist()
+    at = 4 * len(sizes)
+
+    def column(n: int) -> np.ndarray:
+        nonlocal at
+        planes = np.frombuffer(raw, dtype=np.uint8, count=4 * n, offset=at).reshape(4, n)
+        at += 4 * n
+        return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+    first = [column(n) for n in sizes[:numbers]]
+    second = []
+    for n in sizes[numbers:]:
+        ends = at + 4 * n + np.cumsum(column(n)).astype(np.int64)
+        bounds = [at, *ends.tolist()]
+        second.append([raw[a:b] for a, b in zip(bounds, bounds[1:])])
+        at = bounds[-1]
+    return first, second
+
+
 class Block:
     """Distinct words of some documents in order of appearance, and the places of each document's words."""
 
@@ -65,19 +100,28 @@ class Block:
         self.chars += chars
         return np.fromiter(map(known.__getitem__, words), dtype=np.uint32, count=len(words))
 
+    def buckets(self) -> Iterator[tuple[int, bytes]]:
+        """The words and their places by the hash of the word."""
+        parts: dict[int, list[tuple[bytes, int]]] = {}
+        for word, place in self.places.items():
+            raw = word.encode("utf-8", "surrogatepass")
+            parts.setdefault(zlib.crc32(raw) % BUCKETS, []).append((raw, place))
+        for bucket, held in parts.items():
+            held.sort()
+            yield bucket, pack_columns([np.array([p for _, p in held], dtype=np.uint32)], [[w for w, _ in held]])
+
 
 def _blocks(docs: DataFrame, path: str, words: bool) -> DataFrame:
-    """Rows (block, word, place) or rows (block, key, places); both cut the same rows into the same blocks."""
+    """Rows (bucket, block, held) of packed words or rows (block, key, places); both cut the same rows into the same blocks."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         specials = _special_pattern(path)
         number, block = TaskContext.get().partitionId() << 24, Block()
 
         def table() -> Iterator[pd.DataFrame]:
-            found = list(block.places)
-            for at in range(0, len(found) if words else 0, 50_000):
-                part = found[at:at + 50_000]
-                yield pd.DataFrame({"block": number, "word": part, "place": np.arange(at, at + len(part), dtype=np.int32)})
+            if words:
+                for bucket, held in block.buckets():
+                    yield pd.DataFrame({"bucket": [bucket], "block": [number], "held": [held]})
 
         for batch in batches:
             rows = []
@@ -93,17 +137,39 @@ def _blocks(docs: DataFrame, path: str, words: bool) -> DataFrame:
         yield from table()
 
     rows = docs.select("_key", "_text")
-    return rows.mapInPandas(cut, "block long, word string, place int" if words else "block long, key string, places binary")
+    return rows.mapInPandas(cut, "bucket int, block long, held binary" if words else "block long, key string, places binary")
 
 
-def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """Columns id, piece: the bytes of every id of a byte-level vocabulary, in hex. Its size is that of the vocabulary."""
+def _pieces(path: str) -> dict[int, bytes]:
+    """The bytes of every id of a byte-level vocabulary."""
     tokenizer = load_tokenizer(path)
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     shown = {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
     added = {k: t.content for k, t in tokenizer.get_added_tokens_decoder().items()}
-    rows = [(k, (added[k].encode() if k in added else bytes(map(shown.__getitem__, piece))).hex()) for piece, k in tokenizer.get_vocab(True).items()]
-    return spark.createDataFrame(pd.DataFrame(rows, columns=["id", "piece"]), "id int, piece string")
+    return {k: added[k].encode() if k in added else bytes(map(shown.__getitem__, piece)) for piece, k in tokenizer.get_vocab(True).items()}
+
+
+def _coded(words: DataFrame, path: str) -> DataFrame:
+    """Rows (block, coded): places, ids and decoded pieces of the words of a block and bucket."""
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokenizer, pieces = load_tokenizer(path), _pieces(path)
+        known: dict[bytes, tuple[bytes, bytes]] = {}
+        now = None
+        for batch in batches:
+            out = []
+            for bucket, block, held in zip(batch["bucket"], batch["block"], batch["held"]):
+                if bucket != now or len(known) > KNOWN_WORDS:
+                    now = bucket
+                    known.clear()
+                (places,), (found,) = unpack_columns(held, 1, 1)
+                new = [w for w in found if w not in known]
+                for word, raw in zip(new, encode_words(tokenizer, [w.decode("utf-8", "surrogatepass") for w in new])):
+                    known[word] = raw, b"".join(map(pieces.__getitem__, np.frombuffer(raw, "<u4").tolist()))
+                out.append((block, pack_columns([places], [[known[w][0] for w in found], [known[w][1] for w in found]])))
+            yield pd.DataFrame(out, columns=["block", "coded"])
+
+    return words.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(encode, "block long, coded binary")
 
 
 def decode(encoded: DataFrame, keys: list[str], ids: str, path: str) -> DataFrame:
@@ -111,10 +177,10 @@ def decode(encoded: DataFrame, keys: list[str], ids: str, path: str) -> DataFram
 
     The table of pieces is sent to all tasks: it has a row per id of the vocabulary.
     """
-    table = F.broadcast(pieces(encoded.sparkSession, path))
-    each = encoded.select(*keys, F.posexplode(ids).alias("_at", "id")).join(table, "id")
-    runs = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "id", "piece"))).alias("_run"))
-    return runs.select(*keys, F.col("_run.id").alias(ids), F.unhex(F.array_join("_run.piece", "")).alias("decoded"))
+    table = encoded.sparkSession.createDataFrame(pd.DataFrame([(k, p.hex()) for k, p in _pieces(path).items()], columns=["_id", "_piece"]), "_id int, _piece string")
+    each = encoded.select(*keys, F.posexplode(ids).alias("_at", "_id")).join(F.broadcast(table), "_id")
+    runs = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "_id", "_piece"))).alias("_run"))
+    return runs.select(*keys, F.col("_run._id").alias(ids), F.unhex(F.array_join("_run._piece", "")).alias("decoded"))
 
 
 def encode_and_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
@@ -127,25 +193,19 @@ def encode_and_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str
     """
     small_batches(docs.sparkSession)
     source = docs.select(carried(key).alias("_key"), text_of(text).alias("_text"))
-    words = _blocks(source, path, words=True).repartition("word")
-
-    @F.pandas_udf("array<int>")
-    def ids_of(found: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(raw, dtype="<i4") for raw in encode_words(load_tokenizer(path), found.tolist())])
-
-    # Nondeterministic to the optimizer, so that it is not moved below the exchange and evaluated for every block's words.
-    ids_of = ids_of.asNondeterministic()
-    table = decode(words.select("word").distinct().withColumn("ids", ids_of("word")), ["word"], "ids", path)
-    back = words.join(table, "word").select("block", "place", "ids", "decoded")
+    coded = _coded(_blocks(source, path, words=True), path)
     outcome = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
 
     def assemble(rows: pd.DataFrame, dictionary: pd.DataFrame) -> pd.DataFrame:
-        order = dictionary["place"].to_numpy().argsort()
-        decoded = dictionary["decoded"].to_numpy()[order]
-        counts = np.fromiter(map(len, dictionary["ids"]), dtype=np.int64, count=len(dictionary))[order]
-        ids = dictionary["ids"].to_numpy()[order]
-        if digest:
-            ids = [",".join(map(str, i.tolist())) for i in ids]
+        held = [unpack_columns(raw, 1, 2) for raw in dictionary["coded"]]
+        size = sum(len(numbers[0]) for numbers, _ in held)
+        ids, decoded, counts = [None] * size, [b""] * size, np.zeros(size, dtype=np.int64)
+        for (places,), (own, plain) in held:
+            for place, raw, piece in zip(places.tolist(), own, plain):
+                found = np.frombuffer(raw, "<u4")
+                counts[place] = len(found)
+                ids[place] = ",".join(map(str, found.tolist())) if digest else found.astype(np.int32)
+                decoded[place] = piece
         out = []
         for name, raw in zip(rows["key"], rows["places"]):
             places = unpack_places(raw)
@@ -162,5 +222,5 @@ def encode_and_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str
 
     blocks = _blocks(source, path, words=False)
     schema = f"key string, n_tokens long, {outcome}"
-    joined = blocks.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(assemble, schema)
+    joined = blocks.groupBy("block").cogroup(coded.groupBy("block")).applyInPandas(assemble, schema)
     return joined.select(restored(docs, key, "key").alias(key), *joined.columns[1:])

@@ -52,3 +52,14 @@ def test_odd_rows(spark, monkeypatch, chars):
     wanted = [(k, tuple(load_tokenizer(path).encode(t or "", add_special_tokens=False).ids), t or "") for k, t in rows]
     assert Counter((r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in got) == Counter(wanted)
     assert bpe.encode_and_decode(empty_documents(spark), path).collect() == []
+
+
+def test_decode(spark):
+    path = vocabulary(BYTE_TOKENIZER)
+    tokenizer = load_tokenizer(path)
+    rows = [(k, tokenizer.encode(t, add_special_tokens=False).ids) for k, t in enumerate(TEXTS)]
+    got = {r["k"]: r for r in bpe.decode(spark.createDataFrame(rows, "k int, ids array<int>"), ["k"], "ids", path).collect()}
+    for k, ids in rows:
+        if ids:
+            assert got[k]["ids"] == ids and bytes(got[k]["decoded"]).decode() == tokenizer.decode(ids, skip_special_tokens=False)
+    assert set(got) == {k for k, ids in rows if ids}
