@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from .common import carried, restored, small_batches, text_of
 from .tokens import word_encoder
 
-POOL = 1024
+# Pieces that wait to be placed at most.
+POOL = 512
 
 
 @dataclass(frozen=True)
@@ -32,7 +33,7 @@ class Limits:
 
 
 class Packer:
-    """Places (name, start, length, loss) pieces; `place` and `finish` return (name, start, length, sequence, offset)."""
+    """Places (name, start, length, loss) pieces, with `cut` also parts of pieces that bear loss throughout; `place` and `finish` return (name, start, length, sequence, offset)."""
 
     def __init__(self, limits: Limits, cut: bool, first: int, pool: int = POOL) -> None:
         self.limits, self.cut, self.next, self.pool = limits, cut, first, pool
@@ -72,9 +73,9 @@ class Packer:
             placed[best] = True
             chosen.append((best, int(self.pieces[best, 1])))
             left -= demand[best]
-        if self.cut and left[0] > 0 and left[1] > 0 and not placed.all():
+        if self.cut and left.min() > 0 and not placed.all():
             best = int(np.argmax(np.where(placed, -1, demand[:, 0])))
-            size = int(min(left[0], demand[best, 0]))
+            size = int(min(left[0], left[2], demand[best, 0]))
             chosen.append((best, size))
             placed[best] = size == demand[best, 0]
         out, offset, sequence = [], 0, self.next

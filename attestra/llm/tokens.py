@@ -37,7 +37,7 @@ def encode_words(tokenizer, words: list[str]) -> list[bytes]:
     together = [k for k, w in enumerate(words) if w and "<|" not in w]
     for at in range(0, len(together), 2000):
         part = together[at:at + 2000]
-        ids = np.array(tokenizer.encode(MARK.join([words[k] for k in part]), add_special_tokens=False).ids, dtype="<u4")
+        ids = np.array(tokenizer.encode_batch_fast([MARK.join([words[k] for k in part])], add_special_tokens=False)[0].ids, dtype="<u4")
         cuts = np.flatnonzero(ids == mark)
         begin, end = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
         raw = ids.tobytes()
@@ -48,12 +48,45 @@ def encode_words(tokenizer, words: list[str]) -> list[bytes]:
     return out
 
 
+# Runs of letters and of marks that a tokenizer takes as one piece each, without digits and apostrophes (ASCII and Latin-1).
+RUNS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[!-&(-/:-@\[-`{-~]+")
+PLAIN = re.compile(f"(?:{RUNS.pattern})+")
+
+
 class WordEncoder:
-    """Encodes texts like a tokenizer file that drops white space: the ids of a text are those of its words in turn."""
+    """Encodes texts like a tokenizer file that drops white space: the ids of a text are those of its words in turn.
+
+    Its vocabulary marks the last piece of a run of letters, marks or digits with `</w>` and knows small letters only. A new word
+    of plain runs takes the ids of these; new runs are encoded as one text and told apart by the marks. Other words
+    are encoded as `encode_words` does.
+    """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = load_tokenizer(path)
         self.known: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closes[[k for piece, k in vocabulary.items() if piece.endswith("</w>")]] = True
+
+    def _learn(self, words: list[str]) -> None:
+        plain = [w for w in words if PLAIN.fullmatch(w) and "<|" not in w]
+        cut = [RUNS.findall(w.lower()) for w in plain]
+        if len(self.runs) > KNOWN_WORDS:
+            self.runs.clear()
+        new = list({r for runs in cut for r in runs if r not in self.runs})
+        for at in range(0, len(new), 4000):
+            part = new[at:at + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.closes[ids])
+            if len(ends) != len(part):
+                raise ValueError("the vocabulary does not mark the ends of runs")
+            bounds = [0, *(4 * (ends + 1)).tolist()]
+            raw = ids.tobytes()
+            self.runs.update((r, raw[a:b]) for r, a, b in zip(part, bounds, bounds[1:]))
+        self.known.update((w, self.runs[runs[0]] if len(runs) == 1 else b"".join(map(self.runs.__getitem__, runs))) for w, runs in zip(plain, cut))
+        rest = [w for w in words if w not in self.known]
+        self.known.update(zip(rest, encode_words(self.tokenizer, rest)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -63,8 +96,7 @@ class WordEncoder:
         new = set()
         for words in split:
             new.update(words)
-        missing = [w for w in new if w not in self.known]
-        self.known.update(zip(missing, encode_words(self.tokenizer, missing)))
+        self._learn(list(new.difference(self.known)))
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 

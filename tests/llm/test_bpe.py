@@ -22,7 +22,8 @@ def test_words_give_the_ids_of_the_text():
         assert "".join(words) == text
         ids = [k for raw in bpe.encode_words(byte, words) for k in np.frombuffer(raw, "<u4").tolist()]
         assert ids == byte.encode(text, add_special_tokens=False).ids
-    for text, raw in zip(TEXTS, WordEncoder(vocabulary(WORD_TOKENIZER)).encode(TEXTS)):
+    more = TEXTS + ["Über-Straße!! ÀÉ,é«x» don't a_b [x] {y}| ~`^ 1a2 x² ªº ß.ÿ", "'s x's '' \" $1.5% <|x|> a<|endoftext|>", "e\u0301 o\u0308x \u00d7\u00f7 \u0130 \u03a3\u03c3\u03c2"]
+    for text, raw in zip(more, WordEncoder(vocabulary(WORD_TOKENIZER)).encode(more)):
         assert np.frombuffer(raw, "<u4").tolist() == word.encode(text, add_special_tokens=False).ids
 
 
