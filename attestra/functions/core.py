@@ -13,6 +13,15 @@ UNICODE = "(?U)"
 MARK = "\u0001"
 
 
+def free_of_mark(text: Column) -> Column:
+    """The text with its own marks written as two control characters, so that MARK can cut it; `with_mark` undoes it."""
+    return F.replace(F.replace(text, F.lit("\u0002"), F.lit("\u0002\u0004")), F.lit(MARK), F.lit("\u0002\u0005"))
+
+
+def with_mark(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit("\u0002\u0005"), F.lit(MARK)), F.lit("\u0002\u0004"), F.lit("\u0002"))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it any number of times in ``body``."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

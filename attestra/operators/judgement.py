@@ -64,7 +64,8 @@ def judge_records(parsed: DataFrame) -> DataFrame:
 def apply_methods(judged: DataFrame) -> DataFrame:
     """A general-method verdict replaces the earlier one unless that came from an echo or the permit authority."""
     text = F.concat_ws("\n", "test_name", "method", "criteria", "result", "test_period")
-    decided = methods.method_verdict(text, F.col("result"), F.col("criteria"), F.col("test_period"))
+    dated = F.concat_ws("\n", *[blank_to_null(F.col(c)) for c in ("test_period", "test_date", "raw_text") if c in judged.columns])
+    decided = methods.method_verdict(text, F.col("result"), F.col("criteria"), dated)
     fixed = F.col("verdict.comparator").isin("echo", "permit_authority")
     return (judged.withColumn("method_verdict", decided)
             .withColumn("source", F.when(~fixed & F.col("method_verdict").isNotNull(), "method").otherwise("cascade"))

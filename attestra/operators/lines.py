@@ -6,11 +6,13 @@ of any length is processed in many tasks (see `ordered`).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.core import let, literal_map, matches, sub
+from ..functions.core import MARK, free_of_mark, let, literal_map, matches, sub, with_mark
 from ..functions.fields import key_value
 from ..session import cut_lineage
 from .ordered import block_of, neighbour, row_numbers, running_last, running_lasts, running_sum
@@ -123,15 +125,18 @@ def descendants(chunks: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def assemble_records(lines: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Test records: a name line opens a record, the labelled lines up to the next name fill its fields.
+    """Test records: a name line opens a record, the lines up to the next name fill it.
 
+    Labelled lines fill criteria, result, method, test_period, test_date and remarks, lines without a label the narrative.
     Several distinct values of one field are kept in order, joined by a line break.
     """
     opened = running_sum(lines, keys, "block", [order], F.when(F.col("starts"), 1).otherwise(0), "record_no")
     name = F.when(F.col("starts"), F.col("line"))
-    first = opened.groupBy(*keys, "record_no", "field", F.col("kv.value").alias("value")).agg(
+    field = F.coalesce("field", F.when(~F.coalesce("starts", F.lit(False)) & F.col("kv").isNull() & F.col("heading").isNull(), "narrative"))
+    value = F.when(F.col("field").isNotNull(), F.col("kv.value")).otherwise(F.col("line"))
+    first = opened.groupBy(*keys, "record_no", field.alias("field"), value.alias("value")).agg(
         F.min(order).alias("pos"), F.max(name).alias("test_name"), F.min(order).alias("first_pos"))
-    fields = [f for f in ("criteria", "result", "method", "test_period") ]
+    fields = ["criteria", "result", "method", "test_period", "test_date", "remarks", "narrative"]
     return first.where("record_no > 0").groupBy(*keys, "record_no").agg(
         F.max("test_name").alias("test_name"), F.min("first_pos").alias("order_idx"),
         *[_joined(f).alias(f) for f in fields])
@@ -144,7 +149,7 @@ def _joined(name: str) -> Column:
 
 def drop_empty_records(records: DataFrame) -> DataFrame:
     """Records without any field (a bare name hit) are not records."""
-    return records.where("criteria is not null or result is not null or method is not null or test_period is not null")
+    return records.where("coalesce(criteria, result, method, test_period, test_date, remarks) is not null")
 
 
 def pack_paragraphs(text: Column, limit: int = 2600) -> Column:
@@ -167,9 +172,9 @@ def pack_paragraphs(text: Column, limit: int = 2600) -> Column:
 
 def evidence_units(text: Column) -> Column:
     """Lossless pieces cut after sentence punctuation (never inside a number) and around blank or n/N lines."""
-    marked = sub(text, r"((?<!\d)[,，]|[,，](?!\d)|[;；。!?！？]|(?<=[다함됨음])\.(?=\s|$))", "$1\u0001")
-    marked = sub(marked, r"(?m)^([^\S\n\u0001]*(?:\d+[^\S\n]*/[^\S\n]*\d+)?[^\S\n\u0001]*(?:\n|$))", "\u0001$1\u0001")
-    return F.filter(F.split(marked, "\u0001"), lambda u: u != "")
+    marked = sub(free_of_mark(text), r"((?<!\d)[,，]|[,，](?!\d)|[;；。!?！？]|(?<=[다함됨음])\.(?=\s|$))", f"$1{MARK}")
+    marked = sub(marked, rf"(?m)^([^\S\n{MARK}]*(?:\d+[^\S\n]*/[^\S\n]*\d+)?[^\S\n{MARK}]*(?:\n|$))", f"{MARK}$1{MARK}")
+    return F.transform(F.filter(F.split(marked, MARK), lambda u: u != ""), with_mark)
 
 
 def unit_rows(units: DataFrame, keys: list[str]) -> DataFrame:
@@ -183,15 +188,12 @@ def unit_rows(units: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def cue_hits(pages: DataFrame, keys: list[str], terms: list[str], text: str = "text") -> DataFrame:
-    """Every occurrence of a cue term (white space allowed between its letters) with its offset."""
-    out = []
-    for term in terms:
-        pattern = r"\s*".join(ch for ch in term if not ch.isspace())
-        pieces = F.split(sub(F.col(text), f"({pattern})", "\u0001$1\u0002"), "[\u0001\u0002]")
-        out.append(pages.select(*keys, F.lit(term).alias("term"), pieces.alias("pieces")))
-    rows = out[0]
-    for more in out[1:]:
-        rows = rows.unionByName(more)
+    """Every occurrence of a cue term (white space allowed between its letters) with its offset; pages are read once."""
+    def pieces(term: str) -> Column:
+        pattern = r"\s*".join(re.escape(ch) for ch in term if not ch.isspace())
+        return F.transform(F.split(sub(free_of_mark(F.col(text)), f"({pattern})", f"{MARK}$1{MARK}"), MARK), with_mark)
+    each = F.array(*[F.struct(F.lit(term).alias("term"), pieces(term).alias("pieces")) for term in terms])
+    rows = pages.select(*keys, F.explode(each).alias("_hit")).select(*keys, "_hit.term", "_hit.pieces")
     # odd pieces are the hits; the lengths of all earlier pieces give the offset
     lengths = F.transform("pieces", lambda p: F.length(p))
     ends = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.try_element_at(acc, F.lit(-1)) + n))

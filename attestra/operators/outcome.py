@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import literal_map
+from ..functions.text import key
 from .judgement import severity, severity_name
 
 
@@ -29,10 +30,10 @@ def findings(docs: DataFrame, checks: DataFrame, rules: list) -> DataFrame:
 
     `docs` may carry a product column; `checks` carries rule_id. The rule list is a small fixed dimension.
     """
-    rows = F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.array(*[F.lit(p) for p in r.products]).cast("array<string>").alias("products"))
+    rows = F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.array(*[key(F.lit(p)) for p in r.products]).cast("array<string>").alias("products"))
                      for r in rules])
     grid = docs.select("doc_id", "product", F.explode(rows).alias("r")).select(
-        "doc_id", "r.rule_id", ((F.size("r.products") == 0) | F.array_contains("r.products", F.col("product"))).alias("applies"))
+        "doc_id", "r.rule_id", ((F.size("r.products") == 0) | F.array_contains("r.products", key(F.col("product")))).alias("applies"))
     rolled = checks.groupBy("doc_id", "rule_id").agg(
         F.count_if(F.col("status") == "FAIL").alias("violations"), F.count_if(F.col("status") == "HOLD").alias("missing"),
         F.count_if(F.col("status").isin("PASS", "FAIL")).alias("checked"))
@@ -41,11 +42,25 @@ def findings(docs: DataFrame, checks: DataFrame, rules: list) -> DataFrame:
     return joined.withColumns(zero).withColumn("status", F.when(F.col("applies"), _status()).otherwise("N/A")).drop("applies")
 
 
-def blocked_by(found: DataFrame, dependencies: DataFrame) -> DataFrame:
-    """A HOLD finding whose parent rule failed in the same document stays HOLD and names the parent."""
+def blocked_by(found: DataFrame, checks: DataFrame, rules: list) -> DataFrame:
+    """A HOLD finding whose parent rule failed in the same document stays HOLD and names the parent.
+
+    A dependency has a scope: it counts if the scope occurs in the reason of a gap or in the context that the rule selects.
+    Rules and their dependencies are a small fixed dimension.
+    """
+    links = [(r.id, parent, scope or "", " ".join(r.selector.get("context", []))) for r in rules for parent, scope in r.depends_on.items()]
+    if not links:
+        return found.withColumn("blocked_by", F.lit(None).cast("array<string>"))
+    table = F.array(*[F.struct(F.lit(a).alias("rule_id"), F.lit(b).alias("parent_id"), key(F.lit(c)).alias("scope"),
+                               key(F.lit(d)).contains(key(F.lit(c))).alias("selected")) for a, b, c, d in links])
+    held = found.where("status = 'HOLD'").select("doc_id", "rule_id", F.explode(F.filter(table, lambda d: d["rule_id"] == F.col("rule_id"))).alias("d"))
     parents = found.where("status = 'FAIL'").select("doc_id", F.col("rule_id").alias("parent_id"))
-    links = found.where("status = 'HOLD'").select("doc_id", "rule_id").join(dependencies, "rule_id").join(parents, ["doc_id", "parent_id"])
-    marks = links.groupBy("doc_id", "rule_id").agg(F.array_sort(F.collect_set("parent_id")).alias("blocked_by"))
+    open_ = held.select("doc_id", "rule_id", "d.parent_id", "d.scope", "d.selected").join(parents, ["doc_id", "parent_id"])
+    gaps = checks.where("status = 'HOLD'").select("doc_id", "rule_id", key(F.col("reason")).alias("reason")).distinct()
+    named = (open_.where("not selected").join(gaps, ["doc_id", "rule_id"]).where(F.col("reason").contains(F.col("scope")))
+             .select("doc_id", "rule_id", "parent_id"))
+    marks = open_.where("selected").select("doc_id", "rule_id", "parent_id").unionByName(named).groupBy("doc_id", "rule_id").agg(
+        F.array_sort(F.collect_set("parent_id")).alias("blocked_by"))
     return found.join(marks, ["doc_id", "rule_id"], "left")
 
 

@@ -95,12 +95,14 @@ def rule_permit_test(t):
 
 
 @query("permit_resolution", "P5", """
-SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 4 = 0 THEN 1000 + c_nationkey WHEN n_regionkey <> 2 THEN n_nationkey END AS permit_id,
+SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 4 = 0 THEN 1000 + k * 50 + c_nationkey WHEN n_regionkey <> 2 THEN n_nationkey END AS permit_id,
   CASE WHEN c_custkey % 4 = 0 THEN 'linked' WHEN n_nationkey IS NULL THEN 'none' WHEN n_regionkey = 2 THEN 'hash_mismatch' ELSE 'catalogue' END AS source
-FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND c_mktsegment <> 'MACHINERY'""")
+FROM customer JOIN (VALUES (0), (1)) v(k) ON k = 0 OR c_custkey % 8 = 0
+LEFT JOIN nation ON c_nationkey = n_nationkey AND c_mktsegment <> 'MACHINERY'""")
 def permit_resolution(t):
     docs = t.wide("customer", "*").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("nation_ "), "c_nationkey").alias("company"), F.initcap("c_mktsegment").alias("product"))
-    links = t.customer.where(F.col("c_custkey") % 4 == 0).select(F.col("c_custkey").alias("doc_id"), (F.col("c_nationkey") + 1000).cast("int").alias("permit_id"))
+    links = t.customer.where(F.col("c_custkey") % 4 == 0).select(F.col("c_custkey").alias("doc_id"), F.explode(F.when(
+        F.col("c_custkey") % 8 == 0, F.array(F.col("c_nationkey") + 1000, F.col("c_nationkey") + 1050)).otherwise(F.array(F.col("c_nationkey") + 1000))).alias("permit_id"))
     segments = t.customer.select("c_mktsegment").distinct().where("c_mktsegment <> 'MACHINERY'")
     digest = F.sha2(F.col("n_name"), 256)
     catalogue = t.nation.join(t.region.select("r_regionkey"), F.col("n_regionkey") == F.col("r_regionkey")).select(

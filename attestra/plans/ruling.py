@@ -186,8 +186,9 @@ def _storage_records(t):
         "doc_id", "record_type", F.lit(0.0).alias("order_idx"), "section_title", "test_name",
         F.concat(F.lit("제조년월일: "), dotted("made"), F.lit("\n허가된 저장기간: "), F.col("months"), F.lit("개월")).alias("content"), F.lit("").alias("test_period"))
     tests = lines(t).select("doc_id", "record_type", "order_idx", F.lit("완제 시험").alias("section_title"), F.lit("역가시험").alias("test_name"),
-                            F.lit("").alias("content"), F.when(F.col("f") == 6, "").otherwise(dotted("shipped")).alias("test_period"))
-    return sources.unionByName(tests)
+                            F.when(F.col("f") == 4, F.concat(F.lit("제조년월일: "), dotted("shipped"))).otherwise("").alias("content"),
+                            F.when(F.col("f").isin(4, 5, 6), "").otherwise(dotted("shipped")).alias("test_period"), F.when(F.col("f") == 5, dotted("shipped")).alias("test_date"))
+    return sources.unionByName(tests, allowMissingColumns=True)
 
 
 @query("rule_storage_window", "R13", f"""
@@ -202,7 +203,7 @@ def rule_storage_window(t):
 
 @query("rule_after_manufacture", "R22", f"""
 WITH {ORDER_DOCS}, {ORDERS_SQL}, {LINES_SQL},
-checks AS (SELECT l.doc_id, CASE WHEN f = 6 THEN 'HOLD' WHEN shipped < made THEN 'FAIL' ELSE 'PASS' END AS status FROM l JOIN o USING (doc_id))
+checks AS (SELECT l.doc_id, CASE WHEN f IN (4, 6) THEN 'HOLD' WHEN shipped < made THEN 'FAIL' ELSE 'PASS' END AS status FROM l JOIN o USING (doc_id))
 {OUTCOME_SQL}""")
 def rule_after_manufacture(t):
     rule = Rule("C.7", "test_after_manufacture", {}, {"stages": [{"source": ["원액"], "target": ["완제"]}]})
@@ -303,6 +304,11 @@ def rule_semantic(t):
     decisions = order_docs(t).where(n != 0).select(
         "doc_id", F.when(n == 4, "MAYBE").when(F.col("doc_id") % 2 == 0, "PASS").otherwise("FAIL").alias("status"),
         F.when(n == 1, F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(0))).alias("evidence_indices"))
+    # a second rule with its own evidence and the opposite decisions must not touch the first
+    other = decisions.select("doc_id", F.when(F.col("status") == "PASS", "FAIL").otherwise("PASS").alias("status"), F.array(F.lit(0)).alias("evidence_indices"))
+    mine, theirs = F.lit("D.1").alias("rule_id"), F.lit("D.2").alias("rule_id")
+    evidence = evidence.select("*", mine).unionByName(evidence.select("*", theirs))
+    decisions = decisions.select("*", mine).unionByName(other.select("*", theirs))
     return finish(order_docs(t), R.semantic_review(evidence, decisions, Rule("D.1", "semantic_review")))
 
 
@@ -323,7 +329,7 @@ def rule_duplicates(t):
     name = F.concat(F.when(F.col("l_partkey") % 2 == 0, "항 목 ").otherwise("항목"), F.col("f"))
     tests = lines(t).withColumns({"test_name": name, "section_title": F.lit("완제"), "criteria": F.lit("10 mg 이하"),
                                   "result": F.concat(F.col("l_suppkey") % 3, F.when(F.col("q") % 2 == 0, " ㎎").otherwise("MG"))})
-    return finish(order_docs(t), R.duplicate_tests(tests, Rule("A.6", "duplicate_tests"), ["section_title", "test_name", "criteria", "result"]))
+    return finish(order_docs(t), R.duplicate_tests(tests, Rule("A.6", "duplicate_tests")))
 
 
 @query("rule_diagram", "R3", f"""
@@ -334,7 +340,7 @@ def rule_diagram(t):
     n = F.col("doc_id") % 6
     nodes = orders(t).select("doc_id", F.lit("n1").alias("node_id"), F.lit("원액  제조").alias("name"),
                              F.when(n != 5, F.create_map(F.lit("제조량"), F.concat(F.col("months"), F.lit(" L")))).alias("fields"))
-    body = orders(t).select("doc_id", F.lit("원액 제조").alias("section_title"), F.concat(
+    body = orders(t).select("doc_id", F.lit("2.1 원액 제조 공정").alias("section_title"), F.concat(
         F.when(n == 2, "총 제조량: ").when(n == 0, "수율: ").otherwise("제조량 | "), F.when(n == 1, F.col("months") + 1).otherwise(F.col("months")), F.lit("L")).alias("content"))
     return finish(order_docs(t), R.diagram_consistency(nodes, body, Rule("A.7", "diagram_consistency", {}, {"field": "제조량"})))
 
@@ -365,7 +371,7 @@ def _checks(t):
 
 
 def _findings(t):
-    docs = t.orders.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("P"), F.col("o_custkey") % 3).alias("product"))
+    docs = t.orders.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("  p "), F.col("o_custkey") % 3).alias("product"))
     return O.findings(docs, _checks(t), _RULES)
 
 
@@ -379,12 +385,11 @@ def rule_outcome(t):
 
 @query("rule_dependencies", "R29", f"""WITH {_FINDINGS_SQL}
 SELECT f.doc_id, f.rule_id, f.status, CASE WHEN p.doc_id IS NOT NULL THEN 'A.4' END AS blocked_by
-FROM findings f LEFT JOIN findings p ON f.doc_id = p.doc_id AND f.rule_id = 'A.8' AND f.status = 'HOLD' AND p.rule_id = 'A.4' AND p.status = 'FAIL'""")
+FROM findings f LEFT JOIN findings p ON f.doc_id = p.doc_id AND f.rule_id = 'A.8' AND f.status = 'HOLD' AND f.doc_id % 5 <> 0 AND p.rule_id = 'A.4' AND p.status = 'FAIL'""")
 def rule_dependencies(t):
-    spark = t.spark
-    pairs = [(r.id, parent) for r in _RULES for parent in r.depends_on]
-    dependencies = spark.createDataFrame(pairs, "rule_id string, parent_id string")
-    marked = O.blocked_by(_findings(t), dependencies)
+    # the scope of the dependency is named by the gap of four documents in five
+    checks = _checks(t).withColumn("reason", F.when(F.col("doc_id") % 5 == 0, "정제 제조 누락").otherwise("원 액 제조 누락"))
+    marked = O.blocked_by(_findings(t), checks, _RULES)
     return marked.select("doc_id", "rule_id", "status", F.array_join("blocked_by", ",").alias("blocked_by"))
 
 

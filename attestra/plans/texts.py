@@ -122,7 +122,9 @@ def broken_names(t):
 @query("record_assembly", "T10 T11", """
 SELECT o_custkey AS doc_id, o_orderkey * 8 AS order_idx, '항목' || (o_orderkey % 97) || '시험' AS test_name,
   CAST(o_custkey % 50 AS VARCHAR) || ' mg 이하' AS criteria,
-  CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 40) || ' mg' || CHR(10) || '재시험 ' || (o_orderkey % 41) || ' mg' ELSE (o_orderkey % 40) || ' mg' END AS result
+  CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 40) || ' mg' || CHR(10) || '재시험 ' || (o_orderkey % 41) || ' mg' ELSE (o_orderkey % 40) || ' mg' END AS result,
+  '2024.01.' || LPAD((o_orderkey % 28 + 1)::VARCHAR, 2, '0') AS test_date, '보관 ' || (o_orderkey % 7) AS remarks,
+  CASE WHEN o_orderkey % 3 <> 0 THEN '설명 문장' END AS narrative
 FROM orders WHERE o_orderkey % 5 <> 0""")
 def record_assembly(t):
     o, name = F.col("o_orderkey"), F.concat(F.lit("항목"), F.col("o_orderkey") % 97, F.lit("시험"))
@@ -130,14 +132,16 @@ def record_assembly(t):
         F.struct(F.lit(0).alias("k"), name.alias("line")), F.struct(F.lit(1).alias("k"), F.concat(F.lit("기 준: "), F.col("o_custkey") % 50, F.lit(" mg 이하")).alias("line")),
         F.struct(F.lit(2).alias("k"), F.concat(F.lit("시험결과 "), o % 40, F.lit(" mg")).alias("line")),
         F.struct(F.lit(3).alias("k"), F.concat(F.lit("시험결과: "), o % 40, F.lit(" mg")).alias("line")),
-        F.struct(F.lit(4).alias("k"), F.when(o % 3 == 0, F.concat(F.lit("결과: 재시험 "), o % 41, F.lit(" mg"))).otherwise("설명 문장").alias("line")))
+        F.struct(F.lit(4).alias("k"), F.when(o % 3 == 0, F.concat(F.lit("결과: 재시험 "), o % 41, F.lit(" mg"))).otherwise("설명 문장").alias("line")),
+        F.struct(F.lit(5).alias("k"), F.concat(F.lit("시험일자: 2024.01."), F.lpad((o % 28 + 1).cast("string"), 2, "0")).alias("line")),
+        F.struct(F.lit(6).alias("k"), F.concat(F.lit("비 고: 보관 "), o % 7).alias("line")))
     # every fifth order is a bare name without fields
     body = F.when(o % 5 == 0, F.slice(filled, F.lit(1), F.lit(1))).otherwise(filled)
     lines = t.wide("orders", "o_orderkey", "o_custkey").select(F.col("o_custkey").alias("doc_id"), F.explode(body).alias("b"), o.alias("o")).select(
         "doc_id", (F.col("o") * 8 + F.col("b.k")).alias("position"), "b.line").withColumn("block", L.block_of(F.col("position"), 65536))
     typed = L.classify(lines).withColumn("starts", L.is_test_name(F.col("line")))
     records = L.drop_empty_records(L.assemble_records(typed, ["doc_id"], "position"))
-    return records.select("doc_id", "order_idx", "test_name", "criteria", "result")
+    return records.select("doc_id", "order_idx", "test_name", "criteria", "result", "test_date", "remarks", "narrative")
 
 
 @query("chunk_pack", "T19", """
