@@ -28,14 +28,18 @@ UNITS = {
 _KNOWN = "^(" + "|".join(sorted(UNITS, key=len, reverse=True)) + ")"
 
 _POWER = r"\s*[xX×]\s*10\s*(?:\^\s*)?"
-_SUPERSCRIPTS = "⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺"
+SUPERSCRIPTS = "⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺"
 NUMBER = r"[+-]?\d[\d,]*(?:\.\d+)?"
-_MEASURE = rf"({NUMBER})(?:{_POWER}([+\-]?\d+|[{_SUPERSCRIPTS}]+))?(.*)"
+_MEASURE = rf"({NUMBER})(?:{_POWER}([+\-]?\d+|[{SUPERSCRIPTS}]+))?(.*)"
 # A number with its power, and the text up to the next number.
-NUMBER_AND_TAIL = rf"{NUMBER}(?:{_POWER}[+\-]?[\d{_SUPERSCRIPTS}]+)?[^\d]*"
+NUMBER_AND_TAIL = rf"{NUMBER}(?:{_POWER}[+\-]?[\d{SUPERSCRIPTS}]+)?[^\d]*"
 _EDGE = r"^[ :：,;()\[\]{}]+|[ :：,;()\[\]{}]+$"
 
 
+# Words that end the unit behind a number.
+ENDS_UNIT = ["이상", "이하", "초과", "미만", "이어야", "하여야", "함", "일치", "확인", "무", "음성", "양성", "불검출", "검출"]
+
+
 def measure_text(text: Column) -> Column:
     """Unit glyphs and sign variants folded; superscripts keep their meaning."""
     plain = F.translate(fold_units(clean(text)), "µ％×", "μ%x")
@@ -43,7 +47,7 @@ def measure_text(text: Column) -> Column:
 
 
 def _unit_struct(value: Column, tail: Column) -> Column:
-    cut = sub(tail, r"(?s)\s*(?:이상|이하|초과|미만|이어야|하여야|함|일치|확인|무|음성|양성|불검출|검출)\b.*$", "")
+    cut = sub(tail, r"(?s)\s*(?:" + "|".join(ENDS_UNIT) + r")\b.*$", "")
     edge = F.regexp_replace(cut, _EDGE, "")
 
     def with_edge(text: Column) -> Column:
@@ -69,7 +73,7 @@ def measured(normal: Column) -> Column:
     """`measurement` of a text that is in its normal form already."""
     def build(parts: Column) -> Column:
         base = F.replace(F.get(parts, F.lit(1)), F.lit(","), F.lit("")).try_cast("double")
-        power = F.translate(F.get(parts, F.lit(2)), _SUPERSCRIPTS, "0123456789-+").try_cast("int")
+        power = F.translate(F.get(parts, F.lit(2)), SUPERSCRIPTS, "0123456789-+").try_cast("int")
         value = F.when(power.isNull(), base).otherwise(base * F.pow(F.lit(10.0), power))
         return F.when(base.isNotNull(), let(value, lambda v: _unit_struct(v, F.get(parts, F.lit(3)))))
     return let(capture(normal, _MEASURE, 3), build)
