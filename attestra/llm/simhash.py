@@ -26,56 +26,86 @@ TILE_ROWS = 4096
 MATRIX_CELLS = 1 << 20
 
 
-def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
-    """64 bits, each set if it is set in over half of the shingle hashes; 0 without any word."""
+def _mixed(hashes: np.ndarray, turn: int) -> np.ndarray:
+    """Another 64 bits of every hash; turn 0 leaves it as it is."""
+    if turn == 0:
+        return hashes
+    x = hashes + np.uint64(turn * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ x >> np.uint64(32)
+
+
+def codes(text: str, words: int = 3, parts: int = 1, seed: int = 42) -> list[int]:
+    """`parts` times 64 bits, each set if it is set in over half of the shingle hashes; 0 without any word."""
     found = text.encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0
+        return [0] * parts
     if len(found) <= words:
         shingles = [b" ".join(found)]
     else:
         shingles = map(b" ".join, zip(*[found[k:] for k in range(words)]))
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(s, seed) for s in shingles], dtype="<u8")
-    counts = np.zeros(64, dtype=np.int64)
+    counts = np.zeros((parts, 64), dtype=np.int64)
     for at in range(0, len(hashes), 4096):
-        part = hashes[at:at + 4096].view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        for turn in range(parts):
+            raw = _mixed(hashes[at:at + 4096], turn).view(np.uint8).reshape(-1, 8)
+            counts[turn] += np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = (2 * counts > len(hashes)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, text: str = "text", words: int = 3, name: str = "_fp") -> DataFrame:
-    """The rows with a signed 64-bit fingerprint of the whole text in place of the text."""
+def fingerprints(docs: DataFrame, text: str = "text", words: int = 3, parts: int = 1) -> DataFrame:
+    """The rows with `codes`, signed longs from the whole text, and `fp`, one long that names them, in place of the text."""
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("long")
+    @F.pandas_udf("array<long>")
     def of(texts: pd.Series) -> pd.Series:
-        values = np.fromiter((fingerprint(t, words) for t in texts), dtype=np.uint64, count=len(texts))
-        return pd.Series(values.view(np.int64))
+        return pd.Series([np.array(codes(t, words, parts), dtype=np.uint64).view(np.int64) for t in texts])
 
-    return docs.withColumn(name, of(text_of(text))).drop(text)
+    named = F.get("codes", F.lit(0)) if parts == 1 else F.xxhash64("codes")
+    return docs.withColumn("codes", of(text_of(text))).withColumn("fp", named).drop(text)
 
 
 def _part(value: Column, k: int) -> Column:
     return F.bit_count(F.shiftrightunsigned(value, k * WORD_BITS).bitwiseAND(F.lit((1 << WORD_BITS) - 1)))
 
 
-def _offsets(radius: int) -> list[int]:
-    """Packed count differences within the radius, one of each opposite pair."""
+def _offsets(radius: int, words: int) -> list[int]:
+    """Packed differences of `words` counts within the radius, one of each opposite pair."""
     steps = range(-radius, radius + 1)
-    near = [o for o in product(steps, repeat=WORDS) if sum(map(abs, o)) <= radius and o >= (0,) * WORDS]
+    near = [o for o in product(steps, repeat=words) if sum(map(abs, o)) <= radius and o >= (0,) * words]
     return [sum(x << (8 * k) for k, x in enumerate(reversed(o))) for o in near]
 
 
+def _matches(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of all pairs within the radius.
+
+    Of several words, one has to lie within its share of the radius; only such pairs are summed up.
+    """
+    words = left.shape[1]
+    near = np.zeros((len(left), len(right)), dtype=bool)
+    for k in range(words):
+        near |= np.bitwise_count(left[:, k][:, None] ^ right[:, k][None, :]) <= radius // words
+    i, j = np.nonzero(near)
+    if words > 1:
+        within = np.bitwise_count(left[i] ^ right[j]).sum(axis=1, dtype=np.int64) <= radius
+        i, j = i[within], j[within]
+    return i, j
+
+
 def _joined(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """A star per connected group of the two tiles: no more edges than fingerprints, the same components."""
-    nodes = np.concatenate([left, right])
+    """A star per connected group of the two tiles: no more edges than fingerprints, the same components.
+
+    The first column names a fingerprint, the others are its words.
+    """
+    nodes = np.concatenate([left[:, 0], right[:, 0]])
+    left, right = left[:, 1:], right[:, 1:]
     label = np.arange(len(nodes))
     rows = max(1, MATRIX_CELLS // len(right))
     met = np.zeros(len(nodes), dtype=bool)
     for at in range(0, len(left), rows):
-        i, j = np.nonzero(np.bitwise_count(left[at:at + rows, None] ^ right[None, :]) <= radius)
+        i, j = _matches(left[at:at + rows], right, radius)
         i, j = i + at, j + len(left)
         met[i] = met[j] = True
         while True:
@@ -98,19 +128,25 @@ def _joined(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tup
     return a[a != b], b[a != b]
 
 
-def links(distinct: DataFrame, radius: int = 3, tile_rows: int = TILE_ROWS) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 3, tile_rows: int = TILE_ROWS, parts: int = 1) -> DataFrame:
     """Edges (a, b) between distinct fingerprints whose components are those of all links within the radius.
 
-    Columns of the input: fp. Signatures number at most 17 to the fourth, so their counts are sent to all tasks.
+    Columns of the input: fp and codes. Fingerprints of one long are tiled by the counts of its four words, longer ones
+    by their whole count, so signatures number at most 17 to the fourth and their counts are sent to all tasks.
     """
     small_batches(distinct.sparkSession)
-    signature = sum((_part(F.col("fp"), k) * (1 << (8 * k)) for k in range(WORDS)), F.lit(0)).cast("bigint")
-    signed = distinct.select("fp", signature.alias("sig"))
+    if parts == 1:
+        counts = sum((_part(F.get("codes", F.lit(0)), k) * (1 << (8 * k)) for k in range(WORDS)), F.lit(0)).cast("bigint")
+        steps = _offsets(radius, WORDS)
+    else:
+        counts = F.aggregate("codes", F.lit(0).cast("bigint"), lambda total, code: total + F.bit_count(code))
+        steps = _offsets(radius, 1)
+    signed = distinct.select("fp", "codes", counts.alias("sig"))
     sizes = signed.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / tile_rows).alias("n"))
-    tiles = (signed.join(F.broadcast(sizes), "sig")
-             .groupBy("sig", F.pmod(F.xxhash64("fp"), "n").alias("tile")).agg(F.collect_list("fp").alias("fps")))
+    tiles = (signed.join(F.broadcast(sizes), "sig").groupBy("sig", F.pmod(F.xxhash64("fp"), "n").alias("tile"))
+             .agg(F.flatten(F.collect_list(F.concat(F.array("fp"), "codes"))).alias("fps")))
     tiles = stored(tiles)
-    offsets = F.array(*[F.lit(o).cast("bigint") for o in _offsets(radius)])
+    offsets = F.array(*[F.lit(o).cast("bigint") for o in steps])
     near = tiles.select("sig", "tile", F.explode(F.transform(offsets, lambda o: F.col("sig") + o)).alias("other"))
     there = tiles.groupBy("sig").agg(F.count(F.lit(1)).alias("_n")).select(F.col("sig").alias("other"))
     wanted = near.join(F.broadcast(there), "other", "left_semi").groupBy("sig").agg(F.collect_set("other").alias("others"))
@@ -120,10 +156,12 @@ def links(distinct: DataFrame, radius: int = 3, tile_rows: int = TILE_ROWS) -> D
              .where("l_sig <> sig or l_tile <= tile")
              .select("l", "r", F.expr("l_sig = sig and l_tile = tile").alias("same")))
 
+    def table(fps: np.ndarray) -> np.ndarray:
+        return np.asarray(fps, dtype=np.int64).view(np.uint64).reshape(-1, 1 + parts)
+
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [_joined(np.asarray(l, dtype=np.int64).view(np.uint64), np.asarray(r, dtype=np.int64).view(np.uint64), radius, same)
-                     for l, r, same in zip(batch["l"], batch["r"], batch["same"])]
+            found = [_joined(table(l), table(r), radius, same) for l, r, same in zip(batch["l"], batch["r"], batch["same"])]
             a = np.concatenate([f[0] for f in found] or [np.zeros(0, np.uint64)]).view(np.int64)
             b = np.concatenate([f[1] for f in found] or [np.zeros(0, np.uint64)]).view(np.int64)
             yield pd.DataFrame({"a": a, "b": b})
@@ -131,12 +169,12 @@ def links(distinct: DataFrame, radius: int = 3, tile_rows: int = TILE_ROWS) -> D
     return pairs.mapInPandas(compare, "a long, b long")
 
 
-def _grouped(docs: DataFrame, key: str, text: str, radius: int, words: int, tile_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (_key, _row, fp), where _row hashes the text, and distinct fingerprints (fp, first, root)."""
+def _grouped(docs: DataFrame, key: str, text: str, radius: int, words: int, parts: int, tile_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (_key, _row, codes, fp), where _row hashes the text, and distinct fingerprints (fp, first, root)."""
     rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text_of(text)).alias("_row"), F.col(text).alias("_text"))
-    rows = stored(fingerprints(rows, "_text", words, "fp"))
-    distinct = stored(rows.groupBy("fp").agg(F.min("_key").alias("first")))
-    labels = components(links(distinct.select("fp"), radius, tile_rows), "a", "b")
+    rows = stored(fingerprints(rows, "_text", words, parts))
+    distinct = stored(rows.groupBy("fp").agg(F.min("codes").alias("codes"), F.min("_key").alias("first")))
+    labels = components(links(distinct, radius, tile_rows, parts), "a", "b")
     return rows, distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
@@ -148,20 +186,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     have fingerprint zero and link like others; repeated rows stay; a null key never names a component unless all
     keys of it are null. Further columns are dropped, whatever their names. An empty table gives an empty result.
     """
-    rows, rooted = _grouped(docs, key, text, radius, words, tile_rows)
+    rows, rooted = _grouped(docs, key, text, radius, words, 1, tile_rows)
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(lowest, "root").select("fp", "component_id")
     return (rows.join(named, "fp")
             .select(F.col("_key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
-def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, words: int = 3,
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 52, words: int = 5, parts: int = 4,
                     tile_rows: int = TILE_ROWS) -> DataFrame:
     """One whole row of docs per component: that of the smallest key, of several such rows that of the smallest text hash.
 
+    With the values given, 52 of 256 bits of five-word shingles, texts whose shingles overlap by 0.8 or more are linked: at 0.8
+    fingerprints differ in 36 bits on average and 49 at most in trials, at 0.65 in 55, those of unrelated texts in 128.
+
     Null keys come last. All columns are kept; of rows equal in key and text one is kept.
     """
-    rows, rooted = _grouped(docs, key, text, radius, words, tile_rows)
+    rows, rooted = _grouped(docs, key, text, radius, words, parts, tile_rows)
     chosen = (rows.join(rooted.select("fp", "root"), "fp").groupBy("root")
               .agg(F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "_row")).alias("of")).select("of._key", "of._row"))
     marked = docs.withColumns({"_key": F.col(key), "_row": F.xxhash64(text_of(text))})

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
-from helpers import empty_documents, odd_documents
+from helpers import empty_documents, odd_documents, prose
 
 from attestra.llm import simhash
 from attestra.llm.components import components
@@ -68,13 +68,54 @@ def test_links_keep_every_component(spark, tile_rows):
     for k in range(20):
         chain.append(chain[-1] ^ (0b111 << (3 * k)))
     prints = sorted({*map(int, base), *near, *chain})
-    found = simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"), tile_rows=tile_rows)
+    found = simhash.links(spark.createDataFrame([(p, [p]) for p in prints], "fp long, codes array<long>"), tile_rows=tile_rows)
     got = {r["node"]: r["root"] for r in components(found, "a", "b").collect()}
     names = slow_components([p & (1 << 64) - 1 for p in prints])
     mine = [got.get(p, p) for p in prints]
     assert len(set(zip(mine, names))) == len(set(mine)) == len(set(names))
 
 
+@pytest.mark.parametrize("tile_rows", [5, 4096])
+def test_wide_links_keep_every_component(spark, tile_rows):
+    random = np.random.default_rng(8)
+    prints = []
+    for base in random.integers(0, 1 << 62, (25, 4), dtype=np.int64):
+        for flips in (0, 20, 36, 37, 60):
+            bits = np.unpackbits(base.view(np.uint8))
+            bits[random.choice(256, flips, replace=False)] ^= 1
+            prints.append(np.packbits(bits).view(np.int64))
+    found = simhash.links(spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(prints)], "fp long, codes array<long>"), 36, tile_rows, 4)
+    got = {r["node"]: r["root"] for r in components(found, "a", "b").collect()}
+    whole = [int.from_bytes(p.tobytes(), "little") for p in prints]
+    names = slow_components(whole, 36)
+    mine = [got.get(k, k) for k in range(len(prints))]
+    assert len(set(zip(mine, names))) == len(set(mine)) == len(set(names)) < len(prints)
+
+
+def overlap(a, b, words=5):
+    a, b = ({tuple(t.lower().split()[k:k + words]) for k in range(max(1, len(t.split()) - words + 1))} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_leave_one_row(spark):
+    """Copies with a shingle overlap of 0.8 or more are found, unrelated texts stay."""
+    random = np.random.default_rng(6)
+    rows, wanted = [], set()
+    for k in range(12):
+        text = prose(900 + k, 60).split()
+        rows.append((100 * k, " ".join(text)))
+        wanted.add(100 * k)
+        for n in range(1, 6):
+            copy = list(text)
+            for at in random.choice(len(text), max(1, len(text) // 60), replace=False):
+                copy[at] = f"changed{n}"
+            if overlap(" ".join(copy), " ".join(text)) >= 0.8:
+                rows.append((100 * k + n, " ".join(copy)))
+    assert len(rows) > 40
+    kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in kept} == wanted and len(kept) == 12
+
+
 def test_components(spark):
     line = [(k, k + 1) for k in range(300)]
     star = [(1000, 1001 + k) for k in range(200)]
