@@ -2,8 +2,8 @@
 
 Texts are split into words in blocks of documents; a block keeps its distinct words and, per document, their places.
 The words of all blocks are dealt out by their hash, so that each distinct word of the corpus is encoded once, in one
-task; its ids become text again by a join with the table of pieces. Ids and pieces go back to their block, and from there to the
-documents by place. Only distinct words of a block and places are shuffled, both packed, never texts; no word is hot,
+task; its ids go back to its block, become text again there by a join with the table of pieces, and go on to the documents by
+place. Only distinct words of a block and places are shuffled, both packed, never texts; no word is hot,
 since it occurs once per block.
 """
 
@@ -12,7 +12,10 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import carried, restored, small_batches, text_of
 from .tokens import KNOWN_WORDS, WHITE_SPACE, encode_words, load_tokenizer
 
+OTHER_SPACE = re.compile("[" + WHITE_SPACE.replace(" ", "").replace("\n", "") + "]")
 # Characters of a block of documents at most, unless one document alone has more; bounds the memory of a task.
 BLOCK_CHARS = 28_000_000
 # Parts that the words are dealt into by their hash.
@@ -86,24 +90,46 @@ def unpack_columns(raw: bytes, numbers: int, texts: int) -> tuple[list[np.ndarra
 
 
 class Block:
-    """Distinct words of some documents in order of appearance, and the places of each document's words."""
+    """Distinct words of some documents in order of appearance, and the places of each document's words.
 
-    def __init__(self) -> None:
-        self.places: dict[str, int] = {}
-        self.chars = 0
+    Words behind one space are kept without it in a table of their own, since most texts are words with single
+    spaces and line breaks between them and then need no pattern.
+    """
 
-    def add(self, words: list[str], chars: int) -> np.ndarray:
-        known = self.places
-        for word in words:
-            if word not in known:
-                known[word] = len(known)
-        self.chars += chars
-        return np.fromiter(map(known.__getitem__, words), dtype=np.uint32, count=len(words))
+    def __init__(self, specials: re.Pattern) -> None:
+        next_place = count().__next__
+        self.specials, self.chars = specials, 0
+        self.plain: dict[str, int] = defaultdict(next_place)
+        self.spaced: dict[str, int] = defaultdict(next_place)
+
+    def add(self, text: str) -> np.ndarray:
+        self.chars += len(text)
+        places: list[int] = []
+        if self._regular(text):
+            for number, line in enumerate(text.split("\n")):
+                first, *rest = line.split(" ")
+                if number:
+                    places.append(self.plain["\n"])
+                places.append(self.plain[first])
+                places.extend(map(self.spaced.__getitem__, rest))
+        else:
+            for word in split_words(text, self.specials):
+                places.append(self.spaced[word[1:]] if word[0] == " " and len(word) > 1 and word[1] not in WHITE_SPACE else self.plain[word])
+        return np.array(places, dtype=np.uint32)
+
+    def _regular(self, text: str) -> bool:
+        """Words with one space or line break between them, no other white space and no special token."""
+        return (bool(text) and text[0] not in " \n" and text[-1] not in " \n" and not any(odd in text for odd in ("  ", " \n", "\n ", "\n\n"))
+                and not OTHER_SPACE.search(text) and not self.specials.search(text))
+
+    def words(self) -> Iterator[tuple[str, int]]:
+        yield from self.plain.items()
+        yield from ((" " + word, place) for word, place in self.spaced.items())
 
     def buckets(self) -> Iterator[tuple[int, bytes]]:
         """The words and their places by the hash of the word."""
         parts: dict[int, list[tuple[bytes, int]]] = {}
-        for word, place in self.places.items():
+        for word, place in self.words():
             raw = word.encode("utf-8", "surrogatepass")
             parts.setdefault(zlib.crc32(raw) % BUCKETS, []).append((raw, place))
         for bucket, held in parts.items():
@@ -116,7 +142,7 @@ def _blocks(docs: DataFrame, path: str, words: bool) -> DataFrame:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         specials = _special_pattern(path)
-        number, block = TaskContext.get().partitionId() << 24, Block()
+        number, block = TaskContext.get().partitionId() << 24, Block(specials)
 
         def table() -> Iterator[pd.DataFrame]:
             if words:
@@ -128,8 +154,8 @@ def _blocks(docs: DataFrame, path: str, words: bool) -> DataFrame:
             for key, text in zip(batch["_key"], batch["_text"]):
                 if block.chars and block.chars + len(text) > BLOCK_CHARS:
                     yield from table()
-                    number, block = number + 1, Block()
-                places = block.add(split_words(text, specials), len(text))
+                    number, block = number + 1, Block(specials)
+                places = block.add(text)
                 if not words:
                     rows.append((number, key, pack_places(places)))
             if rows:
@@ -140,6 +166,11 @@ def _blocks(docs: DataFrame, path: str, words: bool) -> DataFrame:
     return rows.mapInPandas(cut, "bucket int, block long, held binary" if words else "block long, key string, places binary")
 
 
+def _size(path: str) -> int:
+    return load_tokenizer(path).get_vocab_size(True)
+
+
+@cache
 def _pieces(path: str) -> dict[int, bytes]:
     """The bytes of every id of a byte-level vocabulary."""
     tokenizer = load_tokenizer(path)
@@ -150,11 +181,11 @@ def _pieces(path: str) -> dict[int, bytes]:
 
 
 def _coded(words: DataFrame, path: str) -> DataFrame:
-    """Rows (block, coded): places, ids and decoded pieces of the words of a block and bucket."""
+    """Rows (block, coded): places and ids of the words of a block and bucket."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer, pieces = load_tokenizer(path), _pieces(path)
-        known: dict[bytes, tuple[bytes, bytes]] = {}
+        tokenizer = load_tokenizer(path)
+        known: dict[bytes, bytes] = {}
         now = None
         for batch in batches:
             out = []
@@ -164,9 +195,10 @@ def _coded(words: DataFrame, path: str) -> DataFrame:
                     known.clear()
                 (places,), (found,) = unpack_columns(held, 1, 1)
                 new = [w for w in found if w not in known]
-                for word, raw in zip(new, encode_words(tokenizer, [w.decode("utf-8", "surrogatepass") for w in new])):
-                    known[word] = raw, b"".join(map(pieces.__getitem__, np.frombuffer(raw, "<u4").tolist()))
-                out.append((block, pack_columns([places], [[known[w][0] for w in found], [known[w][1] for w in found]])))
+                known.update(zip(new, encode_words(tokenizer, [w.decode("utf-8", "surrogatepass") for w in new])))
+                ids = list(map(known.__getitem__, found))
+                sizes = np.fromiter(map(len, ids), dtype=np.uint32, count=len(ids)) // 4
+                out.append((block, pack_columns([places, sizes, np.frombuffer(b"".join(ids), "<u4")], [])))
             yield pd.DataFrame(out, columns=["block", "coded"])
 
     return words.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(encode, "block long, coded binary")
@@ -197,15 +229,19 @@ def encode_and_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str
     outcome = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
 
     def assemble(rows: pd.DataFrame, dictionary: pd.DataFrame) -> pd.DataFrame:
-        held = [unpack_columns(raw, 1, 2) for raw in dictionary["coded"]]
-        size = sum(len(numbers[0]) for numbers, _ in held)
+        held = [unpack_columns(raw, 3, 0)[0] for raw in dictionary["coded"]]
+        size = sum(len(places) for places, _, _ in held)
         ids, decoded, counts = [None] * size, [b""] * size, np.zeros(size, dtype=np.int64)
-        for (places,), (own, plain) in held:
-            for place, raw, piece in zip(places.tolist(), own, plain):
-                found = np.frombuffer(raw, "<u4")
-                counts[place] = len(found)
-                ids[place] = ",".join(map(str, found.tolist())) if digest else found.astype(np.int32)
-                decoded[place] = piece
+        piece, number = _pieces(path), list(map(str, range(_size(path))))
+        for places, sizes, run in held:
+            counts[places] = sizes
+            ends, own = np.cumsum(sizes).tolist(), run.tolist()
+            begin = 0
+            for place, end in zip(places.tolist(), ends):
+                part = own[begin:end]
+                ids[place] = ",".join(map(number.__getitem__, part)) if digest else part
+                decoded[place] = b"".join(map(piece.__getitem__, part))  # the join of ids with pieces, once per word of the block
+                begin = end
         out = []
         for name, raw in zip(rows["key"], rows["places"]):
             places = unpack_places(raw)
@@ -216,7 +252,7 @@ def encode_and_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str
                 own = hashlib.sha256(",".join(own).encode()).hexdigest()
                 plain = hashlib.sha256(plain.encode()).hexdigest()
             else:
-                own = np.concatenate(own) if own else np.zeros(0, np.int32)
+                own = [k for part in own for k in part]
             out.append((name, int(counts[places].sum()), own, plain))
         return pd.DataFrame(out, columns=["key", "n_tokens", *[c.split()[0] for c in outcome.split(", ")]])
 
