@@ -44,12 +44,12 @@ def test_odd_rows(spark, monkeypatch):
     random = np.random.default_rng(4)
     rows = [(k, [float(x) for x in random.normal(size=8)]) for k in range(1, 200)]
     same = [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0]
-    rows += [(300 + k, same) for k in range(9)] + [(250, same), (250, same)]
+    rows += [(301 + k, same) for k in range(9)] + [(250, same), (250, same)]
     bad = [(400, None), (450, [0.0] * 8), (500, [float("nan")] * 8), (550, [1.0, None] * 4), (600, [float("inf")] * 8), (650, [1.0]), (None, same), (700, [])]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>").select("*", *[F.lit(0).alias(c) for c in ("key", "v", "b", "q", "rank", "score")])
     got = mih.search(df, df.where("vec_id % 50 = 0")).collect()
     assert {r["query_id"] for r in got} == {50, 100, 150, 250}
-    assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == 250), key=lambda r: r["rank"])] == [300, 301, 302, 303, 304]
+    assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == 250), key=lambda r: r["rank"])] == [301, 302, 303, 304, 305]
     assert not {r["vec_id"] for r in got} & {b[0] for b in bad}
     assert all(sum(r["query_id"] == q for r in got) == 5 for q in (50, 100, 150))
     few = df.where("vec_id in (50, 100, 3)")
