@@ -501,3 +501,53 @@ FROM u GROUP BY ROLLUP (doc_id)""")
 def review_counts(t):
     docs, inputs = _review_inputs(t)
     return review(docs, inputs, _REVIEW_RULES)["counts"]
+
+
+# Parameters with which every operation can run over the tables below.
+_BOOK = {
+    "diagram_consistency": {"field": "제조량"}, "required_tests": {"tests": ["역가시험"]}, "duration": {"minimum_days": 14},
+    "elapsed_time": {"start_field": "시작일시", "end_field": "종료일시", "duration_field": "처리시간"},
+    "expiry": {"start_field": "제조년월일", "end_field": "유효기한", "duration_field": "허가된 저장기간"}, "signature_order": {"tests": {"type": "test"}},
+    "storage_window": {"target": {"type": "test"}}, "mass_balance": {"start_marker": "시작", "end_marker": "끝", "output_field": "제조량"},
+    "permit_field": {"permit_pattern": "저장방법: (.*)", "sp_field": "저장방법"}, "permit_test": {"permit_pattern": r"(\d+)", "sp_pattern": r"(\d+)", "sp_attribute": "criteria"},
+    "labelled_numeric_compare": {"expected_labels": ["가"]}, "test_after_manufacture": {"stages": [{"source": ["원액"], "target": ["완제"]}]},
+    "lot_consistency": {"fields": ["제조량"]}}
+
+
+@query("rule_book", "R5 R6 R25 R34 U1", f"""
+WITH o AS (SELECT o_orderkey AS doc_id, o_custkey FROM orders), n AS (SELECT COUNT(*) AS docs FROM o),
+l AS (SELECT DISTINCT l_orderkey AS doc_id FROM lineitem),
+known AS (
+  SELECT 'lot_consistency' AS rule_id, COUNT(*) FILTER (o_custkey % 3 <> 0) AS passed, COUNT(*) FILTER (o_custkey % 3 = 0) AS failed FROM o
+  UNION ALL SELECT 'permit_required_tests', COUNT(*) FILTER (o_custkey % 4 <> 0), COUNT(*) FILTER (o_custkey % 4 = 0) FROM o
+  UNION ALL SELECT 'permit_conditional_tests', COUNT(*) FILTER (o_custkey % 4 <> 0), 0 FROM o
+  UNION ALL SELECT 'required_tests', (SELECT COUNT(*) FROM l SEMI JOIN o USING (doc_id)), (SELECT COUNT(*) FROM o ANTI JOIN l USING (doc_id)))
+SELECT rule_id, docs, 0 AS errors, passed, failed FROM (VALUES {", ".join(f"('{name}')" for name in R.OPERATIONS)}) r(rule_id) CROSS JOIN n LEFT JOIN known USING (rule_id)""")
+def rule_book(t):
+    """Every operation in one rule set: none may end as an execution error; four have their outcome checked too."""
+    docs = t.orders.select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").cast("string").alias("product"))
+    of, none = order_docs(t), F.lit(None).cast("string")
+    records = _storage_records(t).withColumns({"criteria": F.lit("40 mg 이하"), "result": F.concat(F.col("order_idx").cast("int"), F.lit(" mg")), "parent_test_group": none})
+    node = of.select("doc_id", F.lit("n").alias("node_id"), F.lit("원액").alias("name"), F.create_map(F.lit("제조량"), F.lit("5 L")).alias("fields"))
+    cust = t.orders.select(F.col("o_orderkey").alias("doc_id"), "o_custkey")
+    amounts = F.array(*[F.struct(F.lit(lot).alias("lot"), F.lit(name).alias("field"), value.alias("value")) for lot, name, value in (
+        ("L-1", "원액 제조량", F.lit("5 L")), ("L 1", "제조량", F.when(F.col("o_custkey") % 3 == 0, "6 L").otherwise("5L")), ("L-1", "수율", F.lit("9")))])
+    batch = F.lit("B1").alias("batch")
+    inputs = {
+        "records": records, "content": records.where("record_type = 'content'"), "nodes": node,
+        "pages": of.select("doc_id", F.lit(1).alias("page_no"), F.lit("Ver. 1.0 (a) 1/1 페이지").alias("text")),
+        "edges": of.select("doc_id", F.lit("n").alias("src"), F.lit("n").alias("dst")), "lines": of.select("doc_id", F.lit(1).alias("line_no"), F.lit("제조량: 5 kg").alias("text")),
+        "permit_pages": of.select(F.col("doc_id").alias("permit_id"), F.lit("저장방법: 냉장").alias("text")), "links": of.select("doc_id", F.col("doc_id").alias("permit_id")),
+        "candidates": of.select("doc_id", F.lit(1.0).alias("order_idx"), F.lit("기준 40").alias("text")), "evidence": of.select("doc_id", F.lit("근거").alias("quote")),
+        "decisions": of.select("doc_id", F.lit("PASS").alias("status"), F.array(F.lit(0)).alias("evidence_indices")),
+        "occurrences": cust.select("doc_id", F.explode(amounts).alias("v")).select("doc_id", "v.*"),
+        "required": of.select("doc_id", F.lit("역가").alias("test_key"), batch),
+        "bound_tests": cust.where("o_custkey % 4 <> 0").select("doc_id", F.lit("역가").alias("test_key"), batch, F.lit("적합").alias("result")),
+        "unbound": of.where("false"), "mentions": of.where("false").select("doc_id", F.lit("").alias("test_key"), F.lit(0).alias("mentions")),
+        "gates": cust.select("doc_id", F.lit("역가").alias("test_key"), batch, F.when(F.col("o_custkey") % 4 == 0, "not_required").otherwise("required").alias("applicability"))}
+    rules = [Rule(name, name, {"type": "test"} if name == "required_tests" else {}, _BOOK.get(name, {})) for name in R.OPERATIONS]
+    found = run_rules(docs, inputs, rules)[1]
+    seen = F.col("rule_id").isin("lot_consistency", "permit_required_tests", "permit_conditional_tests", "required_tests")
+    return found.groupBy("rule_id").agg(
+        F.count(F.lit(1)).alias("docs"), F.count_if("execution_error").alias("errors"),
+        F.when(F.max(seen), F.count_if(F.col("status") == "PASS")).alias("passed"), F.when(F.max(seen), F.count_if(F.col("status") == "FAIL")).alias("failed"))
