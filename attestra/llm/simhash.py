@@ -170,10 +170,13 @@ def links(distinct: DataFrame, radius: int = 3, tile_rows: int = TILE_ROWS, part
 
 
 def _grouped(docs: DataFrame, key: str, text: str, radius: int, words: int, parts: int, tile_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (_key, _row, codes, fp), where _row hashes the text, and distinct fingerprints (fp, first, root)."""
+    """Rows (_key, _row, codes, fp), where _row hashes the text, and distinct fingerprints (fp, best, root).
+
+    best is the row of a fingerprint with the smallest key, nulls last, then the smallest text hash.
+    """
     rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text_of(text)).alias("_row"), F.col(text).alias("_text"))
     rows = stored(fingerprints(rows, "_text", words, parts))
-    distinct = stored(rows.groupBy("fp").agg(F.min("codes").alias("codes"), F.min("_key").alias("first")))
+    distinct = stored(rows.groupBy("fp").agg(F.min("codes").alias("codes"), F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "_row")).alias("best")))
     labels = components(links(distinct, radius, tile_rows, parts), "a", "b")
     return rows, distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
@@ -187,7 +190,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     keys of it are null. Further columns are dropped, whatever their names. An empty table gives an empty result.
     """
     rows, rooted = _grouped(docs, key, text, radius, words, 1, tile_rows)
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    lowest = rooted.groupBy("root").agg(F.min("best._key").alias("component_id"))
     named = rooted.join(lowest, "root").select("fp", "component_id")
     return (rows.join(named, "fp")
             .select(F.col("_key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
@@ -202,9 +205,8 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 
     Null keys come last. All columns are kept; of rows equal in key and text one is kept.
     """
-    rows, rooted = _grouped(docs, key, text, radius, words, parts, tile_rows)
-    chosen = (rows.join(rooted.select("fp", "root"), "fp").groupBy("root")
-              .agg(F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "_row")).alias("of")).select("of._key", "of._row"))
+    _, rooted = _grouped(docs, key, text, radius, words, parts, tile_rows)
+    chosen = rooted.groupBy("root").agg(F.min("best").alias("of")).select("of._key", "of._row")
     marked = docs.withColumns({"_key": F.col(key), "_row": F.xxhash64(text_of(text))})
     same = marked["_key"].eqNullSafe(chosen["_key"]) & (marked["_row"] == chosen["_row"])
     return marked.join(chosen, same, "left_semi").dropDuplicates(["_key", "_row"]).select(*docs.columns)
