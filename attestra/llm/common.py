@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,8 @@ BATCH_BYTES = 16 << 20
 def small_batches(spark: SparkSession) -> None:
     """Bound the memory of Python workers on long texts; smaller values set by the user are kept."""
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        if not 0 < int(spark.conf.get(name).removesuffix("b")) <= most:
+        now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(name))  # a size with another unit was set by the user
+        if now and not 0 < int(now[1]) <= most:
             spark.conf.set(name, str(most))
 
 
