@@ -101,7 +101,9 @@ def _joined(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tup
     """
     nodes = np.concatenate([left[:, 0], right[:, 0]])
     left, right = left[:, 1:], right[:, 1:]
-    label = np.arange(len(nodes))
+    label = np.arange(len(nodes))  # a root between blocks, so joined roots take all their nodes along
+    if same:
+        label[len(left):] = label[:len(left)]
     rows = max(1, MATRIX_CELLS // len(right))
     met = np.zeros(len(nodes), dtype=bool)
     for at in range(0, len(left), rows):
@@ -109,20 +111,14 @@ def _joined(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tup
         i, j = i + at, j + len(left)
         met[i] = met[j] = True
         while True:
-            low = np.minimum(label[i], label[j])
-            before = label.copy()
-            np.minimum.at(label, i, low)
-            np.minimum.at(label, j, low)
-            label = label[label]
-            if np.array_equal(before, label):
+            one, other = label[i], label[j]
+            apart = one != other
+            if not apart.any():
                 break
-        if same:
-            label[:len(left)] = label[len(left):] = np.minimum(label[:len(left)], label[len(left):])
-    changed = True
-    while changed:
-        before = label
-        label = label[label]
-        changed = not np.array_equal(before, label)
+            i, j, one, other = i[apart], j[apart], one[apart], other[apart]
+            np.minimum.at(label, np.maximum(one, other), np.minimum(one, other))
+            while not np.array_equal(label, below := label[label]):
+                label = below
     keep = met & (label != np.arange(len(nodes)))
     a, b = nodes[label[keep]], nodes[keep]
     return a[a != b], b[a != b]

@@ -123,3 +123,44 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(edges, "a", "b").collect()}
     assert len({got[k] for k in range(301)}) == 1 and len({got[k] for k in range(1000, 1201)}) == 1 and len(set(got.values())) == 2
     assert components(edges.limit(0), "a", "b").collect() == []
+
+
+@pytest.mark.parametrize("cells", [1, 5, 40, 1 << 20])
+@pytest.mark.parametrize("same", [False, True])
+def test_blocks_of_a_tile_pair_keep_every_component(monkeypatch, cells, same):
+    """Chains and groups whose links lie in several blocks of left rows."""
+    monkeypatch.setattr(simhash, "MATRIX_CELLS", cells)
+    for seed in range(40):
+        random = np.random.default_rng(seed)
+        values = np.unique(random.integers(0, 1 << 7, 60)).astype(np.uint64)
+        random.shuffle(values)
+        table = np.stack([values, values], axis=1)
+        left, right = (table, table) if same else (table[:25], table[25:])
+        a, b = simhash._joined(left, right, 1, same)
+        wanted, got = ({int(v): int(v) for v in values} for _ in range(2))
+        links = [(int(x), int(y)) for x in left[:, 1] for y in right[:, 1] if (int(x) ^ int(y)).bit_count() <= 1]
+        for names, edges in ((wanted, links), (got, zip(a.tolist(), b.tolist()))):
+            for x, y in edges:
+                x, y = names[x], names[y]
+                for v in names:
+                    names[v] = x if names[v] == y else names[v]
+        assert len(set(zip(wanted.values(), got.values()))) == len(set(wanted.values())) == len(set(got.values()))
+
+
+def test_links_of_a_tile_of_several_blocks(spark):
+    random = np.random.default_rng(12)
+    prints = []
+    for _ in range(150):
+        bits = np.concatenate([random.permutation([1] * 8 + [0] * 8) for _ in range(4)])
+        for _ in range(10):  # equal bit counts, two bits from one to the next
+            prints.append(int(np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")[0]))
+            word = 16 * int(random.integers(4))
+            on, off = (word + int(random.choice(np.flatnonzero(bits[word:word + 16] == k))) for k in (1, 0))
+            bits[on], bits[off] = 0, 1
+    prints = sorted(set(prints))
+    found = simhash.links(spark.createDataFrame([(p, [p]) for p in prints], "fp long, codes array<long>"))
+    got = {r["node"]: r["root"] for r in components(found, "a", "b").collect()}
+    names = slow_components([p & (1 << 64) - 1 for p in prints])
+    assert len(prints) ** 2 > simhash.MATRIX_CELLS
+    mine = [got.get(p, p) for p in prints]
+    assert len(set(zip(mine, names))) == len(set(mine)) == len(set(names))
