@@ -95,7 +95,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the sentences that a repeated run covers, and the ranges removed."""
-    return spans.remove_repeated(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return spans.remove_repeated(table(spark, sf_dir, "documents", "doc_id", "text"), every_end=True)
 
 
 @query

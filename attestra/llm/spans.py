@@ -1,10 +1,10 @@
 """Substring deduplication by sliding sentence spans.
 
 Every run of consecutive sentences is hashed: from each sentence on, the shortest run of at least `min_sentences`
-sentences and `min_words` words, and likewise back from the end of each line. Hashes are joined over the whole corpus; every run but the first of its hash covers
-its sentences, and covered sentences are removed. A sentence ends at a stop mark or a line break; one of more than
-LONG_WORDS words is cut further behind words chosen by their own hash, and CUT_AFTER words behind such a cut at the
-latest, so a passage is cut alike wherever it stands.
+sentences and `min_words` words, and likewise back from the end of each line or of every sentence. Hashes are joined over the whole corpus; every run but the first of its hash covers
+its sentences, and covered sentences are removed. A sentence ends at a stop mark or a line break; every one is
+cut further behind words chosen by their own hash, and CUT_AFTER words behind such a cut at the latest, so a passage is
+cut alike wherever it stands, also if its ends share a sentence with other text.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from .common import carried, restored, small_batches, stored, text_of
 
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?:\s+|$)|[.!?]+|\n\s*|$)")
 WORD = re.compile(r"\S+\s*")
-LONG_WORDS = 24
 CUT_EVERY = 8
 CUT_AFTER = 16
 # An odd multiplier and its inverse modulo 2**64: run hashes are differences of one prefix sum.
@@ -36,16 +35,15 @@ def sentences(text: str) -> list[str]:
     for piece in SENTENCE.findall(text):
         if not piece:
             continue
-        if len(piece) > 4 * LONG_WORDS and len(piece.split()) > LONG_WORDS:
-            start = since = 0
-            for word in WORD.finditer(piece):
-                since += 1
-                if since == CUT_AFTER or xxhash.xxh32_intdigest(word[0].strip()) % CUT_EVERY == 0:
-                    found.append(piece[start:word.end()])
-                    start, since = word.end(), 0
-            piece = piece[start:]
-            if not piece:
-                continue
+        start = since = 0
+        for word in WORD.finditer(piece):
+            since += 1
+            if since == CUT_AFTER or xxhash.xxh32_intdigest(word[0].strip().lower().encode("utf-8", "surrogatepass")) % CUT_EVERY == 0:
+                found.append(piece[start:word.end()])
+                start, since = word.end(), 0
+        piece = piece[start:]
+        if not piece:
+            continue
         if found and not piece.strip():
             found[-1] += piece
         else:
@@ -53,7 +51,7 @@ def sentences(text: str) -> list[str]:
     return found
 
 
-def runs(text: str, min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs(text: str, min_sentences: int, min_words: int, every_end: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first sentence and number of sentences of every run; letter case and white space do not count."""
     pieces = sentences(text)
     words = [s.lower().split() for s in pieces]
@@ -62,7 +60,7 @@ def runs(text: str, min_sentences: int, min_words: int) -> tuple[np.ndarray, np.
     n = len(own)
     start = np.arange(n)
     end = np.maximum(np.searchsorted(sums, sums[:-1] + min_words), start + min_sentences)
-    close = np.array([k + 1 for k, s in enumerate(pieces) if "\n" in s or k == n - 1], dtype=np.int64)
+    close = np.array([k + 1 for k, s in enumerate(pieces) if every_end or "\n" in s or k == n - 1], dtype=np.int64)
     back = np.minimum(np.searchsorted(sums, sums[close] - min_words, side="right") - 1, close - min_sentences)
     close, back = close[back >= 0], back[back >= 0]
     new = end[back] != close
@@ -78,12 +76,15 @@ def runs(text: str, min_sentences: int, min_words: int) -> tuple[np.ndarray, np.
     return value.view(np.int64), start, end - start
 
 
-def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_sentences: int = 2, min_words: int = 16) -> DataFrame:
+def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_sentences: int = 2, min_words: int = 16,
+                    every_end: bool = False) -> DataFrame:
     """The rows of docs, their text without repeated runs, and `removed_spans`: code point ranges of the text before.
 
     The first run of a hash is the one with the smallest key (nulls first), then row, then place. Rows equal in key
     and text count as one document and are treated alike. Null and empty texts have no sentence and stay as they are; texts of
-    fewer words than `min_words` or fewer sentences than `min_sentences` have no run and stay. Other columns are
+    fewer words than `min_words` or fewer sentences than `min_sentences` have no run and stay. Runs go back from line and
+    text ends, with `every_end` from the end of every sentence, so a repeated passage that text of the same line follows
+    goes whole. Other columns are
     kept; an input column named `removed_spans` is replaced. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
@@ -94,7 +95,7 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
         for batch in batches:
             for at in range(0, len(batch), 64):
                 part = batch.iloc[at:at + 64]
-                found = [runs(t, min_sentences, min_words) for t in part["_text"]]
+                found = [runs(t, min_sentences, min_words, every_end) for t in part["_text"]]
                 sizes = [len(f[0]) for f in found]
                 if sum(sizes):
                     yield pd.DataFrame({

@@ -1,5 +1,6 @@
 """Sentence spans against a version that keeps every run in a dictionary."""
 
+import random
 from collections import Counter
 
 from helpers import empty_documents, odd_documents, prose
@@ -74,3 +75,32 @@ def test_odd_rows(spark):
     again = spans.remove_repeated(out)
     assert again.columns == out.columns
     assert spans.remove_repeated(empty_documents(spark)).collect() == []
+
+
+def test_tail_before_other_text(spark):
+    """The last sentences of a passage, too short for a run of their own, go although text of the same line follows."""
+    words = [w.lower().strip(".") for w in prose(40, 60).split()]
+    passage = " ".join(" ".join(words[a:b]).capitalize() + "." for a, b in ((0, 12), (12, 19), (19, 27)))
+    rows = [(k, f"{prose(500 + k, 2)} {passage} {prose(600 + k, 2)}") for k in range(12)]
+    got = {r["doc_id"]: r["text"] for r in spans.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string"), every_end=True).collect()}
+    assert got[0] == rows[0][1]
+    for k in range(1, 12):
+        assert got[k] == f"{prose(500 + k, 2)} {prose(600 + k, 2)}"
+
+
+def test_passages_glued_to_other_words(spark):
+    """Passages of 51 to 75 words at any word of a line lose at least a run wherever they stand again."""
+    dice, rows = random.Random(4), []
+    for k in range(40):
+        passage = prose(1000 + k, 12).split()
+        at = dice.randrange(10)
+        passage = passage[at:at + dice.randrange(51, 76)]
+        for n in range(2):
+            host = prose(2000 + 2 * k + n, 12).split()
+            place = dice.randrange(20, 50)
+            rows.append((2 * k + n, " ".join(host[:place] + passage + host[place:]), len(passage)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, size long")
+    lost = {r["doc_id"]: len(rows[r["doc_id"]][1].split()) - len(r["text"].split()) for r in spans.remove_repeated(df, every_end=True).collect()}
+    assert all(lost[k] == 0 for k in range(0, 80, 2))
+    assert all(16 <= lost[k] <= rows[k][2] for k in range(1, 80, 2))
+    assert sum(lost.values()) > 0.75 * sum(r[2] for r in rows[1::2])
