@@ -23,9 +23,13 @@ TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z))", re.S)
 # Names of the HTML standard and words that mark parts of pages.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-RAW = set("script style title noscript template iframe textarea xmp noembed noframes svg math object canvas audio video select button".split())
-APART = set("nav header footer aside form menu dialog fieldset".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var "
+             "math mi mo mn ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover "
+             "mmultiscripts mprescripts mtable mtr mtd semantics annotation annotation-xml".split())
+RAW = set("script style title iframe textarea xmp noembed noframes".split())
+# What stands in these is no text of the page if their own end tag follows; else they end with their parent and count for nothing.
+CLOSED = set("noscript template svg object canvas audio video button".split())
+APART = set("nav header footer aside form menu dialog fieldset select annotation annotation-xml".split())
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
             "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -70,18 +74,33 @@ class Blocks:
     def __init__(self, page: str) -> None:
         self.found: list[tuple[str, int, tuple[str, ...], int]] = []
         self.parents = [-1]
+        self.dropped: set[int] = set()  # elements of CLOSED with an end tag of their own
         self._stack: list[tuple[str, bool, int]] = []  # tag, set apart, element (of a block tag, else that around it)
+        self._held: list[tuple[int, int, int]] = []  # elements of CLOSED since the last flush: place in the stack, texts and linked characters before
         self._text: list[str] = []
         self._linked = 0
         self._read(page)
         self._flush()
+        gone = self._below(self.dropped)
+        self.found = [f for f in self.found if not gone[f[3]]]
+
+    def _below(self, elements: set[int]) -> list[bool]:
+        """Per element whether it is one of the given ones or inside one."""
+        found = [0 in elements]
+        for element in range(1, len(self.parents)):
+            found.append(element in elements or found[self.parents[element]])
+        return found
 
     def _flush(self) -> None:
-        text = " ".join("".join(self._text).split())
-        if text:
-            path = tuple(t for t, _, _ in self._stack if t not in INLINE)
-            self.found.append((text, min(self._linked, len(text)), path, self._stack[-1][2] if self._stack else 0))
-        self._text, self._linked = [], 0
+        begin = linked = 0
+        for depth, end, so_far in [*self._held, (len(self._stack), len(self._text), self._linked)]:
+            text = " ".join("".join(self._text[begin:end]).split())
+            if text:
+                around = self._stack[:depth]
+                path = tuple(t for t, _, _ in around if t not in INLINE)
+                self.found.append((text, min(so_far - linked, len(text)), path, around[-1][2] if around else 0))
+            begin, linked = end, so_far
+        self._held, self._text, self._linked = [], [], 0
 
     def _pop_to(self, tags: set[str], bounds: set[str]) -> None:
         for k in range(len(self._stack) - 1, -1, -1):
@@ -95,18 +114,23 @@ class Blocks:
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag in INLINE:
-            apart = bool(attributes.strip(" />")) and _set_apart(tag, attributes)
+            apart = tag in APART or bool(attributes.strip(" />")) and _set_apart(tag, attributes)
             if apart:
                 self._text.append(" ")
             self._stack.append((tag, self._apart() or apart, self._stack[-1][2] if self._stack else 0))
             return
+        if self._stack and self._stack[-1][0] in ("select", "option", "optgroup") and tag not in ("option", "optgroup", "hr"):
+            self._pop_to({"select"}, {"datalist"})
         if tag in CLOSES_P:
             self._pop_to({"p"}, {"td", "th", "button", "object", "table"})
         if tag in SIBLINGS:
             self._pop_to(*SIBLINGS[tag])
         if tag in ("main", "article"):
             self._pop_to({"nav"}, {"aside", "footer"})
-        self._flush()
+        if tag in CLOSED:
+            self._held.append((len(self._stack), len(self._text), self._linked))
+        else:
+            self._flush()
         if tag == "hr":
             return
         self.parents.append(self._stack[-1][2] if self._stack else 0)
@@ -118,8 +142,13 @@ class Blocks:
     def _close(self, tag: str) -> None:
         for k in range(len(self._stack) - 1, -1, -1):
             if self._stack[k][0] == tag:
-                if tag not in INLINE:
+                if self._held and self._held[-1][0] == k:  # the text around it stays one block
+                    _, size, self._linked = self._held.pop()
+                    del self._text[size:]
+                elif tag not in INLINE:
                     self._flush()
+                if tag in CLOSED:
+                    self.dropped.add(self._stack[k][2])
                 del self._stack[k:]
                 return
             if tag in INLINE and self._stack[k][0] not in INLINE:
@@ -143,10 +172,13 @@ class Blocks:
             tag, attributes = match["tag"].lower(), match["attributes"]
             if match["end"]:
                 self._close(tag)
+            elif attributes.endswith("/>") and (tag in CLOSED or tag in RAW or any(t in ("svg", "math") for t, _, _ in self._stack)):
+                continue
+            elif self._stack and self._stack[-1][0] == "svg" and tag not in RAW and tag not in CLOSES_P and tag not in WHOLE:
+                continue
             elif tag in RAW:
-                if not attributes.endswith("/>"):
-                    end = re.compile(f"</{re.escape(tag)}\\b[^>]*>?", re.I).search(page, at)
-                    at = end.end() if end else len(page)
+                end = re.compile(f"</{re.escape(tag)}\\b[^>]*>?", re.I).search(page, at)
+                at = end.end() if end else len(page)
             elif tag == "br":
                 self._text.append(" ")
             elif tag not in VOID or tag == "hr":

@@ -62,3 +62,21 @@ def test_odd_rows(spark):
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     assert Counter((r["page_id"], r["n_chars"]) for r in got.collect()) == Counter([(None, 0), (1, 0), (1, 0), (2, 1_199_999), (3, len(main_text(PAGE)))])
     assert extract(df.limit(0)).collect() == []
+
+
+def test_elements_without_end_tag():
+    article = "<article><p>One sentence, with marks. And more.</p><p>Two of them, with marks. And more.</p></article>"
+    wanted = "One sentence, with marks. And more.\n\nTwo of them, with marks. And more."
+    for start in ("<button>", "<video src=x>", "<object data=x>", "<svg><path d=1>", "<canvas>", "<noscript>", "<audio src=y>", "<select><option>One<option>Two", "<template>"):
+        for page in (f"<body>{start}{article}</body>", f"<body><div>{start}</div>{article}</body>", f"{start}{article.replace('article', 'div')}"):
+            assert main_text(page) == wanted, page
+    for part in ("<button>Go on, please. Now.</button>", "<video>No video, sorry. Really.</video>", "<svg><path d=1/><text>A, b. C.</text></svg>", "<noscript>No scripts, sorry. Really.</noscript>",
+                 "<svg/>", "<select><option>One, two.<option>Two, three.</select>", "<object><p>No, sorry. Really.</p></object>"):
+        assert main_text(f"<body>{article.replace('</p><p>', '</p>' + part + '<p>')}</body>") == wanted, part
+    assert main_text("<p>One, <svg><path d=1><text>A.</text></svg>two <button>x<b>y</b></button>and three.</p>") == "One, two and three."
+    assert main_text("<div>One, two. <object><p>No.</p></object>And three, four.</div>") == "One, two.\n\nAnd three, four."
+
+
+def test_formulas_stay():
+    formula = '<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation encoding="t">x \\eq 1</annotation></semantics></math>'
+    assert main_text(f"<article><p>Let {formula} hold, as here. Then more.</p></article>").replace(" ", "") == "Letx=1hold,ashere.Thenmore."
