@@ -2,7 +2,9 @@
 
 A page becomes blocks of text, each with the path of block tags from the root. Text length (without links) and
 punctuation are averaged per path, the two ratios are fused by their geometric mean, smoothed with the ratio of the
-element that holds most of the text, and paths below a share of the page's mean are dropped.
+element that holds most of the text, and paths below a share of the page's mean are dropped. Before that go menus and the like:
+by tag, role or hidden state whatever they hold; by a word of their class or id only if they hold no main or article and are
+outside one or below a share of the page's text.
 """
 
 from __future__ import annotations
@@ -46,10 +48,12 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s
 PUNCTUATION = re.compile(r"[.,;:!?…。、！？]")
 ROOT_SHARE = 0.7
 KEEP_SHARE = 0.4
+# Of the punctuated text without links: from here on a class word drops no element, and from half of it on an article counts as one.
+APART_SHARE = 0.2
 
 
 def _set_apart(tag: str, attributes: str) -> bool:
-    """Whether an element is a part of the page around the article, by its tag, role, class or id."""
+    """Whether an element is a part of the page around the article, by its tag, role or hidden state."""
     if tag in APART:
         return True
     if tag in WHOLE or "=" not in attributes and "hidden" not in attributes:
@@ -60,6 +64,15 @@ def _set_apart(tag: str, attributes: str) -> bool:
             return True
         if name == "role" and value.lower() in APART_ROLES or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
+    return False
+
+
+def _named_apart(tag: str, attributes: str) -> bool:
+    """Whether a word of the class or id says that an element may be a part of the page around the article."""
+    if tag in WHOLE or "=" not in attributes:
+        return False
+    for name, *values in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values)
         if name in ("class", "id"):
             for word in value.split():
                 parts = set(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", word).lower()))
@@ -75,14 +88,34 @@ class Blocks:
         self.found: list[tuple[str, int, tuple[str, ...], int]] = []
         self.parents = [-1]
         self.dropped: set[int] = set()  # elements of CLOSED with an end tag of their own
+        self.named: set[int] = set()  # elements that a class word names, to be judged by what they hold
+        self.articles: list[int] = []  # main and article elements that no class word names
         self._stack: list[tuple[str, bool, int]] = []  # tag, set apart, element (of a block tag, else that around it)
+        self._mains: set[int] = set()
         self._held: list[tuple[int, int, int]] = []  # elements of CLOSED since the last flush: place in the stack, texts and linked characters before
         self._text: list[str] = []
         self._linked = 0
         self._read(page)
         self._flush()
-        gone = self._below(self.dropped)
-        self.found = [f for f in self.found if not gone[f[3]]]
+        for drop in (lambda: self.dropped, self._parts_around):
+            gone = self._below(drop())
+            self.found = [f for f in self.found if not gone[f[3]]]
+
+    def _parts_around(self) -> set[int]:
+        """The elements named apart that hold no main or article and are outside one or hold little of the text."""
+        if not self.named:
+            return set()
+        weight = [(len(t) - linked) * bool(PUNCTUATION.search(t)) for t, linked, _, _ in self.found]
+        weight = weight if any(weight) else [len(t) - linked + 1 for t, linked, _, _ in self.found]
+        held, last = [0] * len(self.parents), list(range(len(self.parents)))
+        for (_, _, _, element), w in zip(self.found, weight):
+            held[element] += w
+        for element in range(len(held) - 1, 0, -1):
+            held[self.parents[element]] += held[element]
+            last[self.parents[element]] = max(last[self.parents[element]], last[element])
+        articles = [a for a in self.articles if held[a] and (held[a] >= APART_SHARE / 2 * held[0] or a in self._mains)]
+        return {e for e in self.named if not any(e < a <= last[e] for a in articles)
+                and (any(not a < e <= last[a] for a in articles) or held[e] < APART_SHARE * held[0])}
 
     def _below(self, elements: set[int]) -> list[bool]:
         """Per element whether it is one of the given ones or inside one."""
@@ -114,7 +147,7 @@ class Blocks:
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag in INLINE:
-            apart = tag in APART or bool(attributes.strip(" />")) and _set_apart(tag, attributes)
+            apart = tag in APART or bool(attributes.strip(" />")) and (_set_apart(tag, attributes) or _named_apart(tag, attributes))
             if apart:
                 self._text.append(" ")
             self._stack.append((tag, self._apart() or apart, self._stack[-1][2] if self._stack else 0))
@@ -135,6 +168,12 @@ class Blocks:
             return
         self.parents.append(self._stack[-1][2] if self._stack else 0)
         self._stack.append((tag, self._apart() or _set_apart(tag, attributes), len(self.parents) - 1))
+        if _named_apart(tag, attributes):
+            self.named.add(len(self.parents) - 1)
+        elif tag in ("main", "article"):
+            self.articles.append(len(self.parents) - 1)
+            if tag == "main":
+                self._mains.add(len(self.parents) - 1)
 
     def _apart(self) -> bool:
         return bool(self._stack) and self._stack[-1][1]

@@ -80,3 +80,19 @@ def test_elements_without_end_tag():
 def test_formulas_stay():
     formula = '<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation encoding="t">x \\eq 1</annotation></semantics></math>'
     assert main_text(f"<article><p>Let {formula} hold, as here. Then more.</p></article>").replace(" ", "") == "Letx=1hold,ashere.Thenmore."
+
+
+def test_class_words_drop_no_article():
+    one, two, three = ("A first sentence, as it is. And more of it.", "A second one, as it should be. And more.", "A third one, with marks. And more.")
+    paragraphs = f"<p>{one}</p><p>{two}</p><p>{three}</p>"
+    wanted = "\n\n".join([one, two, three])
+    for page in (f'<div class="content-sidebar-wrap"><main>{paragraphs}</main></div>', f'<div class="layout-sidebar">{paragraphs}</div>', f'<div id="page-header"><div class="search">{paragraphs}</div></div>',
+                 f'<div class="with-menu social-page"><div class="cookie-notice"><p>We use cookies, sorry.</p></div><article>{paragraphs}</article></div>'):
+        assert main_text(f"<body>{page}</body>") == wanted, page
+    for word in ("search", "share", "discussion", "notice", "alert", "related-work", "header", "social", "comment"):
+        assert main_text(f'<body><article><p>{one}</p><section class="{word}"><p>{two}</p></section><p>{three}</p></article></body>') == wanted, word
+    others = "".join(f"<p>I like number {k} of it, really. Thank you.</p>" for k in range(9))
+    for part in (f'<section id="comments">{others}</section>', '<div class="related"><article><p>Read, too.</p></article></div>', '<div class="ad"><p>Buy it, now.</p></div>'):
+        assert main_text(f"<body><article>{paragraphs}</article>{part}</body>") == wanted, part
+    assert main_text(f'<body><main><article>{paragraphs}</article><section id="comments">{others}</section></main></body>') == wanted
+    assert main_text(f'<body><article>{paragraphs}<div class="ad">Buy it, now.</div></article></body>') == wanted
