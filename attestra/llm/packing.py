@@ -32,6 +32,10 @@ class Limits:
     loss_tokens: int = 2048
 
 
+# A document has at least its end id, so tokens are used up before these segments.
+DOCUMENT_LIMITS = Limits(segments=2048)
+
+
 class Packer:
     """Places (name, start, length, loss) pieces, with `cut` also parts of pieces that bear loss throughout; `place` and `finish` return (name, start, length, sequence, offset)."""
 
@@ -45,7 +49,7 @@ class Packer:
         self.waiting.append((name, start, length, loss))
 
     def place(self, until: int | None = None) -> list[tuple]:
-        """Fill sequences until at most `until` pieces wait."""
+        """Fill sequences until at most `until` pieces wait or, unless that is 0, the waiting ones reach no limit."""
         until = self.pool if until is None else until
         out: list[tuple] = []
         if len(self.names) + len(self.waiting) <= until:
@@ -53,7 +57,11 @@ class Packer:
         self.names += [w[0] for w in self.waiting]
         self.pieces = np.concatenate([self.pieces, np.array([w[1:] for w in self.waiting], dtype=np.int64).reshape(-1, 3)])
         self.waiting = []
+        limits = self.limits
         while len(self.names) > until:
+            _, tokens, loss = self.pieces.sum(axis=0)
+            if until and tokens < limits.tokens and len(self.names) < limits.segments and loss < limits.loss_tokens:
+                break
             out += self._sequence()
         return out
 
@@ -120,12 +128,12 @@ def pack_examples(examples: DataFrame, key: str, tokens: str, loss_tokens: str,
     return out.select(restored(examples, key, "k").alias(key), F.col("t").alias(tokens), F.col("l").alias(loss_tokens), F.col("s").alias("sequence_id"), F.col("o").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 1, limits: Limits = Limits()) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 1, limits: Limits = DOCUMENT_LIMITS) -> DataFrame:
     """All tokens of all documents in sequences, documents cut where that fills a sequence; every token bears loss.
 
     One row per piece: key, start, length, ids_crc32, doc_tokens (with the end id), sequence_id, offset. Null and
     empty texts have the end id alone. Repeated rows and keys are separate documents. Other columns are dropped,
-    whatever their names. An empty table gives an empty result. Only the last sequence of a partition can be short.
+    whatever their names. An empty table gives an empty result. Only the last sequence of a partition can be short, unless `limits` has fewer segments than tokens.
     """
     small_batches(docs.sparkSession)
     size = min(limits.tokens, limits.loss_tokens)

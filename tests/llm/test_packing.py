@@ -97,3 +97,11 @@ def test_examples(spark):
         if sequence is not None:
             assert sum(p["n"] for p in pieces) <= 2048 and len(pieces) <= 16 and sum(p["loss"] for p in pieces) <= 300
     assert pack_examples(df.limit(0), "id", "n", "loss").collect() == []
+
+
+@pytest.mark.parametrize("text", ["one two three", ""])
+def test_many_short_texts_leave_little_padding(spark, text):
+    rows = [(k, text) for k in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    padding, sequences = check(pack_documents(df, vocabulary(WORD_TOKENIZER)).collect(), rows)
+    assert padding < 2048 and sequences > 1
