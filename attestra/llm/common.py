@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_folder
 
 # Rows and bytes sent to a Python worker at once. Texts may be long, so a batch stays far below Spark's 10,000 rows.
 BATCH_ROWS = 512
@@ -43,6 +44,13 @@ def stored(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def tabled(df: DataFrame) -> DataFrame:
+    """Like stored, but as a Parquet table, which computes the rows once; their order and partitions are not kept."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def range_index(value: Column, bounds: Sequence[int]) -> Column:
     """How many of the ascending bounds are at or below the value (binary search; null: 0)."""
     if not bounds:
