@@ -25,12 +25,13 @@ from .common import small_batches, tabled, text_of
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 _BREAKS = bytes.maketrans(PIECE_ENDS + b"\t", b"\n" * len(PIECE_ENDS) + b" ")
 # Texts of one shard, and the text whose n-grams fall into one prefix range: both bound the memory of a task.
-SHARD_BYTES = 24 << 20
-RANGE_BYTES = 16 << 20
+SHARD_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 RANGE_PHRASES = 200_000
-# Prefix ranges at most and phrases sampled for each: the driver sorts so many short phrases. Beyond a terabyte ranges widen.
+# Prefix ranges at most and phrases sampled for each: the driver sorts so many short phrases. Beyond half a terabyte ranges widen.
 MOST_RANGES = 1 << 16
-RANGE_SAMPLES = 16
+RANGE_SAMPLES = 32
+SHARES = 32
 NO_LANG = "und"
 
 
@@ -215,14 +216,14 @@ def decode(data: bytes) -> Transducer:
 
 
 def _sampled(docs: DataFrame, every: int) -> list[tuple[str, tuple[bytes, ...]]]:
-    """Sorted (lang, n-gram) pairs from every so many words of a 64th of the texts; they only balance ranges."""
+    """Sorted (lang, n-gram) pairs of up to three words from every so many words of a 64th of the texts; they only balance ranges."""
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, grams = [], []
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 words, at = pieces([text])
-                for n, place in enumerate(range(len(text) % every, len(at), every)):
-                    run = at[place:place + 1 + n % 3].tolist()
+                for place in range(len(text) % every, len(at), every):
+                    run = at[place:place + 3].tolist()
                     run = run[:run.index(-1)] if -1 in run else run
                     if run:
                         langs.append(lang)
@@ -246,7 +247,7 @@ def counted(docs: DataFrame, least: int) -> DataFrame:
     small_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = min(MOST_RANGES, -(-total // RANGE_BYTES)) or 1
-    every = max(1, total // (64 * 6 * RANGE_SAMPLES * ranges))
+    every = max(1, total // (64 * 6 * RANGE_SAMPLES * ranges))  # words have some six bytes
     bounds = _bounds(_sampled(docs, every), ranges) if ranges > 1 else []
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,7 +359,11 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     scored = left.withColumns({"one": F.expr(cut("l1", "if(r2 > 0, r2, r1)")), "two": F.expr(f"if(l2 > 0, {cut('l2', 'r1')}, null)")})
     best = F.when(F.col("two.score") < F.col("one.score"), F.col("two")).otherwise(F.col("one"))
     scored = scored.withColumn("best", best).select("lang", "phrase", "a", "best.l", "best.r", "best.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    best_first = F.desc("score"), F.desc("a"), F.asc("phrase")
+    if first is not None:  # the first ones of every share of a lang, so its last task ranks no more than these
+        share = F.pmod(F.xxhash64("phrase"), F.lit(SHARES))
+        scored = scored.withColumn("place", F.row_number().over(Window.partitionBy("lang", share).orderBy(*best_first))).where(F.col("place") <= first)
+    order = Window.partitionBy("lang").orderBy(*best_first)
     ranked = scored.withColumn("rank", F.row_number().over(order).cast("long"))
     if first is not None:
         ranked = ranked.where(F.col("rank") <= first)
