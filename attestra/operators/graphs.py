@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import key
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_folder
 from .ordered import block_of, neighbour, row_numbers, running_last, running_sum
 
 
@@ -29,33 +31,45 @@ def graph_errors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.na.fill(0, ["repeated_ids", "repeated_names", "dangling", "repeated_edges"])
 
 
-def layers(nodes: DataFrame, edges: DataFrame, checkpoint_every: int = 4) -> DataFrame:
+def layers(nodes: DataFrame, edges: DataFrame, checkpoint_every: int = 32) -> DataFrame:
     """Longest-path layer of every node; documents with a cycle are marked and get no layer.
 
-    Step k keeps the nodes at the end of some path of k edges, so the last step that holds a node is its
-    layer. A path with as many edges as the document has nodes proves a cycle.
+    Nodes without an open predecessor are peeled off round by round, the round is their layer, and only the successors of the
+    peeled lose predecessors. A document in which no node is free stalls: the rest of it holds a cycle and leaves the rounds at once.
+    The peeled nodes of every so many rounds are written to the shared folder, so plans stay short however long the paths are.
+    Edges with an end that is no node are left to `graph_errors`; repeated edges count once.
     """
-    sizes = nodes.groupBy("doc_id").agg(F.countDistinct("node_id").alias("size"))
+    spark = nodes.sparkSession
+    known = nodes.select("doc_id", "node_id").distinct()
     links = edges.select("doc_id", "src", "dst").distinct()
-    frontier = nodes.select("doc_id", "node_id").distinct()
-    out, cyclic, step = frontier.withColumn("layer", F.lit(0)), None, 0
+    for end in ("src", "dst"):
+        links = links.join(known.withColumnRenamed("node_id", end), ["doc_id", end], "left_semi")
+    links = cut_lineage(links)
+    waiting = links.groupBy("doc_id", F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("open"))
+    state = cut_lineage(known.join(waiting, ["doc_id", "node_id"], "left").withColumn("open", F.coalesce("open", F.lit(0).cast("bigint"))))
+    folder, peeled, step = f"{shared_folder(spark)}/layers-{uuid.uuid4().hex}", None, 0
+    ways = links.withColumnRenamed("src", "node_id")
     while True:
-        step += 1
-        frontier = frontier.withColumnRenamed("node_id", "src").join(links, ["doc_id", "src"]).select("doc_id", F.col("dst").alias("node_id")).distinct()
-        looping = frontier.select("doc_id").distinct().join(sizes, "doc_id").where(F.col("size") <= step).select("doc_id")
-        frontier = cut_lineage(frontier) if step % checkpoint_every == 0 else frontier.persist()
-        if frontier.isEmpty():
+        free = state.where("open = 0").select("doc_id", "node_id")
+        layer = free.withColumn("layer", F.lit(step))
+        peeled = layer if peeled is None else peeled.unionByName(layer)
+        freed = free.join(ways, ["doc_id", "node_id"]).groupBy("doc_id", F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("gone"))
+        left = state.where("open > 0").join(freed, ["doc_id", "node_id"], "left").select("doc_id", "node_id", (F.col("open") - F.coalesce("gone", F.lit(0))).alias("open"))
+        moving = left.where("open = 0").select("doc_id").distinct()
+        state = cut_lineage(left.join(moving, "doc_id", "left_semi"))
+        if state.isEmpty():
             break
-        found = cut_lineage(looping)
-        if not found.isEmpty():
-            cyclic = found if cyclic is None else cyclic.unionByName(found)
-            frontier = cut_lineage(frontier.join(found, "doc_id", "left_anti"))
-        out = out.unionByName(frontier.withColumn("layer", F.lit(step)))
-    last = out.groupBy("doc_id", "node_id").agg(F.max("layer").alias("layer"))
-    if cyclic is None:
-        return last.withColumn("cyclic", F.lit(False))
-    marked = last.join(cyclic.distinct().withColumn("cyclic", F.lit(True)), "doc_id", "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
-    return marked.withColumn("layer", F.when(~F.col("cyclic"), F.col("layer")))
+        step += 1
+        if step % checkpoint_every == 0:
+            peeled.write.parquet(f"{folder}/{step}")
+            peeled = None
+    if step >= checkpoint_every:
+        stored = spark.read.schema(known.withColumn("layer", F.lit(0)).schema).parquet(*[f"{folder}/{k}" for k in range(checkpoint_every, step + 1, checkpoint_every)])
+        peeled = stored if peeled is None else peeled.unionByName(stored)
+    placed = known.join(peeled, ["doc_id", "node_id"], "left")
+    cyclic = placed.where("layer is null").select("doc_id").distinct().withColumn("cyclic", F.lit(True))
+    marked = placed.join(cyclic, "doc_id", "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
+    return marked.select("doc_id", "node_id", F.when(~F.col("cyclic"), F.col("layer")).alias("layer"), "cyclic")
 
 
 def lanes(layered: DataFrame) -> DataFrame:

@@ -124,6 +124,19 @@ def graph_layers(t):
     return G.layers(*part_graph(t))
 
 
+@query("graph_cycles", "D5", f"""WITH RECURSIVE {_GRAPH_SQL},
+b AS (SELECT doc_id, src, dst FROM e UNION ALL SELECT doc_id, node, 1 FROM n WHERE doc_id % 3 = 1 AND node % 6 = 0),
+w AS (SELECT doc_id, node, 0 AS layer FROM n UNION SELECT e.doc_id, e.dst, layer + 1 FROM w JOIN e ON e.doc_id = w.doc_id AND e.src = w.node),
+r AS (SELECT doc_id, src, dst FROM b UNION SELECT r.doc_id, r.src, b.dst FROM r JOIN b ON b.doc_id = r.doc_id AND b.src = r.dst),
+k AS (SELECT DISTINCT doc_id FROM r WHERE src = dst)
+SELECT w.doc_id, node AS node_id, CASE WHEN k.doc_id IS NULL THEN MAX(layer) END AS layer, k.doc_id IS NOT NULL AS cyclic FROM w LEFT JOIN k ON k.doc_id = w.doc_id GROUP BY w.doc_id, node, k.doc_id""")
+def graph_cycles(t):
+    """In every third diagram steps lead back to the first one: no layers there, the others keep theirs."""
+    nodes, edges = part_graph(t)
+    back = nodes.where("doc_id % 3 = 1 and node_id % 6 = 0").select("doc_id", F.col("node_id").alias("src"), F.lit(1).cast("bigint").alias("dst"))
+    return G.layers(nodes, edges.unionByName(back))
+
+
 @query("graph_lanes", "D6", f"""WITH RECURSIVE {_GRAPH_SQL},
 w AS (SELECT doc_id, node, 0 AS layer FROM n UNION SELECT e.doc_id, e.dst, layer + 1 FROM w JOIN e ON e.doc_id = w.doc_id AND e.src = w.node),
 l AS (SELECT doc_id, node, node % 11 = 0 AS extra, MAX(layer) AS layer FROM w GROUP BY ALL),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import judgement as J
 from ..operators import outcome as O
 from ..operators import rules as R
+from ..operators.materials import material_rows
 from ..operators.ordered import neighbour, range_blocks
 from ..operators.review import record_guards, review, run_rules
 from ..operators.rules import Rule
@@ -551,3 +553,70 @@ def rule_book(t):
     return found.groupBy("rule_id").agg(
         F.count(F.lit(1)).alias("docs"), F.count_if("execution_error").alias("errors"),
         F.when(F.max(seen), F.count_if(F.col("status") == "PASS")).alias("passed"), F.when(F.max(seen), F.count_if(F.col("status") == "FAIL")).alias("failed"))
+
+
+@query("rule_faults", "R34 U1", f"""WITH {ORDERS_SQL},
+s AS (SELECT doc_id, doc_id % 4 < 2 AS signed FROM o),
+r AS (SELECT rule_id, doc_id, CASE WHEN rule_id LIKE 'bad%' THEN 'HOLD' WHEN signed THEN 'PASS' ELSE 'FAIL' END AS status
+  FROM s, (VALUES ('bad_pattern'), ('bad_value'), ('bad_column'), ('good_a'), ('good_b')) v(rule_id))
+SELECT rule_id, COUNT(*) FILTER (status = 'PASS') AS pass, COUNT(*) FILTER (status = 'FAIL') AS fail, COUNT(*) FILTER (status = 'HOLD') AS hold,
+  COUNT(*) FILTER (rule_id LIKE 'bad%') AS errors FROM r GROUP BY rule_id""")
+def rule_faults(t):
+    """A pattern that does not compile, a value that overflows while rows are computed and a column that is not there: the other rules answer."""
+    docs, inputs = _review_inputs(t)
+    content = inputs["records"].where("record_type = 'content'")
+    overflow = F.lit(2147483647) + F.col("doc_id").cast("int").bitwiseAND(1) + 1
+    nodes = docs.select("doc_id", F.lit("n").alias("node_id"), F.lit("원액").alias("name"), F.create_map(F.lit("제조량"), overflow.cast("string")).alias("fields"))
+    pages = docs.select("doc_id", F.lit(1).alias("page_no"), F.lit("Ver. 1.0 (a)").alias("text"))
+    rules = [Rule("good_a", "signature", {"type": "content"}), Rule("bad_pattern", "version_consistency", {}, {"pattern": "(["}), Rule("bad_value", "diagram_consistency", {}, {"field": "제조량"}),
+             Rule("bad_column", "process_order"), Rule("good_b", "signature", {"type": "content"})]
+    found = run_rules(docs, {"records": content, "content": content, "pages": pages, "nodes": nodes, "edges": docs}, rules)[1]
+    one = lambda status: F.count_if(F.col("status") == status)
+    return found.groupBy("rule_id").agg(one("PASS").alias("pass"), one("FAIL").alias("fail"), one("HOLD").alias("hold"), F.count_if("execution_error").alias("errors"))
+
+
+# One row of a material table per line item; its lot is cut into up to four lines, which cross a block of line numbers.
+_PARTS_SQL = """m AS (SELECT l_orderkey AS doc_id,
+  4078 + 4 * ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS line_no, l_suppkey % 4 AS k, l_partkey % 50 = 1 AS apart, l_partkey,
+  CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) || ' mL' AS amount, CAST(l_extendedprice AS DECIMAL(18,2)) AS n FROM lineitem)"""
+
+
+def _material_lines(t):
+    price, k = F.concat(F.col("l_extendedprice").cast("decimal(18,2)").cast("string"), F.lit(" mL")), F.col("l_suppkey") % 4
+    framed = F.col("l_orderkey") % 2 == 0
+    dash = F.when((k > 0) & (F.col("l_partkey") % 50 != 1), "-").otherwise("")
+    top = F.concat(F.lit("원료 | 성분 | L"), "l_partkey", dash, F.lit(" | "), price)
+    more = lambda j: F.concat(F.lit(f" | 이어 | C{j}"), F.when(k > j, "-").otherwise(""), F.lit(" |"))
+    texts = F.concat(F.array(top), F.transform(F.when(k > 0, F.sequence(F.lit(1), k.cast("int"))).otherwise(F.array().cast("array<int>")),
+                                               lambda j: F.when(j == 1, more(1)).when(j == 2, more(2)).otherwise(more(3))))
+    placed = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    body = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").withColumn("place", F.row_number().over(placed)).select(
+        F.col("l_orderkey").alias("doc_id"), "place", F.posexplode(texts).alias("j", "line"), framed.alias("framed"))
+    body = body.select("doc_id", (4078 + F.col("place") * 4 + F.col("j")).alias("line_no"), F.when(F.col("framed"), F.concat(F.lit("| "), F.ltrim("line"), F.lit(" |"))).otherwise(F.col("line")).alias("text"))
+    bar = lambda text: F.when(F.col("doc_id") % 2 == 0, f"| {text} |").otherwise(text)
+    head = orders(t).select("doc_id", F.explode(F.array(
+        F.struct(F.lit(0).alias("line_no"), F.lit("제조량: 150000.00 mL").alias("text")), F.struct(F.lit(1).alias("line_no"), F.lit("직접 투입 성분").alias("text")),
+        F.struct(F.lit(2).alias("line_no"), bar("원료명 | 성분명 | 제조번호 | 분량").alias("text")), F.struct(F.lit(3).alias("line_no"), F.lit("|---|---|---|---|").alias("text")),
+        F.struct(F.lit(9000).alias("line_no"), F.lit("투입 성분 끝").alias("text")))).alias("r")).select("doc_id", "r.*")
+    return head, body
+
+
+@query("material_rows", "B7", f"""WITH {_PARTS_SQL}
+SELECT doc_id, line_no, '성분' || CASE WHEN apart THEN '' ELSE repeat(' 이어', k) END AS component,
+  'L' || l_partkey || CASE WHEN apart OR k = 0 THEN '' WHEN k = 1 THEN '-C1' WHEN k = 2 THEN '-C1-C2' ELSE '-C1-C2-C3' END AS lot, amount FROM m
+UNION ALL SELECT doc_id, line_no + j, '이어', 'C' || j || CASE WHEN j < k THEN '-' ELSE '' END, '' FROM m, range(1, 4) r(j) WHERE apart AND j <= k""")
+def material_rows_query(t):
+    head, body = _material_lines(t)
+    rows = material_rows(head.where("line_no in (2, 3)").unionByName(body), ["doc_id"])
+    cell = lambda k: F.get("cells", F.lit(k))
+    return rows.select("doc_id", "line_no", cell(1).alias("component"), cell(2).alias("lot"), cell(3).alias("amount"))
+
+
+@query("material_balance", "R14 B7", f"""WITH {_PARTS_SQL}, {ORDER_DOCS},
+s AS (SELECT doc_id, SUM(n) AS total, BOOL_OR(apart AND k > 0) AS gap FROM m GROUP BY doc_id),
+checks AS (SELECT o.doc_id, CASE WHEN s.doc_id IS NULL OR gap THEN 'HOLD' WHEN 150000.00 > total THEN 'FAIL' ELSE 'PASS' END AS status FROM (SELECT o_orderkey AS doc_id FROM orders) o LEFT JOIN s USING (doc_id))
+{OUTCOME_SQL}""")
+def material_balance(t):
+    head, body = _material_lines(t)
+    rule = Rule("B.1", "mass_balance", {}, {"output_field": "제조량", "start_marker": "직접 투입 성분", "end_marker": "투입 성분 끝"})
+    return finish(order_docs(t), R.mass_balance(head.unionByName(body), rule))

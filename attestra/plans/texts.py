@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import intervals as I
 from ..operators import lines as L
 from ..operators import tables as B
 from ..operators.tree import tree_nodes
@@ -209,6 +210,29 @@ def cue_scan(t):
     return joined.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("hits"), F.sum(F.length("quote")).alias("quoted"), F.bool_and(exact).alias("exact"))
 
 
+@query("cue_owners", "T24", """
+WITH c AS (SELECT doc_id, term, STRING_SPLIT_REGEX(text, pattern) AS gaps, REGEXP_EXTRACT_ALL(text, pattern) AS quotes
+  FROM documents, (VALUES ('ention', 'e\\s*n\\s*t\\s*i\\s*o\\s*n'), ('ai', 'a\\s*i')) v(term, pattern)),
+x AS (SELECT doc_id, term, UNNEST(RANGE(1, LEN(quotes) + 1)) AS k, UNNEST(gaps[1:LEN(quotes)]) AS gap, UNNEST(quotes) AS quote FROM c),
+h AS (SELECT doc_id, term, SUM(LENGTH(gap) + LENGTH(quote)) OVER w - LENGTH(quote) AS char_start, SUM(LENGTH(gap) + LENGTH(quote)) OVER w AS char_end
+  FROM x WINDOW w AS (PARTITION BY doc_id, term ORDER BY k)),
+s AS (SELECT doc_id, i // 10 AS node_id, i AS span_id, 100 * i AS span_start, 100 * i + 90 AS span_end FROM (SELECT doc_id, UNNEST(RANGE(0, LENGTH(text) // 100 + 1)) AS i FROM documents)
+  UNION ALL SELECT doc_id, -1, -1, 0, LENGTH(text) FROM documents WHERE doc_id % 3 = 0)
+SELECT h.doc_id, term, CAST(char_start AS BIGINT) AS char_start, CAST(char_end AS BIGINT) AS char_end, COUNT(DISTINCT node_id) AS nodes,
+  COALESCE(STRING_AGG(span_id, ',' ORDER BY span_start, span_end, span_id), '') AS spans, COUNT(span_id) > 0 AS owned
+FROM h LEFT JOIN s ON s.doc_id = h.doc_id AND span_start < char_end AND span_end > char_start GROUP BY ALL""")
+def cue_owners(t):
+    """Cues with the sections they stand in: short spans with gaps between them and, in every third text, one over the whole of it."""
+    docs = t.wide("documents", "doc_id", "text")
+    hits = L.cue_hits(docs, ["doc_id"], ["ention", "ai"])
+    size = F.length("text")
+    grid = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(size / 100))).alias("i"))
+    short = grid.select("doc_id", F.floor(F.col("i") / 10).alias("node_id"), F.col("i").alias("span_id"), (F.col("i") * 100).alias("span_start"), (F.col("i") * 100 + 90).alias("span_end"))
+    whole = docs.where("doc_id % 3 = 0").select("doc_id", *[F.lit(x).cast("bigint").alias(c) for c, x in (("node_id", -1), ("span_id", -1), ("span_start", 0))], size.cast("bigint").alias("span_end"))
+    owned = I.owning_spans(hits, short.unionByName(whole), ["doc_id"])
+    return owned.select("doc_id", "term", F.col("char_start").cast("bigint").alias("char_start"), F.col("char_end").cast("bigint").alias("char_end"), F.size("node_ids").alias("nodes"), F.array_join("span_ids", ",").alias("spans"), "owned")
+
+
 @query("evidence_units", "T21", """
 WITH c AS (SELECT doc_id, text, UNNEST(RANGE(1, LENGTH(text) + 1)) AS i FROM (SELECT doc_id, REPLACE(REPLACE(text, CHR(10), ' '), CHR(13), ' ') AS text FROM documents)),
 b AS (SELECT doc_id, i, LENGTH(text) AS n, SUBSTR(text, i, 1) AS ch, SUBSTR(text, i - 1, 1) AS a, SUBSTR(text, i + 1, 1) AS z FROM c)

@@ -6,14 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import key
+from ..operators.parameters import rule_problems
 from ..operators.rules import OPERATIONS, Rule
 from ..session import DIMENSION_ROW_LIMIT
 
 _ALLOWED = {"id", "operation", "selector", "params", "products", "depends_on", "criterion_source", "title", "instruction", "aliases"}
 
 
+def unique_keys(yaml):
+    """A safe loader that refuses a mapping with a key written twice."""
+    class Loader(yaml.SafeLoader):
+        def construct_mapping(self, node, deep=False):
+            names = [key.value for key, _ in node.value]
+            if len({str(n) for n in names}) < len(names):
+                raise ValueError(f"a key is written twice at line {node.start_mark.line + 1}")
+            return super().construct_mapping(node, deep)
+    return Loader
+
+
 def read_rules(spark: SparkSession, path: str) -> list[Rule]:
-    """Rules of all files under a folder. Unknown keys and operations are rejected before any job runs."""
+    """Rules of all files under a folder.
+
+    Unknown keys and operations, keys written twice, and selectors or parameters that do not fit the operation are rejected before any job runs.
+    """
     import yaml
     files = spark.read.text(path, wholetext=True).limit(DIMENSION_ROW_LIMIT + 1).collect()
     if len(files) > DIMENSION_ROW_LIMIT:
@@ -22,13 +37,15 @@ def read_rules(spark: SparkSession, path: str) -> list[Rule]:
     for row in files:
         if not row.value.startswith("---\n"):
             continue
-        for entry in (yaml.safe_load(row.value.split("---", 2)[1]) or {}).get("rules", []):
+        for entry in (yaml.load(row.value.split("---", 2)[1], unique_keys(yaml)) or {}).get("rules", []):
             extra = set(entry) - _ALLOWED
             if extra:
                 raise ValueError(f"unknown keys {sorted(extra)} in rule {entry.get('id')}")
             if entry["operation"] not in OPERATIONS:
                 raise ValueError(f"unknown operation {entry['operation']} in rule {entry['id']}")
-            rules.append(Rule(entry["id"], entry["operation"], entry.get("selector", {}), entry.get("params", {}),
+            if problems := rule_problems(entry["operation"], entry.get("selector") or {}, entry.get("params") or {}):
+                raise ValueError(f"rule {entry['id']} ({entry['operation']}): {'; '.join(problems)}")
+            rules.append(Rule(entry["id"], entry["operation"], entry.get("selector") or {}, entry.get("params") or {},
                               tuple(entry.get("products", ())), entry.get("depends_on", {}), entry.get("criterion_source", "sp")))
     ids = [r.id for r in rules]
     if not ids or len(ids) != len(set(ids)):

@@ -40,6 +40,7 @@ rules:
   - id: R2
     operation: expiry
     products: [P]
+    params: {start_field: 제조년월일, end_field: 유효기한, duration_field: 저장기간}
     depends_on: {R1: 원액}
 ---
 text
@@ -54,7 +55,7 @@ def test_rule_files(spark, folder):
     assert [r.id for r in rules] == ["R1", "R2"] and rules[1].products == ("P",)
 
 
-@pytest.mark.parametrize("old,new", [("duration", "guess"), ("id: R2", "id: R1"), ("R1: 원액", "R9: 원액"), ("selector:", "selektor:")])
+@pytest.mark.parametrize("old,new", [("duration", "guess"), ("id: R2", "id: R1"), ("R1: 원액", "R9: 원액"), ("selector:", "selektor:"), ("minimum_days", "minimum_day"), ("id: R2", "id: R2\n    id: R3")])
 def test_broken_rule_files_are_rejected(spark, folder, old, new):
     pytest.importorskip("yaml")
     with open(f"{folder}/rules.md", "w") as out:

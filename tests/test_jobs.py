@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from attestra.operators import graphs as G
+from attestra.operators import intervals as I
 from attestra.operators import manufacturing as M
 from attestra.operators import ordered as O
 from attestra.operators import outcome as Out
@@ -17,6 +18,7 @@ from attestra.operators import permits as P
 from attestra.operators import retrieval as K
 from attestra.operators import rules as R
 from attestra.operators.rules import Rule
+from attestra.session import cut_lineage
 
 
 @pytest.fixture(scope="module")
@@ -138,6 +140,36 @@ def test_layers_and_cycles(spark):
     assert all(got["c", i] == (None, True) for i in range(4))
 
 
+def test_long_cycles_end_at_once(spark, monkeypatch):
+    """A ring of 2,000 nodes stalls in the first round; a ring behind a chain after the chain; ends that are no nodes do not count."""
+    rounds = []
+    monkeypatch.setattr(G, "cut_lineage", lambda df: rounds.append(1) or cut_lineage(df))
+    nodes = spark.createDataFrame([("ring", i) for i in range(2000)] + [("tail", i) for i in range(6)] + [("line", i) for i in range(4)], "doc_id string, node_id int")
+    edges = [("ring", i, (i + 1) % 2000) for i in range(2000)] + [("tail", i, i + 1) for i in range(5)] + [("tail", 5, 3)] + [("line", i, i + 1) for i in range(3)] + [("line", 0, 1), ("line", 3, 99), ("line", 98, 0)]
+    got = {(r["doc_id"], r["node_id"]): (r["layer"], r["cyclic"]) for r in G.layers(nodes, spark.createDataFrame(edges, "doc_id string, src int, dst int"), checkpoint_every=3).collect()}
+    assert len(got) == 2010 and all(v == (None, True) for (d, _), v in got.items() if d != "line")
+    assert [got["line", i] for i in range(4)] == [(i, False) for i in range(4)] and len(rounds) <= 7
+
+
+def test_overlaps_once_each(spark):
+    """Random ranges against all pairs, with ranges over many bins, empty ones and null ends."""
+    dice = random.Random(6)
+    side = lambda n: [(dice.choice("ab"), low := dice.randrange(0, 900), low + dice.choice([0, 1, 3, 40, 700])) for _ in range(n)] + [("a", 0, 1600), (None, 1, 5), ("a", None, 4), ("b", 5, None)]
+    left, right = [(k, *r) for k, r in enumerate(side(70))], [(k, *r) for k, r in enumerate(side(70))]
+    a, b = spark.createDataFrame(left, "i int, doc string, lo int, hi int"), spark.createDataFrame(right, "j int, doc string, low int, high int")
+    wanted = sorted((i, j) for i, d, x, y in left for j, e, u, v in right if d is not None and d == e and None not in (x, y, u, v) and u < y and v > x)
+    joined = I.overlaps(a, b, ["doc"], ("lo", "hi"), ("low", "high"), size=64)
+    assert sorted((r["i"], r["j"]) for r in joined.collect()) == wanted and len(wanted) > 300
+    assert "NestedLoop" not in joined._jdf.queryExecution().toString() and "Cartesian" not in joined._jdf.queryExecution().toString()
+
+
+def test_spans_that_own_a_hit(spark):
+    hits = spark.createDataFrame([(1, "x", 10, 12), (1, "x", 10, 12), (1, "y", 95, 105), (1, "x", 400, 402), (2, "x", 10, 12)], "doc_id int, term string, char_start int, char_end int")
+    spans = spark.createDataFrame([(1, "n2", 3, 90, 100), (1, "n1", 2, 0, 5000), (1, "n2", 4, 100, 200), (1, "n1", 1, 12, 20), (1, "n3", 5, 105, 110)], "doc_id int, node_id string, span_id int, span_start int, span_end int")
+    got = sorted((r["doc_id"], r["term"], r["char_start"], r["node_ids"], r["span_ids"], r["owned"]) for r in I.owning_spans(hits, spans, ["doc_id"]).collect())
+    assert got == [(1, "x", 10, ["n1"], [2], True)] * 2 + [(1, "x", 400, ["n1"], [2], True), (1, "y", 95, ["n1", "n2"], [2, 3, 4], True), (2, "x", 10, [], [], False)]
+
+
 def _brute_layout(nodes):
     """Rows by running mean height, then edges by row sizes and nearest x."""
     by_page = defaultdict(list)
