@@ -106,7 +106,8 @@ def sections(lines: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def section_paths(lines: DataFrame, keys: list[str], order: str, levels: int | None = None) -> DataFrame:
     """Stack of open headings at each line: array of struct(pos, number, title, depth).
 
-    A heading of depth k is open while no heading of depth <= k has followed it.
+    A heading of depth k is open while no heading of depth <= k has followed it. Without `levels` the deepest heading of the
+    lines decides, which is one aggregate; with it, deeper headings are no part of any path.
     """
     if levels is None:
         levels = lines.agg(F.max("heading.depth")).first()[0] or 0

@@ -139,7 +139,7 @@ x AS (SELECT *, LEAD(depth) OVER (PARTITION BY doc_id ORDER BY line_no) AS nxt F
 SELECT doc_id, COUNT(*) FILTER (nxt IS NULL OR nxt <= depth) AS leaves FROM x GROUP BY doc_id HAVING COUNT(*) FILTER (nxt IS NULL OR nxt <= depth) > 0""")
 def scope_leaves(t):
     lines = numbered_lines(t).select("doc_id", "line_no", "block", "heading")
-    chunks = L.section_paths(lines, ["doc_id"], "line_no", levels=3).where("heading is not null").withColumnRenamed("line_no", "position")
+    chunks = L.section_paths(lines, ["doc_id"], "line_no").where("heading is not null").withColumnRenamed("line_no", "position")
     return P.scope_leaves(chunks, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("leaves"))
 
 
@@ -333,7 +333,7 @@ SELECT y.doc_id, y.line_no AS node, CASE WHEN need AND leaf THEN 'required_leaf'
 FROM y LEFT JOIN a ON a.doc_id = y.doc_id AND a.line_no = y.line_no LEFT JOIN r ON r.doc_id = y.doc_id AND r.line_no = y.line_no""")
 def review_packet_roles(t):
     lines = numbered_lines(t).select("doc_id", "line_no", "block", "heading")
-    chunks = L.section_paths(lines, ["doc_id"], "line_no", levels=3).where("heading is not null").withColumnRenamed("line_no", "position")
+    chunks = L.section_paths(lines, ["doc_id"], "line_no").where("heading is not null").withColumnRenamed("line_no", "position")
     leaves = P.scope_leaves(chunks, "doc_id").select("doc_id", F.col("position").alias("node"), F.lit(True).alias("leaf"))
     above = F.transform(F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0))), lambda p: p["pos"])
     nodes = chunks.select("doc_id", F.col("position").alias("node"), above.alias("ancestors")).join(leaves, ["doc_id", "node"], "left").withColumn("leaf", F.coalesce("leaf", F.lit(False)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import assembly as A
 from ..operators import intervals as I
 from ..operators import lines as L
 from ..operators import tables as B
@@ -65,7 +66,7 @@ v AS (SELECT doc_id, line_no, depth, p1, CASE WHEN p2 > COALESCE(p1, -1) THEN p2
 SELECT doc_id, line_no, CONCAT_WS('>', p1, p2, p3) AS path FROM v""")
 def section_paths(t):
     lines = numbered_lines(t).select("doc_id", "line_no", "block", "heading")
-    paths = L.section_paths(lines, ["doc_id"], "line_no", levels=3)
+    paths = L.section_paths(lines, ["doc_id"], "line_no")
     return paths.select("doc_id", "line_no", F.array_join(F.transform("path", lambda p: p["pos"].cast("string")), ">").alias("path"))
 
 
@@ -75,7 +76,7 @@ SELECT e.doc_id, e.line_no AS ancestor, COUNT(*) AS members, MAX(c.line_no) AS l
 FROM e JOIN c ON c.doc_id = e.doc_id AND c.line_no >= e.line_no AND (stop IS NULL OR c.line_no < stop) GROUP BY ALL""")
 def descendants(t):
     lines = numbered_lines(t).select("doc_id", "line_no", "block", "heading")
-    chunks = L.section_paths(lines, ["doc_id"], "line_no", levels=3).where("heading is not null")
+    chunks = L.section_paths(lines, ["doc_id"], "line_no").where("heading is not null")
     members = L.descendants(chunks.select("doc_id", "path", F.col("line_no").alias("position"), F.lit("").alias("text")), ["doc_id"])
     return members.groupBy("doc_id", "ancestor").agg(F.count(F.lit(1)).alias("members"), F.max("position").alias("last_member"))
 
@@ -88,7 +89,7 @@ SELECT doc_id, node, parent, CAST(level AS INT) AS level, COUNT(*) AS leaves,
   CASE WHEN BOOL_OR(line_no % 5 = 1) THEN 'FAIL' ELSE 'PASS' END AS status FROM n GROUP BY ALL""")
 def section_tree(t):
     lines = numbered_lines(t).select("doc_id", "line_no", "block", "heading")
-    leaves = L.section_paths(lines, ["doc_id"], "line_no", levels=3).where("heading is null")
+    leaves = L.section_paths(lines, ["doc_id"], "line_no").where("heading is null")
     nodes = tree_nodes(leaves.withColumn("status", F.when(F.col("line_no") % 5 == 1, "FAIL").otherwise("PASS")), ["doc_id"])
     return nodes.select("doc_id", "node", "parent", F.col("level").cast("int").alias("level"), "leaves", "status")
 
@@ -145,6 +146,46 @@ def record_assembly(t):
     return records.select("doc_id", "order_idx", "test_name", "criteria", "result", "test_date", "remarks", "narrative")
 
 
+_ASSEMBLY_SQL = """l AS (
+  SELECT o_custkey AS doc_id, o_orderkey * 16 + k AS pos, kind, field, CASE kind WHEN 'head' THEN (o_orderkey % 9 + 1) || '.' || (o_orderkey % 4 + 1) END AS number,
+    CASE k WHEN 0 THEN '제조 기록' || (o_orderkey % 5) WHEN 1 THEN '본문 ' || (o_orderkey % 7) WHEN 2 THEN '항목' || (o_orderkey % 97) || '시험' WHEN 3 THEN (o_custkey % 50) || ' mg 이하'
+      WHEN 4 THEN (o_orderkey % 40) || ' mg' WHEN 5 THEN '구분 | 값' WHEN 6 THEN '가 | ' || (o_orderkey % 11) WHEN 7 THEN '설명 문장' WHEN 8 THEN '나 | ' || (o_orderkey % 13) ELSE (o_orderkey % 40) || ' mg' END AS value,
+    CASE k WHEN 3 THEN '기준: ' WHEN 4 THEN '시험결과: ' WHEN 9 THEN '시험결과: ' ELSE '' END AS label
+  FROM orders, (VALUES (0, 'head', NULL, 3, 0), (1, 'text', NULL, 2, 0), (2, 'name', NULL, 5, 1), (3, 'field', 'criteria', 5, 2), (4, 'field', 'result', 5, 2), (5, 'table', NULL, 4, 0), (6, 'table', NULL, 4, 0),
+    (7, 'text', NULL, 7, 0), (8, 'table', NULL, 8, 0), (9, 'field', 'result', 6, 0)) v(k, kind, field, modulus, way)
+  WHERE CASE way WHEN 0 THEN o_orderkey % modulus = 0 WHEN 1 THEN o_orderkey % 5 <> 1 ELSE o_orderkey % 5 <> 0 END),
+w AS (SELECT *, label || value AS line, LAST_VALUE(CASE WHEN kind = 'head' THEN number END IGNORE NULLS) OVER win AS section_number, LAST_VALUE(CASE WHEN kind = 'head' THEN value END IGNORE NULLS) OVER win AS section_title,
+    COALESCE(LAST_VALUE(CASE WHEN kind IN ('head', 'name') THEN pos END IGNORE NULLS) OVER win, -1) AS owner_pos, LAST_VALUE(CASE WHEN kind IN ('head', 'name') THEN kind END IGNORE NULLS) OVER win AS owner,
+    LAST_VALUE(CASE WHEN kind IN ('head', 'name') THEN value END IGNORE NULLS) OVER win AS name, LAST_VALUE(CASE WHEN kind <> 'table' THEN pos END IGNORE NULLS) OVER win AS table_run
+  FROM l WINDOW win AS (PARTITION BY doc_id ORDER BY pos)),
+body AS (SELECT * FROM w WHERE kind NOT IN ('head', 'name')),
+lab AS (SELECT doc_id, owner_pos, field, value, MIN(pos) AS pos FROM body WHERE owner = 'name' AND kind = 'field' GROUP BY ALL),
+tab AS (SELECT doc_id, owner_pos, table_run, MIN(pos) AS pos, STRING_AGG(line, CHR(10) ORDER BY pos) AS value FROM body WHERE owner = 'name' AND kind = 'table' GROUP BY ALL),
+items AS (SELECT doc_id, owner_pos, field AS what, value, pos FROM lab UNION ALL SELECT doc_id, owner_pos, 'table', value, pos FROM tab UNION ALL SELECT doc_id, owner_pos, 'narrative', line, pos FROM body WHERE owner = 'name' AND kind = 'text'),
+tests AS (SELECT i.doc_id, i.owner_pos AS first_pos, 'test' AS record_type, w.section_number, w.section_title, w.name AS test_name, STRING_AGG(i.value, CHR(10) ORDER BY i.pos) FILTER (what = 'criteria') AS criteria,
+    NULLIF(CONCAT_WS(CHR(10), STRING_AGG(i.value, CHR(10) ORDER BY i.pos) FILTER (what = 'result'), STRING_AGG(i.value, CHR(10) ORDER BY i.pos) FILTER (what = 'table')), '') AS result,
+    STRING_AGG(i.value, CHR(10) ORDER BY i.pos) FILTER (what = 'narrative') AS narrative, COUNT(*) FILTER (what = 'table') AS tables, NULL AS content
+  FROM items i JOIN w ON w.doc_id = i.doc_id AND w.pos = i.owner_pos GROUP BY i.doc_id, i.owner_pos, w.section_number, w.section_title, w.name),
+texts AS (SELECT doc_id, MIN(pos) AS first_pos, 'content' AS record_type, section_number, section_title, NULL, NULL, NULL, NULL, 0, STRING_AGG(line, CHR(10) ORDER BY pos)
+  FROM body WHERE COALESCE(owner, 'head') = 'head' GROUP BY doc_id, owner_pos, pos // 65536, section_number, section_title)"""
+
+
+@query("section_records", "T10 T11", f"""WITH {_ASSEMBLY_SQL}
+SELECT doc_id, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY first_pos) - 1 AS order_idx, record_type, section_number, section_title, test_name, criteria, result, narrative, tables, content
+FROM (SELECT * FROM tests UNION ALL SELECT * FROM texts)""")
+def section_records(t):
+    """Headings between tests, tables in tests and in sections, names without fields and lines before any heading."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    staged = [(o % 3 == 0, say(o % 9 + 1, ".", o % 4 + 1, " 제조 기록", o % 5)), (o % 2 == 0, say("본문 ", o % 7)), (o % 5 != 1, say("항목", o % 97, "시험")), (o % 5 != 0, say("기준: ", c % 50, " mg 이하")),
+              (o % 5 != 0, say("시험결과: ", o % 40, " mg")), (o % 4 == 0, F.lit("구분 | 값")), (o % 4 == 0, say("가 | ", o % 11)), (o % 7 == 0, F.lit("설명 문장")), (o % 8 == 0, say("나 | ", o % 13)),
+              (o % 6 == 0, say("시험결과: ", o % 40, " mg"))]
+    rows = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.when(there, line).alias("line")) for k, (there, line) in enumerate(staged)]), lambda r: r["line"].isNotNull())
+    lines = t.wide("orders", "o_orderkey", "o_custkey").select(c.alias("doc_id"), o.alias("o"), F.explode(rows).alias("r")).select("doc_id", (F.col("o") * 16 + F.col("r.k")).alias("position"), "r.line")
+    typed = L.classify(lines.withColumn("block", L.block_of(F.col("position"), 65536))).withColumn("starts", L.is_test_name(F.col("line")))
+    return A.section_records(typed, ["doc_id"], "position").select("doc_id", "order_idx", "record_type", "section_number", "section_title", "test_name", "criteria", "result", "narrative", "tables", "content")
+
+
 @query("chunk_pack", "T19", """
 WITH RECURSIVE p AS (SELECT doc_id, LIST_FILTER(LIST_TRANSFORM(STRING_SPLIT(REPLACE(text, CHR(13), CHR(10)), CHR(10)),
     lambda x: REGEXP_REPLACE(REGEXP_REPLACE(TRANSLATE(x, CHR(160) || CHR(12288), '  '), '[ \\t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ps FROM documents),

@@ -9,8 +9,10 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from attestra.operators import assembly as A
 from attestra.operators import graphs as G
 from attestra.operators import intervals as I
+from attestra.operators import lines as L
 from attestra.operators import manufacturing as M
 from attestra.operators import ordered as O
 from attestra.operators import outcome as Out
@@ -237,3 +239,28 @@ def test_conflicting_permits_hold(spark):
     for texts, status in ((["제조원명 가나", "제조원명  가나"], "PASS"), (["제조원명 가나", "제조원명 다라"], "HOLD"), (["", ""], "HOLD"), (["제조원명 다라", ""], "FAIL")):
         pages = spark.createDataFrame([(i + 1, t.replace("  ", " ")) for i, t in enumerate(texts)], "permit_id int, text string")
         assert R.permit_field(records, pages, links, rule).first()["status"] == status
+
+
+def test_records_of_open_spans(spark):
+    """Headings close tests, tables join the innermost span, names alone are no records, contents end with their block."""
+    texts = ["앞글", "1.1 제조 기록", "본문", "가 | 나", "무균시험", "기준: 음성", "결과: 음성", "결과: 음성", "a | b", "1 | 2", "설명", "c | d", "엔도톡신", "1.2 다음 장", "뒷글", "결과: 5 mg", "성상", "비고: 없음"]
+    rows = [(d, k, x) for d in (1, 2) for k, x in enumerate(texts)] + [(3, k, f"줄 {k}") for k in range(9)]
+    lines = spark.createDataFrame(rows, "doc_id int, line_no int, line string").withColumn("block", F.floor(F.col("line_no") / 4))
+    typed = L.classify(lines).withColumn("starts", L.is_test_name(F.col("line")))
+    got = A.section_records(typed, ["doc_id"], "line_no").collect()
+    pick = lambda d, *cols: [tuple(r[c] for c in cols) for r in sorted((r for r in got if r["doc_id"] == d), key=lambda r: r["order_idx"])]
+    assert pick(1, "order_idx", "record_type", "section_number", "test_name", "criteria", "result", "narrative", "tables", "content", "part") == [
+        (0, "content", None, None, None, None, None, 0, "앞글", 0), (1, "content", "1.1", None, None, None, None, 0, "본문\n가 | 나", 0),
+        (2, "test", "1.1", "무균시험", "음성", "음성\na | b\n1 | 2\nc | d", "설명", 2, None, 0),
+        (3, "content", "1.2", None, None, None, None, 0, "뒷글\n결과: 5 mg", 0), (4, "test", "1.2", "성상", None, None, None, 0, None, 0)]
+    assert pick(2, "record_type", "content") == pick(1, "record_type", "content")
+    assert pick(3, "part", "content") == [(0, "줄 0\n줄 1\n줄 2\n줄 3"), (1, "줄 4\n줄 5\n줄 6\n줄 7"), (2, "줄 8")]
+    assert A.section_records(typed.limit(0), ["doc_id"], "line_no").count() == 0
+
+
+def test_paths_of_any_depth(spark):
+    heads = ["1 장", "1.1 절", "1.1.1 항", "1.1.1.1 목", "1.1.1.1.1 세목", "1.2 절"]
+    lines = spark.createDataFrame([(1, k, x) for k, x in enumerate(heads)], "doc_id int, line_no int, line string").withColumn("block", F.floor(F.col("line_no") / 4))
+    paths = L.section_paths(L.classify(lines), ["doc_id"], "line_no")
+    got = {r["line_no"]: [p["pos"] for p in r["path"]] for r in paths.collect()}
+    assert got[4] == [0, 1, 2, 3, 4] and got[3] == [0, 1, 2, 3] and got[5] == [0, 5]
