@@ -8,7 +8,7 @@ from helpers import empty_documents, odd_documents, prose
 from attestra.llm import spans
 
 
-def slow(rows, min_sentences=2, min_words=16):
+def slow(rows, min_sentences=2, min_words=16, every_end=False):
     """Texts left per row, in the order of the rows given."""
     occurrences, pieces = {}, []
     for number, (key, text) in enumerate(rows):
@@ -19,7 +19,7 @@ def slow(rows, min_sentences=2, min_words=16):
         for i in range(n):
             runs |= set([(i, j) for j in range(i + min_sentences, n + 1) if sum(map(len, words[i:j])) >= min_words][:1])
         for j in range(1, n + 1):
-            if j == n or "\n" in cut[j - 1]:
+            if every_end or j == n or "\n" in cut[j - 1]:
                 runs |= set([(i, j) for i in range(j - min_sentences, -1, -1) if sum(map(len, words[i:j])) >= min_words][:1])
         for i, j in runs:
             occurrences.setdefault(tuple(words[i:j]), []).append(((key is not None, key or 0), text, i, j, number))
@@ -35,6 +35,8 @@ def slow(rows, min_sentences=2, min_words=16):
 def test_documents(spark, small):
     df = spark.read.parquet(f"{small}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in df.orderBy("doc_id").collect()]
+    ends = {r["doc_id"]: r["text"] for r in spans.remove_repeated(df, every_end=True).collect()}
+    assert [ends[k] for k, _ in rows] == slow(rows, every_end=True)
     got = {r["doc_id"]: r for r in spans.remove_repeated(df).collect()}
     assert [got[k]["text"] for k, _ in rows] == slow(rows)
     for key, text in rows:
@@ -104,3 +106,46 @@ def test_passages_glued_to_other_words(spark):
     assert all(lost[k] == 0 for k in range(0, 80, 2))
     assert all(16 <= lost[k] <= rows[k][2] for k in range(1, 80, 2))
     assert sum(lost.values()) > 0.75 * sum(r[2] for r in rows[1::2])
+
+
+def test_sentences():
+    text = "  Der Wert 3.14 ist?! gut.\n\n Ähnlich\u00a0wie İstanbul " + "wort " * 40 + "\u3000ende "
+    cut = spans.sentences(text)
+    assert "".join(cut) == text and cut[0].startswith("  Der") and not any("?! g" in s or "\nÄ" in s for s in cut)
+    assert max(len(s.split()) for s in cut) <= 16 and spans.sentences("") == spans.sentences(" \n ") == []
+    many = ["", "one two. three", " ", text, "x"]
+    together = spans.tokens(many)
+    low, high = together.edges()
+    of = together.text[together.sentence[:-1]]
+    assert [[t[a:b] for a, b in zip(low[of == k], high[of == k])] for k, t in enumerate(many)] == [spans.sentences(t) for t in many]
+
+
+def test_runs_of_texts_together():
+    """Texts tokenised together have the same runs as each alone; equal words anywhere have equal hashes."""
+    texts = [prose(k, 9) + ("\n" if k % 2 else " ") + prose(99, 4) + prose(50 + k, 3) for k in range(7)]
+    for every_end in (False, True):
+        whole = spans.runs(spans.tokens(texts), 2, 16, every_end)
+        for k, text in enumerate(texts):
+            alone = spans.runs(spans.tokens([text]), 2, 16, every_end)
+            assert sorted(zip(whole.h[whole.text == k], whole.place[whole.text == k])) == sorted(zip(alone.h, alone.place))
+            words = {}
+            for h, place in zip(alone.h, alone.place):
+                span = text[place >> 32:(place >> 32) + (place & 0xFFFFFFFF)]
+                bare = "".join(span.lower().split())
+                assert words.setdefault(int(h), bare) == bare and len(spans.tokens([span]).first) >= 16
+
+
+def test_columns_keep_their_values(spark):
+    passage = prose(77, 7)
+    names = ["places", "_cut", "_rid", "_key", "rid", "key", "row", "h", "cut", "text_"]
+    rows = [(k, prose(100 + k, 5) + "\n" + passage, *[f"{c}{k}" for c in names]) for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    got = sorted(spans.remove_repeated(df).collect())
+    assert [tuple(r)[2:-1] for r in got] == [r[2:] for r in rows] and got[3]["text"] == prose(103, 5) + "\n"
+
+
+def test_full_bitmap_changes_nothing(spark, monkeypatch):
+    df = spark.createDataFrame([(k, prose(k % 5, 9) + prose(70, 5)) for k in range(12)], "doc_id long, text string")
+    wanted = sorted(spans.remove_repeated(df).collect())
+    monkeypatch.setattr(spans, "MARKS", 64)
+    assert sorted(spans.remove_repeated(df).collect()) == wanted
