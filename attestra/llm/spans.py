@@ -30,6 +30,9 @@ TEXTS = 64
 CHARS = 1 << 20
 # Bits of a bitmap: what is not marked there is surely not wanted; a fuller one lets more pass, never less.
 MARKS = 1 << 25
+# A run that occurs more often than this is dealt to so many shares.
+COMMON = 10_000
+SHARES = 64
 # Odd multipliers of two hashes; run hashes are differences of one prefix sum, taken back to the start by the inverse.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _SPACE = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
@@ -205,8 +208,8 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
             for _, part in batched(batch.column("text").to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(runs(tokens(part), min_sentences, min_words, every_end).h)], ["h"])
 
-    twice = texts.select("text").mapInArrow(hashes, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    repeats = bitmap(twice, "h")
+    twice = tabled(texts.select("text").mapInArrow(hashes, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    repeats, common = bitmap(twice, "h"), bitmap(twice.where(F.col("n") > COMMON), "h")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,12 +220,19 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
                 if len(keep):
                     picked = Runs(*[a[keep] for a in (all_.h, all_.text, all_.place, all_.start, all_.end)])
                     row = pa.array(picked.text + at)
-                    yield pa.RecordBatch.from_arrays([pa.array(picked.h), pa.array(further(found, picked)), batch.column("rid").take(row), pa.array(picked.place), batch.column("key").take(row)],
-                                                     ["h", "other", "rid", "place", "key"])
-
-    spans = tabled(texts.mapInArrow(emit, f"h long, other long, rid long, place long, key {kind}"))
-    first = spans.groupBy("h", "other").agg(F.min(F.struct("key", "rid", "place")).alias("first"))
-    later = spans.join(first, ["h", "other"]).where("rid <> first.rid or place <> first.place or not (key <=> first.key)")
+                    rid = batch.column("rid").take(row)
+                    share = np.where(marked(common, picked.h), (rid.to_numpy() ^ picked.place) % SHARES, -1)
+                    yield pa.RecordBatch.from_arrays([pa.array(picked.h), pa.array(further(found, picked)), rid, pa.array(picked.place), batch.column("key").take(row), pa.array(share)],
+                                                     ["h", "other", "rid", "place", "key", "share"])
+
+    spans = tabled(texts.mapInArrow(emit, f"h long, other long, rid long, place long, key {kind}, share long"))
+    run, lowest = ["h", "other"], F.min(F.struct("key", "rid", "place")).alias("first")
+    few, many = spans.where("share < 0").drop("share"), spans.where("share >= 0")
+    # a run that occurs very often is joined in shares, of which each hears of the first one
+    shares = many.groupBy(*run, "share").agg(lowest)
+    told = shares.drop("first").join(shares.groupBy(*run).agg(F.min("first").alias("first")), run)
+    met = few.join(few.groupBy(*run).agg(lowest), run).unionByName(many.join(told, [*run, "share"]).drop("share"))
+    later = met.where("rid <> first.rid or place <> first.place or not (key <=> first.key)")
     covered = tabled(later.groupBy("rid", "key").agg(F.collect_set("place").alias("places")))
     touched = bitmap(covered, "rid")
 
@@ -242,9 +252,9 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
     none = F.array().cast(ranges)
     # rows that surely lose nothing meet no exchange
     same = back(rows.where(~may("rid")), F.col("text"), none)
-    met = rows.where(may("rid")).alias("d").join(covered.alias("c"), F.expr("d.rid = c.rid and d.key <=> c.key"), "left").select("row", "text", "places")
-    losing = met.where("places is not null").withColumn("cut", cut("text", "places"))
-    kept = back(met.where("places is null"), F.col("text"), none)
+    touching = rows.where(may("rid")).alias("d").join(covered.alias("c"), F.expr("d.rid = c.rid and d.key <=> c.key"), "left").select("row", "text", "places")
+    losing = touching.where("places is not null").withColumn("cut", cut("text", "places"))
+    kept = back(touching.where("places is null"), F.col("text"), none)
     return back(losing, F.col("cut.text"), F.col("cut.spans")).unionByName(kept).unionByName(same)
 
 

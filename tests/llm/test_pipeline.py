@@ -28,7 +28,7 @@ def test_stages(spark, small):
     rows = [r for k, r in enumerate(rows) if names[k] == k]
     left = steps[1](spark, left, small)
     assert left.columns == docs.columns and sorted((r.asDict() for r in left.collect()), key=lambda r: r["doc_id"]) == rows
-    texts = slow([(r["doc_id"], r["text"]) for r in rows])
+    texts = slow([(r["doc_id"], r["text"]) for r in rows], every_end=True)
     rows = [r | {"text": t, "n_chars": len(t)} for r, t in zip(rows, texts)]
     left = steps[2](spark, left, small)
     assert left.columns == docs.columns and left.schema == docs.schema
