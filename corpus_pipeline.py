@@ -29,7 +29,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes sentences that an earlier document has as part of the same run; n_chars follows the text."""
-    cut = spans.remove_repeated(docs).drop("removed_spans")
+    cut = spans.remove_repeated(docs, every_end=True).drop("removed_spans")
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
