@@ -67,19 +67,21 @@ def summary_items(nodes: DataFrame) -> DataFrame:
 
 
 def stage_occurrences(items: DataFrame, body: DataFrame) -> DataFrame:
-    """Body rows of a stage: by stage text first, else by lot, then date, then quantity; the best reason is kept.
+    """Body rows with every stage they may belong to: by stage text first, else by lot, then date, then quantity.
 
+    The same text goes before a text that contains the other one. Of the stages of a row all of its best reason are kept, so two
+    stages of one lot are two rows and nothing decides between them in silence.
     items: doc_id, stage_key, lot, made, amount; body: doc_id, row_id, stage_key, lot, made, amount (normal forms).
     """
-    ways = [("stage_key", 1), ("lot", 2), ("made", 3), ("amount", 4)]
-    out = None
-    for column, rank in ways:
-        left = items.select("doc_id", F.col("stage_key").alias("stage"), F.col(column).alias("k")).where("k is not null and k <> ''")
-        left = left.groupBy("doc_id", "k").agg(F.min("stage").alias("stage"))
-        right = body.select("doc_id", "row_id", F.col(column).alias("k")).where("k is not null and k <> ''")
-        hit = left.join(right, ["doc_id", "k"]).select("doc_id", "stage", "row_id", F.lit(rank).alias("rank"))
-        out = hit if out is None else out.unionByName(hit)
-    return out.groupBy("doc_id", "row_id").agg(F.min(F.struct("rank", "stage")).alias("m")).select("doc_id", "row_id", "m.stage", "m.rank")
+    texts = containing_pairs(items.select("doc_id", F.col("stage_key").alias("stage")), body.select("doc_id", F.col("stage_key").alias("written")), "doc_id", "stage", "written")
+    found = texts.join(body.select("doc_id", "row_id", F.col("stage_key").alias("written")), ["doc_id", "written"]).select(
+        "doc_id", "row_id", "stage", F.lit(1).alias("rank"), (F.col("stage") != F.col("written")).alias("loose"))
+    for rank, column in enumerate(("lot", "made", "amount"), 2):
+        known = items.select("doc_id", F.col("stage_key").alias("stage"), F.col(column).alias("k")).where("k is not null and k <> ''").distinct()
+        rows = body.select("doc_id", "row_id", F.col(column).alias("k")).where("k is not null and k <> ''")
+        found = found.unionByName(known.join(rows, ["doc_id", "k"]).select("doc_id", "row_id", "stage", F.lit(rank).alias("rank"), F.lit(False).alias("loose")))
+    best = found.groupBy("doc_id", "row_id").agg(F.min(F.struct("rank", "loose")).alias("best"))
+    return found.join(best, ["doc_id", "row_id"]).where("rank = best.rank and loose = best.loose").select("doc_id", "row_id", "stage", "rank").distinct()
 
 
 def next_stage_dates(items: DataFrame, edges: DataFrame) -> DataFrame:

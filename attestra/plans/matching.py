@@ -298,15 +298,15 @@ def summary_items(t):
 
 @query("stage_occurrences", "M4", """
 WITH i AS (SELECT DISTINCT l_orderkey AS doc_id, 's' || (l_suppkey % 5) AS stage, 'L' || (l_partkey % 7) AS lot FROM lineitem),
-b AS (SELECT l_orderkey AS doc_id, l_linenumber AS row_id, 's' || (l_linenumber + 2) AS sk, 'L' || l_linenumber AS lot FROM lineitem GROUP BY ALL),
-m AS (SELECT b.doc_id, row_id, stage, 1 AS rank FROM b JOIN i ON i.doc_id = b.doc_id AND i.stage = sk
+b AS (SELECT l_orderkey AS doc_id, l_linenumber AS row_id, 's' || (l_linenumber + 2) || CASE WHEN l_linenumber % 2 = 0 THEN ' process' ELSE '' END AS sk, 'L' || l_linenumber AS lot FROM lineitem GROUP BY ALL),
+m AS (SELECT DISTINCT b.doc_id, row_id, stage, 1 AS rank FROM b JOIN i ON i.doc_id = b.doc_id AND CONTAINS(sk, i.stage)
   UNION ALL SELECT b.doc_id, row_id, stage, 2 FROM b JOIN i ON i.doc_id = b.doc_id AND i.lot = b.lot)
-SELECT doc_id, row_id, stage, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id, row_id ORDER BY rank, stage) AS n FROM m) WHERE n = 1""")
+SELECT DISTINCT doc_id, row_id, stage, rank FROM (SELECT *, MIN(rank) OVER (PARTITION BY doc_id, row_id) AS best FROM m) WHERE rank = best""")
 def stage_occurrences(t):
     base = t.wide("lineitem", F.col("l_orderkey").alias("doc_id"), "l_linenumber", "l_suppkey", "l_partkey")
     none = F.lit(None).cast("string")
     items = base.select("doc_id", F.concat(F.lit("s"), F.col("l_suppkey") % 5).alias("stage_key"), F.concat(F.lit("L"), F.col("l_partkey") % 7).alias("lot"), none.alias("made"), none.alias("amount"))
-    body = base.select("doc_id", F.col("l_linenumber").alias("row_id"), F.concat(F.lit("s"), F.col("l_linenumber") + 2).alias("stage_key"), F.concat(F.lit("L"), "l_linenumber").alias("lot"), none.alias("made"), none.alias("amount")).distinct()
+    body = base.select("doc_id", F.col("l_linenumber").alias("row_id"), F.concat(F.lit("s"), F.col("l_linenumber") + 2, F.when(F.col("l_linenumber") % 2 == 0, " process").otherwise("")).alias("stage_key"), F.concat(F.lit("L"), "l_linenumber").alias("lot"), none.alias("made"), none.alias("amount")).distinct()
     return M.stage_occurrences(items, body)
 
 

@@ -264,3 +264,13 @@ def test_paths_of_any_depth(spark):
     paths = L.section_paths(L.classify(lines), ["doc_id"], "line_no")
     got = {r["line_no"]: [p["pos"] for p in r["path"]] for r in paths.collect()}
     assert got[4] == [0, 1, 2, 3, 4] and got[3] == [0, 1, 2, 3] and got[5] == [0, 5]
+
+
+def test_all_stages_of_a_row(spark):
+    """Two stages of one lot are both kept; a longer stage text finds its stage; the same text goes before it; null keys meet nothing."""
+    form = "doc_id int, {} string, lot string, made string, amount string"
+    items = spark.createDataFrame([(1, "bulk", "L1", None, None), (1, "fill", "L1", "d", "5"), (1, "bulk process", "L2", "d", None), (2, "bulk", "L9", None, None), (1, None, "L3", None, "")], form.format("stage_key"))
+    body = spark.createDataFrame([(1, 1, "other", "L1", "d", None), (1, 2, "the fill step", "L2", None, None), (1, 3, "bulk process", "L1", None, None), (1, 4, None, "L7", "d", "5"), (1, 5, "", None, None, "5"), (2, 6, "bul", None, None, None)],
+                                 form.format("x").replace("x string", "row_id int, stage_key string"))
+    got = sorted(tuple(r) for r in M.stage_occurrences(items, body).collect())
+    assert got == [(1, 1, "bulk", 2), (1, 1, "fill", 2), (1, 2, "fill", 1), (1, 3, "bulk process", 1), (1, 4, "bulk process", 3), (1, 4, "fill", 3), (1, 5, "fill", 4), (2, 6, "bulk", 1)]
