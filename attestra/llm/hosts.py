@@ -17,7 +17,6 @@ from .common import stored
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)\shref\s*=\s*["']?((?:https?:)?//[^"'\s<>]+)"""
 DAMPING = 0.85
-MOST_STEPS = 20
 TOLERANCE = 1e-9
 DISTRUST_SHARE = 0.75
 
@@ -56,8 +55,12 @@ def host_edges(pages: DataFrame, url: str, html: str) -> DataFrame:
     return pairs.join(totals, "source").select("source", "target", (F.col("n") / F.col("all")).alias("share"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, steps: int = MOST_STEPS) -> DataFrame:
-    """Columns host, trust, distrust after the propagation; seeds are (host, trust, distrust) weights, each summing to one or zero."""
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, steps: int | None = None) -> DataFrame:
+    """Columns host, trust, distrust after the propagation; seeds are (host, trust, distrust) weights, each summing to one or zero.
+
+    Steps go on until no score changes by TOLERANCE or more and no further host is reached, so one at the end of a long
+    chain of links gets its scores too; `steps` ends them earlier.
+    """
     ahead = edges.select(F.lit(True).alias("good"), F.col("source").alias("host"), F.col("target").alias("to"), "share")
     against = edges.groupBy("target").agg(F.sum("share").alias("all")).join(edges, "target")
     back = against.select(F.lit(False).alias("good"), F.col("target").alias("host"), F.col("source").alias("to"), (F.col("share") / F.col("all")).alias("share"))
@@ -66,16 +69,17 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, step
              .unionByName(seeds.select("host", F.lit(False).alias("good"), F.col("distrust").alias("seed"))))
     start = stored(start.withColumn("score", F.col("seed")))
     scores = start
-    for _ in range(0 if ways.isEmpty() else steps):
+    step, reached, going = 0, 0, not ways.isEmpty()
+    while going and step != steps:
+        step += 1
         moved = (scores.where("score > 0").join(ways, ["host", "good"])
                  .groupBy(F.col("to").alias("host"), "good").agg(F.sum(F.col("score") * F.col("share")).alias("come")))
         before = scores.select("host", "good", "seed", F.col("score").alias("old"))
         both = before.join(moved, ["host", "good"], "full").fillna(0.0, ["seed", "old", "come"])
         scores = stored(both.select("host", "good", "seed", ((1 - damping) * F.col("seed") + damping * F.col("come")).alias("score"), "old"))
-        change = scores.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0]
+        change, now = scores.agg(F.max(F.abs(F.col("score") - F.col("old"))), F.count_if(F.col("score") > 0)).first()
         scores = scores.drop("old")
-        if change is None or change < TOLERANCE:
-            break
+        going, reached = change is not None and (change >= TOLERANCE or now > reached), now
     value = lambda good: F.max(F.when(F.col("good") == good, F.col("score"))).alias("trust" if good else "distrust")
     return scores.groupBy("host").agg(value(True), value(False)).fillna(0.0)
 

