@@ -149,11 +149,3 @@ def test_full_bitmap_changes_nothing(spark, monkeypatch):
     wanted = sorted(spans.remove_repeated(df).collect())
     monkeypatch.setattr(spans, "MARKS", 64)
     assert sorted(spans.remove_repeated(df).collect()) == wanted
-
-
-def test_common_runs_in_shares(spark, monkeypatch):
-    passage = prose(70, 6)
-    df = spark.createDataFrame([(k if k % 4 else None, (prose(k, 3) + "\n" if k % 3 else "") + passage + "\n" + passage) for k in range(40)], "doc_id long, text string")
-    rows = sorted(spans.remove_repeated(df).collect(), key=repr)
-    monkeypatch.setattr(spans, "COMMON", 5)
-    assert sorted(spans.remove_repeated(df).collect(), key=repr) == rows and sum(passage in r["text"] for r in rows) == 1
