@@ -6,11 +6,11 @@ import numpy as np
 import pandas as pd
 from helpers import empty_documents, odd_documents
 from test_packing import check
-from test_simhash import slow_components
+from test_simhash import slow_groups
 from test_spans import slow
 
 import corpus_pipeline
-from attestra.llm import quality, simhash
+from attestra.llm import quality
 from attestra.session import shared_folder
 
 
@@ -23,8 +23,7 @@ def test_stages(spark, small):
     rows = [r for r, keep in zip(rows, good) if keep]
     left = steps[0](spark, docs, small)
     assert left.columns == docs.columns and sorted((r.asDict() for r in left.collect()), key=lambda r: r["doc_id"]) == rows
-    wide = [sum(c << (64 * k) for k, c in enumerate(simhash.codes(r["text"], 5, 4))) for r in rows]
-    names = slow_components(wide, 52)
+    names = slow_groups([r["text"] for r in rows])
     rows = [r for k, r in enumerate(rows) if names[k] == k]
     left = steps[1](spark, left, small)
     assert left.columns == docs.columns and sorted((r.asDict() for r in left.collect()), key=lambda r: r["doc_id"]) == rows

@@ -116,6 +116,59 @@ def test_near_copies_leave_one_row(spark):
     assert {r["doc_id"] for r in kept} == wanted and len(kept) == 12
 
 
+def slow_groups(texts, least=0.8):
+    """Smallest position per component of the pairs whose overlap of shingle sets is at least `least`."""
+    label = list(range(len(texts)))
+    found = [re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) for t in texts]
+    sets = [{tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for w in found]
+    for a in range(len(sets)):
+        for b in range(a):
+            if label[a] != label[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least:
+                x, y = sorted((label[a], label[b]))
+                label = [x if v == y else v for v in label]
+    return label
+
+
+@pytest.mark.parametrize("block_bytes", [3000, 1 << 22])
+def test_exact_overlap_decides(spark, block_bytes):
+    """Pairs of overlap 0.6 to 0.95, chains of links, equal lines and a dense group, in one block of candidates and in many."""
+    random = np.random.default_rng(3)
+    texts = []
+    for k, part in enumerate(np.linspace(0.02, 0.3, 40)):
+        words = prose(2000 + k, 12).split()
+        other = prose(3000 + k, 12).split()
+        cut = int(len(words) * part)
+        texts += [" ".join(words), " ".join(words[:len(words) - cut] + other[:cut]), " ".join(words[cut:])]
+    chain = prose(5000, 40).split()
+    texts += [" ".join(chain[at:at + 150]) for at in range(0, 120, 12)]
+    texts += [f"{prose(6000 + k, 40)} " + "the very same line stands here over and over again\n" * 100 for k in range(4)]
+    base = prose(7000, 15).split()
+    for _ in range(60):
+        copy = list(base)
+        copy[random.integers(len(copy))] = f"changed{random.integers(1000)}"
+        texts.append(" ".join(copy))
+    texts += ["a b c d e f g h", "a b c d e f g h i", "a b c d e f g", "A B", "a b", "a b c", "", None, " \n"]
+    order = random.permutation(len(texts))
+    texts = [texts[k] for k in order]
+    label = slow_groups(texts)
+    got = simhash.representatives(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block_bytes=block_bytes)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(label))
+    assert len(set(label)) < len(texts) - 60
+
+
+def test_repeated_lines_join_nothing(spark):
+    line = "one line of ten words that stands here many times\n"
+    rows = [(k, prose(k, 40) + "\n" + line * 100) for k in (1, 2)]
+    assert {r["doc_id"] for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1, 2}
+
+
+def test_columns_of_any_name_keep_their_values(spark):
+    names = ["_key", "_row", "row", "s", "fp", "root", "codes", "of_key", "block"]
+    rows = [(k, prose(k // 2, 5), *range(10 * k, 10 * k + len(names))) for k in range(6)]
+    got = simhash.representatives(spark.createDataFrame(rows, ["doc_id", "text", *names])).collect()
+    assert sorted(map(tuple, got)) == rows[::2]
+
+
 def test_components(spark):
     line = [(k, k + 1) for k in range(300)]
     star = [(1000, 1001 + k) for k in range(200)]
