@@ -17,13 +17,20 @@ from attestra.session import shared_folder
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose score is below the threshold; the trees are fitted on labelled rows of docs."""
+    """Drops documents whose score is below the threshold; the trees are fitted on labelled rows of docs.
+
+    A null text scores as an empty one, repeated rows score alike and all stay or go; columns of any name keep their values.
+    """
     forest = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.scored(docs, forest, name="_score").where(F.col("_score") >= quality.THRESHOLD).drop("_score")
+    score = f"score-{uuid.uuid4().hex}"  # docs may have a column of any fixed name
+    return quality.scored(docs, forest, name=score).where(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of every near-duplicate component."""
+    """Keeps the document of the smallest doc_id of every component of texts whose five-word shingles overlap by 0.8 or more.
+
+    Null and empty texts are one component, null ids come last, and of rows equal in id and text one stays.
+    """
     return simhash.representatives(docs)
 
 
