@@ -150,6 +150,37 @@ def run_compare(t):
     return P.run_equality(base.where("doc_id % 89 <> 0"), changed, "doc_id")
 
 
+_PARTS_SQL = """SELECT doc_id, 'evaluations' AS part, CAST(f AS VARCHAR) AS name, status AS value FROM {run}
+  UNION ALL SELECT doc_id, 'tests', CAST(test AS VARCHAR), CAST(day AS VARCHAR) FROM {run}
+  UNION ALL SELECT doc_id, 'summary', status, CAST(COUNT(*) AS VARCHAR) FROM {run} GROUP BY doc_id, status"""
+
+
+@query("run_parts", "A10", f"""
+WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber AS f, {_STATUS_SQL} AS status, l_partkey AS test, CAST(l_shipdate AS DATE) AS day FROM lineitem),
+r AS (SELECT CASE WHEN doc_id % 89 = 0 THEN -doc_id ELSE doc_id END AS doc_id, f, CASE WHEN doc_id % 97 = 0 AND f = 1 THEN 'N/A' ELSE status END AS status,
+  CASE WHEN doc_id % 11 = 0 THEN test + f ELSE test END AS test, day FROM l),
+a AS (SELECT doc_id, part, name, value, COUNT(*) AS n FROM ({_PARTS_SQL.format(run="l")}) GROUP BY ALL), b AS (SELECT doc_id, part, name, value, COUNT(*) AS n FROM ({_PARTS_SQL.format(run="r")}) GROUP BY ALL),
+j AS (SELECT COALESCE(a.doc_id, b.doc_id) AS doc_id, COALESCE(a.part, b.part) AS part, a.n AS an, b.n AS bn
+  FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.part = b.part AND a.name = b.name AND a.value = b.value)
+SELECT doc_id, part, SUM(an) IS NOT NULL AND SUM(bn) IS NOT NULL AS complete, COUNT(*) FILTER (an IS DISTINCT FROM bn) = 0 AS equal,
+  COUNT(*) FILTER (an IS DISTINCT FROM bn) AS different FROM j GROUP BY doc_id, part""")
+def run_parts(t):
+    left = t.lineitem.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("f"), status().alias("status"), F.col("l_partkey").alias("test"),
+                             F.col("l_shipdate").cast("date").alias("day"))
+    k = F.col("doc_id")
+    right = left.select(F.when(k % 89 == 0, -k).otherwise(k).alias("doc_id"), "f", F.when((k % 97 == 0) & (F.col("f") == 1), "N/A").otherwise(F.col("status")).alias("status"),
+                        F.when(k % 11 == 0, F.col("test") + F.col("f")).otherwise(F.col("test")).alias("test"), "day")
+
+    def parts(run):
+        def rows(part, name, value):
+            return run.select("doc_id", F.lit(part).alias("part"), F.col(name).cast("string").alias("name"), F.col(value).cast("string").alias("value"))
+        summary = run.groupBy("doc_id", "status").agg(F.count(F.lit(1)).cast("string").alias("value"))
+        return (rows("evaluations", "f", "status").unionByName(rows("tests", "test", "day"))
+                .unionByName(summary.select("doc_id", F.lit("summary").alias("part"), F.col("status").alias("name"), "value")))
+
+    return P.part_equality(parts(left), parts(right), "doc_id", "part")
+
+
 @query("corpus_report", "A11", """
 SELECT o_orderkey AS doc_id, CASE o_orderkey % 7 WHEN 0 THEN 'not_run' WHEN 1 THEN 'stale' WHEN 2 THEN 'inconsistent_counts' WHEN 3 THEN 'hold_mismatch'
   WHEN 4 THEN 'expectation_missing' WHEN 5 THEN 'holds_open' ELSE 'complete' END AS state FROM orders""")
