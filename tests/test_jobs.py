@@ -17,6 +17,7 @@ from attestra.operators import manufacturing as M
 from attestra.operators import ordered as O
 from attestra.operators import outcome as Out
 from attestra.operators import permits as P
+from attestra.operators import reports as Rep
 from attestra.operators import retrieval as K
 from attestra.operators import rules as R
 from attestra.operators.rules import Rule
@@ -274,3 +275,14 @@ def test_all_stages_of_a_row(spark):
                                  form.format("x").replace("x string", "row_id int, stage_key string"))
     got = sorted(tuple(r) for r in M.stage_occurrences(items, body).collect())
     assert got == [(1, 1, "bulk", 2), (1, 1, "fill", 2), (1, 2, "fill", 1), (1, 3, "bulk process", 1), (1, 4, "bulk process", 3), (1, 4, "fill", 3), (1, 5, "fill", 4), (2, 6, "bulk", 1)]
+
+
+def test_parts_of_runs(spark):
+    """Order and null places count as the multiset says; repeats and missing parts differ."""
+    schema = "doc_id long, part string, name string, value string"
+    left = [(1, "tests", "a", None), (1, "tests", "b", "x"), (1, "summary", "n", "2"), (2, "tests", None, "a"), (3, "tests", "a", "x"), (3, "tests", "a", "x")]
+    right = [(1, "tests", "b", "x"), (1, "tests", "a", None), (2, "tests", "a", None), (3, "tests", "a", "x"), (4, "tests", "a", "x")]
+    got = Rep.part_equality(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), "doc_id", "part")
+    assert sorted(map(tuple, got.collect())) == [
+        (1, "summary", False, False, 1), (1, "tests", True, True, 0), (2, "tests", True, False, 2), (3, "tests", True, False, 1), (4, "tests", False, False, 1)]
+    assert Rep.part_equality(spark.createDataFrame([], schema), spark.createDataFrame([], schema), "doc_id", "part").collect() == []
