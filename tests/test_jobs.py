@@ -110,6 +110,40 @@ def test_containing_pairs_equal_all_pairs(spark):
     assert {(r["a"], r["b"]) for r in got.collect()} == {(a, b) for a in left for b in right if a in b or b in a}
 
 
+def test_containing_pairs_of_small_and_large_groups(spark):
+    rnd = random.Random(2)
+    word = lambda n: "".join(rnd.choices("abc", k=rnd.randint(1, n)))
+    left = [(g, word(9)) for g in (1, 2, 3) for _ in range(3 if g < 3 else 200)] + [(4, "ab"), (None, "a"), (1, "")]
+    right = [(g, word(9)) for g in (1, 2, 3) for _ in range(2 if g != 2 else 150)] + [(5, "ab"), (None, "a"), (1, "")]
+    got = P.containing_pairs(spark.createDataFrame(left, "g int, a string"), spark.createDataFrame(right, "g int, b string"), "g", "a", "b").collect()
+    want = {(g, a, b) for g, a in left for h, b in right if g is not None and g == h and a and b and (a in b or b in a)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def _broadcasts(df) -> bool:
+    return "BroadcastExchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fuzzy_stages_send_no_names_through_the_driver(spark):
+    # a small file of constant names is estimated far below its rows and pieces
+    labels, stages = spark.range(50).selectExpr("id as doc_id", "'원액 시험' as label"), spark.range(50).selectExpr("id as doc_id", "'원액' as stage", "0 as position")
+    pairs = P.containing_pairs(labels, stages, "doc_id", "label", "stage")
+    assert not _broadcasts(pairs) and pairs.count() == 50
+
+
+def test_stage_counts_send_no_names_through_the_driver(spark):
+    rows = spark.range(50).selectExpr("id as doc_id", "'원액 시험' as title", "'1.2' as section_number", "'원액' as context", "'PASS' as status")
+    counts = Rep.stage_counts(rows, spark.range(50).selectExpr("id as doc_id", "'원액' as stage", "'1' as number", "0 as position"))
+    assert not _broadcasts(counts) and counts.where("stage = '원액' and total = 1").count() == 50
+
+
+def test_diagram_consistency_sends_no_names_through_the_driver(spark):
+    nodes = spark.range(50).selectExpr("id as doc_id", "'n' as node_id", "'원액' as name", "map('제조량', '5 L') as fields")
+    body = spark.range(50).selectExpr("id as doc_id", "'2.1 원액 공정' as section_title", "'제조량 | 5 L' as content")
+    checks = R.diagram_consistency(nodes, body, Rule("A.7", "diagram_consistency", {}, {"field": "제조량"}))
+    assert not _broadcasts(checks) and checks.where("status = 'PASS'").count() == 50
+
+
 def test_fuzzy_stages_equal_brute_force(spark):
     labels = ["CHO 마스터 세포주 시험", "E.colli 제조용세포주", "Component B 원액", "최종원액", "나노피티클 원액", "무관한 것", "완제"]
     stages = ["CHO 마스터세포주", "E. coli 제조용 세포주", "컴포넌트 A 중간체 원액", "컴포넌트 B 중간체 원액", "최종 원액", "완제 의약품", "나노 파티클"]
