@@ -24,7 +24,8 @@ def overlaps(left: DataFrame, right: DataFrame, keys: list[str], ends: tuple[str
         first, last = _bins(F.col(low), F.col(high), size)
         sound = df.where(F.col(low).isNotNull() & (F.col(high) >= F.col(low)))
         return sound.withColumn(name, first).withColumn("_bin", F.explode(F.sequence(first, last)))
-    pairs = binned(left, *ends, "_first").join(binned(right, *other_ends, "_other"), [*keys, "_bin"])
+    # rows per bin are many times the files by which the optimizer would broadcast them
+    pairs = binned(left, *ends, "_first").hint("merge").join(binned(right, *other_ends, "_other"), [*keys, "_bin"])
     met = (F.col("_bin") == F.greatest("_first", "_other")) & (F.col(other_ends[0]) < F.col(ends[1])) & (F.col(other_ends[1]) > F.col(ends[0]))
     return pairs.where(met).drop("_bin", "_first", "_other")
 
@@ -39,7 +40,7 @@ def owning_spans(hits: DataFrame, spans: DataFrame, keys: list[str]) -> DataFram
     span = F.struct("span_start", "span_end", "span_id", "node_id")
     found = overlaps(hits.select(*place).distinct(), spans.select(*keys, "node_id", "span_id", "span_start", "span_end"), keys, ("char_start", "char_end"), ("span_start", "span_end"))
     lists = found.groupBy(*place).agg(F.array_sort(F.collect_list(span)).alias("_spans"))
-    joined = hits.join(lists, place, "left")
+    joined = hits.hint("merge").join(lists, place, "left")
     ids = lambda name, kind: F.coalesce(F.array_distinct(F.transform("_spans", lambda s: s[name])), F.array().cast(f"array<{kind}>"))
     kinds = {name: spans.schema[name].dataType.simpleString() for name in ("node_id", "span_id")}
     return joined.withColumns({"node_ids": ids("node_id", kinds["node_id"]), "span_ids": ids("span_id", kinds["span_id"]), "owned": F.col("_spans").isNotNull()}).drop("_spans")

@@ -44,6 +44,10 @@ _NOT_A_NAME = (r"^(?:시험|기준|결과|방법|비고|참고|정보|피크|하
                r"|^\d+(?:\.\d+)*\s*시험$|페이지|(?:바이알|상자|mL|ml|mg|kg|접종량)|[:：|]")
 
 
+# Pieces of a text whose offsets are summed together; even, since every other piece is a hit.
+CUE_PIECES = 64
+
+
 def explode_lines(pages: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """One row per line with its position inside the row's text and the block it falls into."""
     lines = pages.select(*keys, F.posexplode(F.split(F.translate(text, "\r", "\n"), "\n")).alias("line_no", "raw"))
@@ -194,13 +198,23 @@ def cue_hits(pages: DataFrame, keys: list[str], terms: list[str], text: str = "t
         pattern = r"\s*".join(re.escape(ch) for ch in term if not ch.isspace())
         return F.transform(F.split(sub(free_of_mark(F.col(text)), f"({pattern})", f"{MARK}$1{MARK}"), MARK), with_mark)
     each = F.array(*[F.struct(F.lit(term).alias("term"), pieces(term).alias("pieces")) for term in terms])
-    rows = pages.select(*keys, F.explode(each).alias("_hit")).select(*keys, "_hit.term", "_hit.pieces")
-    # odd pieces are the hits; the lengths of all earlier pieces give the offset
-    lengths = F.transform("pieces", lambda p: F.length(p))
-    ends = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.try_element_at(acc, F.lit(-1)) + n))
-    exploded = rows.where(F.size("pieces") > 1).select(*keys, "term", ends.alias("ends"), F.posexplode("pieces").alias("i", "quote"))
-    return exploded.where("i % 2 = 1").select(*keys, "term", F.get("ends", F.col("i")).alias("char_start"),
-                                              (F.get("ends", F.col("i")) + F.length("quote")).alias("char_end"), "quote")
+    rows = pages.select(*keys, F.explode(each).alias("_hit")).select(*keys, "_hit.term", "_hit.pieces").where(F.size("pieces") > 1)
+    # odd pieces are the hits; the lengths of all earlier pieces give the offset. Pieces are taken CUE_PIECES at a time, so that no
+    # sum runs over a whole text for each hit, and offsets are made before the rows: beside a generator they are made once per row
+    last = F.ceil(F.size("pieces") / CUE_PIECES).cast("int") - 1
+    cut = rows.select(*keys, "term", F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("pieces", i * CUE_PIECES + 1, F.lit(CUE_PIECES))).alias("_parts"))
+    sizes = F.transform("_parts", lambda part: F.aggregate(part, F.lit(0), lambda acc, p: acc + F.length(p)))
+    starts = cut.select(*keys, "term", "_parts", _sums(F.lit(0), sizes).alias("_starts"))
+    parts = starts.select(*keys, "term", F.explode(F.arrays_zip("_parts", "_starts")).alias("_p")).select(*keys, "term", "_p.*").where("_parts is not null")
+    places = _sums(F.col("_starts"), F.transform("_parts", lambda p: F.length(p)))
+    each_hit = F.zip_with("_parts", places, lambda p, at: F.struct(at.alias("char_start"), (at + F.length(p)).alias("char_end"), p.alias("quote")))
+    hits = F.filter(each_hit, lambda h, i: (i % 2 == 1) & h["quote"].isNotNull())
+    return parts.select(*keys, "term", hits.alias("_hits")).select(*keys, "term", F.inline("_hits"))
+
+
+def _sums(first: Column, sizes: Column) -> Column:
+    """Running sums of a short list of sizes, from `first` on."""
+    return F.aggregate(sizes, F.array(first), lambda acc, n: F.array_append(acc, F.try_element_at(acc, F.lit(-1)) + n))
 
 
 def page_label_audit(labels: DataFrame, doc: str = "doc_id") -> DataFrame:
