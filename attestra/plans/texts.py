@@ -246,7 +246,7 @@ SELECT doc_id, term, COUNT(*) AS hits, CAST(SUM(LENGTH(quote)) AS BIGINT) AS quo
 def cue_scan(t):
     docs = t.wide("documents", "doc_id", "text")
     hits = L.cue_hits(docs.select("doc_id", "text"), ["doc_id"], ["the on", "ention", "ai"])
-    joined = hits.join(docs.select("doc_id", "text"), "doc_id")
+    joined = hits.hint("merge").join(docs.select("doc_id", "text"), "doc_id")  # neither texts nor hits go through the driver
     exact = F.substr("text", F.col("char_start") + 1, F.length("quote")) == F.col("quote")
     return joined.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("hits"), F.sum(F.length("quote")).alias("quoted"), F.bool_and(exact).alias("exact"))
 
