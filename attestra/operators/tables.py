@@ -57,7 +57,9 @@ def pipe_rows(text: Column) -> Column:
 
 def table_cells(tables: DataFrame, keys: list[str], rows: str = "rows") -> DataFrame:
     """Long form of parsed tables: one row per body cell with its header."""
-    body = tables.select(*keys, F.get(rows, F.lit(0)).alias("header"), F.posexplode(rows).alias("row_no", "cells")).where("row_no > 0")
+    # the header is taken before the rows are made: taken beside them, every row would carry its whole table
+    headed = tables.select(*keys, rows, F.get(rows, F.lit(0)).alias("header"))
+    body = headed.select(*keys, "header", F.posexplode(rows).alias("row_no", "cells")).where("row_no > 0")
     cells = body.select(*keys, "row_no", "header", F.posexplode("cells").alias("col_no", "cell"))
     return cells.select(*keys, "row_no", "col_no", F.get("header", F.col("col_no")).alias("header"), "cell")
 
