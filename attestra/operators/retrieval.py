@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import find_all, sub
 from ..functions.text import key
-from ..session import cut_lineage
+from ..session import shared_folder
 from .permits import containing_pairs
 
 # Weights of the two parts of the fused score.
 WORD_WEIGHT, CHAR_WEIGHT = 0.65, 0.35
+# Text of one block of documents, questions that meet a block at once, and the columns of a dense piece of weights.
+BLOCK_BYTES, QUESTIONS, TILE = 2 << 20, 1024, 1024
 
 
 def word_terms(text: Column) -> Column:
@@ -23,77 +31,62 @@ def word_terms(text: Column) -> Column:
     return F.concat(words, pairs)
 
 
-def char_terms(word: Column) -> Column:
-    """Pieces of 2 to 5 letters inside one word padded with a blank on both sides; a short word counts once as a whole."""
-    padded = F.concat(F.lit(" "), word, F.lit(" "))
-    n = F.length(padded)
-
-    def pieces(size: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.substr(padded, i, F.lit(size)))
-    none = F.array().cast("array<string>")
-    parts = [pieces(2)]
-    # a size is used as long as the previous one was smaller than the word
-    for size in (3, 4, 5):
-        parts.append(F.when(n > size - 1, pieces(size)).otherwise(none))
-    return F.concat(*parts)
-
-
-def word_counts(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    return docs.select(doc, F.explode(word_terms(F.col(text))).alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def char_counts(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """Counts of word pieces; equal words of a document are cut once."""
-    words = F.filter(F.split(sub(F.col(text), r"\s+", " "), " "), lambda w: w != "")
-    distinct = docs.select(doc, F.explode(words).alias("word")).groupBy(doc, "word").agg(F.count(F.lit(1)).alias("times"))
-    return distinct.select(doc, "times", F.explode(char_terms(F.col("word"))).alias("term")).groupBy(doc, "term").agg(F.sum("times").alias("tf"))
-
+def pieces(word: str) -> list[str]:
+    """Pieces of 2 to 5 letters inside one word padded with a blank on both sides."""
+    padded = f" {word} "
+    return [padded[i:i + size] for size in (2, 3, 4, 5) for i in range(len(padded) - size + 1)]
 
-def weights(corpus: DataFrame, doc: str, documents: int) -> tuple[DataFrame, DataFrame]:
-    """(idf per term, unit-length weights per document): idf = ln((1+n)/(1+df)) + 1, cosine normalised."""
-    idf = corpus.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
-        "term", "df", (F.log((F.lit(1.0) + documents) / (F.col("df") + 1)) + 1).alias("idf"))
-    return idf, unit_length(corpus.join(idf, "term"), doc)
 
-
-def unit_length(counted: DataFrame, doc: str) -> DataFrame:
-    raw = counted.withColumn("w", F.col("tf") * F.col("idf"))
-    norms = raw.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, doc).select(doc, "term", (F.col("w") / F.col("norm")).alias("w"))
-
-
-def top_documents(queries: DataFrame, docs: DataFrame, k: int, common: DataFrame) -> DataFrame:
-    """Exact top k by dot product without forming the pairs that only common terms would produce.
-
-    Rare terms are joined first. A document seen only through common terms scores at most
-    sum(query weight x largest document weight) over them; when the k-th partial score of a query lies
-    above that bound, only documents whose partial score can still reach it are completed. Queries
-    where the bound is not reached are scored over all their terms.
-
-    queries: query, term, w; docs: doc, term, w; common: term (document frequency above a share).
-    """
-    hot_q = queries.join(common, "term", "left_semi")
-    rare_q = queries.join(common, "term", "left_anti")
-    wanted = cut_lineage(docs.join(queries.select("term").distinct(), "term", "left_semi"))
-    hot_d = wanted.join(common, "term", "left_semi")
-
-    def dot(q: DataFrame, d: DataFrame, name: str) -> DataFrame:
-        return q.withColumnRenamed("w", "qw").join(d, "term").groupBy("query", "doc").agg(F.sum(F.col("qw") * F.col("w")).alias(name))
-    partial = dot(rare_q, wanted, "partial")
-    peak = hot_d.groupBy("term").agg(F.max("w").alias("peak"))
-    bound = hot_q.join(peak, "term").groupBy("query").agg(F.sum(F.col("w") * F.col("peak")).alias("bound"))
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("partial")))
-    kth = partial.withColumn("n", place).where(F.col("n") <= k).groupBy("query").agg(F.min("partial").alias("kth"), F.count(F.lit(1)).alias("found"))
-    state = queries.select("query").distinct().join(bound, "query", "left").join(kth, "query", "left").select(
-        "query", F.coalesce("bound", F.lit(0.0)).alias("bound"), F.coalesce("kth", F.lit(0.0)).alias("kth"),
-        ((F.coalesce("found", F.lit(0)) == k) & (F.coalesce("kth", F.lit(0.0)) > F.coalesce("bound", F.lit(0.0)) + 1e-9)).alias("pruned"))
-    alive = partial.join(state.where("pruned"), "query").where(F.col("partial") + F.col("bound") + 1e-9 >= F.col("kth")).select("query", "doc", "partial")
-    rest = (alive.select("query", "doc").join(hot_d, "doc").join(hot_q.withColumnRenamed("w", "qw"), ["query", "term"])
-            .groupBy("query", "doc").agg(F.sum(F.col("qw") * F.col("w")).alias("rest")))
-    finished = alive.join(rest, ["query", "doc"], "left").select("query", "doc", (F.col("partial") + F.coalesce("rest", F.lit(0.0))).alias("score"))
-    full = dot(queries.join(state.where("not pruned"), "query", "left_semi"), wanted, "score")
-    return rank_scores(finished.unionByName(full), k)
+def _split(texts: DataFrame, keys: list[str], words: bool, chars: bool) -> DataFrame:
+    """Columns keys, w (words and pairs) and c (words between white space), an array each, empty if the part is not used."""
+    none = F.array().cast("array<string>")
+    cut = F.filter(F.split(sub(F.col("text"), r"\s+", " "), " "), lambda w: w != "")
+    return texts.where("text is not null").select(*keys, (word_terms(F.col("text")) if words else none).alias("w"), (cut if chars else none).alias("c"))
+
+
+def _counts(texts: pa.Table, key: str, column: str) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys ascending, distinct terms, and by key number and term number how often a term occurs."""
+    lists = texts[column].combine_chunks()
+    keys, number = np.unique(texts[key].to_numpy(), return_inverse=True)
+    row = number[pc.list_parent_indices(lists).to_numpy()]
+    encoded = pc.list_flatten(lists).dictionary_encode()
+    terms, item = encoded.dictionary.cast(pa.string()), encoded.indices.to_numpy().astype(np.int64)
+    pair, n = np.unique(row * len(terms) + item, return_counts=True)
+    row, item = np.divmod(pair, max(len(terms), 1))
+    if column == "c" and len(terms):  # equal words of a text are cut once
+        known: dict[str, int] = {}
+        cut = [[known.setdefault(x, len(known)) for x in pieces(word)] for word in terms.to_pylist()]
+        length = np.array([len(x) for x in cut])
+        flat, start = np.fromiter(chain.from_iterable(cut), np.int64), np.cumsum(length) - length
+        many = length[item]
+        inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        code, n = np.repeat(row, many) * len(known) + flat[np.repeat(start[item], many) + inside], np.repeat(n, many)
+        order = np.argsort(code, kind="stable")
+        code, n = code[order], n[order]
+        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        row, item = np.divmod(code[first], len(known))
+        n, terms = np.add.reduceat(n, first), pa.array(list(known), pa.string())
+    return keys, terms, row, item, n
+
+
+def _frequencies(key: tuple, texts: pa.Table) -> pa.Table:
+    """How many documents of a block have each of its terms."""
+    out = []
+    for part in ("w", "c"):
+        _, terms, _, item, _ = _counts(texts, "doc", part)
+        out.append(pa.table({"block": pa.array([key[0].as_py()] * len(terms), pa.int64()), "part": pa.array([part] * len(terms), pa.string()),
+                             "term": terms, "df": np.bincount(item, minlength=len(terms))}))
+    return pa.concat_tables(out)
+
+
+def _occurrences(key: tuple, texts: pa.Table) -> pa.Table:
+    """Terms of each question with their counts."""
+    out = []
+    for part in ("w", "c"):
+        keys, terms, row, item, n = _counts(texts, "query", part)
+        out.append(pa.table({"query": pa.array(keys[row], texts.schema.field("query").type), "part": pa.array([part] * len(row), pa.string()),
+                             "term": terms.take(pa.array(item)), "tf": n.astype(np.int64)}))
+    return pa.concat_tables(out)
 
 
 def rank_scores(scores: DataFrame, k: int) -> DataFrame:
@@ -102,27 +95,86 @@ def rank_scores(scores: DataFrame, k: int) -> DataFrame:
     return scores.where(F.col("score") > 0).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(corpus: DataFrame, questions: DataFrame, k: int, words: bool = True, chars: bool = True, common_share: float = 0.1) -> DataFrame:
-    """Top documents per question. corpus: doc, text; questions: query, text."""
-    documents = corpus.count()
-    q_parts, d_parts, common_parts = [], [], []
-    for use, name, counts, weight in ((words, "w", word_counts, WORD_WEIGHT if chars else 1.0), (chars, "c", char_counts, CHAR_WEIGHT if words else 1.0)):
-        if not use:
-            continue
-        # the postings are written once and read by every later step
-        idf, vectors = weights(cut_lineage(counts(corpus, "doc", "text")), "doc", documents)
-        asked = unit_length(counts(questions, "query", "text").join(idf, "term"), "query")
-        tag = F.concat(F.lit(name), "term").alias("term")
-        d_parts.append(vectors.select("doc", tag, "w"))
-        q_parts.append(asked.select("query", tag, (F.col("w") * weight).alias("w")))
-        common_parts.append(idf.where(F.col("df") > common_share * documents).select(tag))
-
-    def together(parts: list[DataFrame]) -> DataFrame:
-        out = parts[0]
-        for more in parts[1:]:
-            out = out.unionByName(more)
-        return out
-    return top_documents(together(q_parts), together(d_parts), k, together(common_parts))
+def _block_scores(k: int):
+    """Best documents of one block for the questions of one share: the cosine of weighted terms, summed over the parts."""
+    def score(texts: pa.Table, weights: pa.Table) -> pa.Table:
+        queries = np.unique(pc.list_flatten(weights["queries"].combine_chunks()).to_numpy())
+        docs = np.unique(texts["doc"].to_numpy())
+        scores = np.zeros((len(docs), len(queries)))
+        for part in ("w", "c"):
+            _, terms, row, item, n = _counts(texts, "doc", part)
+            if not len(terms):
+                continue
+            mine = weights.filter(pc.equal(weights["part"], part)).combine_chunks()
+            place = pc.index_in(terms, mine["term"].combine_chunks()).to_numpy()
+            weight = n * mine["idf"].to_numpy()[place[item]]
+            weight /= np.sqrt(np.bincount(row, weight * weight, len(docs)))[row]
+            # columns of the dense pieces: the asked terms of this block
+            lists = mine["queries"].combine_chunks()
+            asked = pc.fill_null(pc.list_value_length(lists), 0).to_numpy() > 0
+            column = np.where(asked, np.cumsum(asked) - 1, -1)
+            at, query = column[pc.list_parent_indices(lists).to_numpy()], np.searchsorted(queries, pc.list_flatten(lists).to_numpy())
+            value = pc.list_flatten(mine["weights"].combine_chunks()).to_numpy()
+            term = column[place[item]]
+            for start in range(0, int(asked.sum()), TILE):
+                here, there = (term >= start) & (term < start + TILE), (at >= start) & (at < start + TILE)
+                left, right = np.zeros((len(docs), TILE)), np.zeros((TILE, len(queries)))
+                left[row[here], term[here] - start] = weight[here]
+                right[at[there] - start, query[there]] = value[there]
+                scores += left @ right
+        # documents ascend, so a stable sort keeps their order among equal scores
+        best = np.argsort(-np.round(scores, 9), axis=0, kind="stable")[:k]
+        at = np.broadcast_to(np.arange(len(queries)), best.shape)
+        value = scores[best, at].ravel()
+        kept = value > 0
+        value_type = weights.schema.field("queries").type.value_type
+        return pa.table({"query": pa.array(queries[at.ravel()[kept]], value_type), "doc": pa.array(docs[best.ravel()[kept]], texts.schema.field("doc").type), "score": value[kept]})
+    return score
+
+
+def search(corpus: DataFrame, questions: DataFrame, k: int, words: bool = True, chars: bool = True, common_share: float = 0.1,
+           block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Top documents per question, exact, by the cosine of tf * idf with idf = ln((1+n)/(1+df)) + 1. corpus: doc, text; questions: query, text.
+
+    Documents are dealt to blocks of about `block_bytes` of text. Postings are never stored or shuffled: a block counts them twice from
+    its texts, first for the document frequencies, then for the weights. Only the distinct terms of blocks travel. Every block meets
+    every share of questions and leaves its best k of each. Texts of equal doc are one document, texts of equal query one question.
+    `common_share` has no effect: frequent terms are scored like all others.
+    """
+    spark = corpus.sparkSession
+    # a document counts for a little text at least, so that blocks of short texts stay small too
+    documents, size = corpus.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1024), F.lit(0))).first()
+    blocks = int(max(4 * spark.sparkContext.defaultParallelism, -(-size // block_bytes)))
+    shares = max(1, -(-questions.count() // QUESTIONS))
+    dealt = corpus.select(F.pmod(F.xxhash64("doc"), F.lit(blocks)).alias("block"), "doc", "text").repartition(blocks, "block")
+    texts = _split(dealt, ["block", "doc"], words, chars)
+    # sorted by term, the file is a small part of the postings
+    path = f"{shared_folder(spark)}/search-{uuid.uuid4().hex}"
+    seen = texts.groupBy("block").applyInArrow(_frequencies, "block long, part string, term string, df long")
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        # files tell the optimizer their size, so that few questions are broadcast and many are not
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+    idf = stored(seen.withColumn("df", F.sum("df").over(Window.partitionBy("part", "term"))), "df").select("block", "part", "term", (F.log((F.lit(1.0) + documents) / (F.col("df") + 1)) + 1).alias("idf"))
+
+    share = F.pmod(F.xxhash64("query"), F.lit(shares)).alias("share")
+    query = questions.schema["query"].dataType.simpleString()
+    tf = _split(questions.select(share, "query", "text"), ["share", "query"], words, chars).groupBy("share").applyInArrow(
+        _occurrences, f"query {query}, part string, term string, tf long")
+    tf = stored(tf, "questions")
+    known = tf.select("part", "term").distinct().join(idf, ["part", "term"]).groupBy("part", "term").agg(F.max("idf").alias("idf"))
+    raw = tf.join(known, ["part", "term"]).select("query", "part", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norms = raw.groupBy("query", "part").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    of_part = F.when(F.col("part") == "w", WORD_WEIGHT if chars else 1.0).otherwise(CHAR_WEIGHT if words else 1.0)
+    asked = stored(raw.join(norms, ["query", "part"]).groupBy("part", "term", share).agg(
+        F.collect_list("query").alias("queries"), F.collect_list(F.col("w") / F.col("norm") * of_part).alias("weights")), "asked")
+
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shares - 1).cast("bigint"))).alias("share")
+    weights = idf.select("*", every).join(asked, ["part", "term", "share"], "left")
+    pairs = texts.select("*", every).groupBy("block", "share").cogroup(weights.groupBy("block", "share")).applyInArrow(
+        _block_scores(k), f"query {query}, doc {corpus.schema['doc'].dataType.simpleString()}, score double")
+    return rank_scores(pairs, k)
 
 
 def diverse(ranked: DataFrame, k: int, heads: int = 4) -> DataFrame:

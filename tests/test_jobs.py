@@ -320,3 +320,14 @@ def test_parts_of_runs(spark):
     assert sorted(map(tuple, got.collect())) == [
         (1, "summary", False, False, 1), (1, "tests", True, True, 0), (2, "tests", True, False, 2), (3, "tests", True, False, 1), (4, "tests", False, False, 1)]
     assert Rep.part_equality(spark.createDataFrame([], schema), spark.createDataFrame([], schema), "doc_id", "part").collect() == []
+
+
+def test_search_deals_documents_to_blocks(spark):
+    """Small blocks give the same ranking as large ones, and what is written is no posting per document."""
+    rnd = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(40)]
+    corpus = [(i, None if i == 7 else " ".join(rnd.choices(vocabulary, k=rnd.randint(0, 40)))) for i in range(300)]
+    questions = [(i, " ".join(rnd.choices(vocabulary, k=6))) for i in range(5)]
+    docs, asked = spark.createDataFrame(corpus, "doc long, text string"), spark.createDataFrame(questions, "query long, text string")
+    few, many = (sorted((r["query"], r["rank"], r["doc"], round(r["score"], 9)) for r in K.search(docs, asked, k=4, block_bytes=size).collect()) for size in (1 << 30, 4096))
+    assert few == many and len(few) == 20
