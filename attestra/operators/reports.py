@@ -105,11 +105,11 @@ def corpus_assessment(findings: DataFrame, expected: DataFrame, clean_docs: Data
 def run_equality(left: DataFrame, right: DataFrame, case: str) -> DataFrame:
     """Multiset equality of two runs per case; a case that only one run has is not equal."""
     value = [c for c in left.columns if c != case]
-    counted = [d.groupBy(case, fingerprint(*[F.col(c) for c in value]).alias("id")).agg(F.count(F.lit(1)).alias(n)) for d, n in ((left, "a"), (right, "b"))]
-    joined = counted[0].join(counted[1], [case, "id"], "full_outer")
-    sizes = joined.groupBy(case).agg(
-        F.sum("a").alias("left_rows"), F.sum("b").alias("right_rows"), F.count_if(~F.equal_null("a", "b")).alias("different"))
-    complete = F.col("left_rows").isNotNull() & F.col("right_rows").isNotNull()
+    # both runs are counted in one aggregation, so that equal rows meet without a join
+    rows = [d.select(case, F.unhex(fingerprint(*[F.col(c) for c in value])).alias("id"), F.lit(n).alias("a"), F.lit(1 - n).alias("b")) for d, n in ((left, 1), (right, 0))]
+    counted = rows[0].unionByName(rows[1]).groupBy(case, "id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    sizes = counted.groupBy(case).agg(F.sum("a").alias("left_rows"), F.sum("b").alias("right_rows"), F.count_if(F.col("a") != F.col("b")).alias("different"))
+    complete = (F.col("left_rows") > 0) & (F.col("right_rows") > 0)
     return sizes.select(case, complete.alias("complete"), (complete & (F.col("different") == 0)).alias("equal"), "different")
 
 

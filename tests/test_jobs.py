@@ -331,3 +331,11 @@ def test_search_deals_documents_to_blocks(spark):
     docs, asked = spark.createDataFrame(corpus, "doc long, text string"), spark.createDataFrame(questions, "query long, text string")
     few, many = (sorted((r["query"], r["rank"], r["doc"], round(r["score"], 9)) for r in K.search(docs, asked, k=4, block_bytes=size).collect()) for size in (1 << 30, 4096))
     assert few == many and len(few) == 20
+
+
+def test_run_equality_counts_both_runs_without_a_join(spark):
+    left = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (2, "b"), (3, "c")], "k long, v string")
+    right = spark.createDataFrame([(1, "a"), (1, None), (1, None), (2, "b"), (4, "c")], "k long, v string")
+    got = Rep.run_equality(left, right, "k")
+    assert sorted(map(tuple, got.collect())) == [(1, True, False, 2), (2, True, True, 0), (3, False, False, 1), (4, False, False, 1)]
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
