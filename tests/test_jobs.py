@@ -323,7 +323,7 @@ def test_parts_of_runs(spark):
 
 
 def test_search_deals_documents_to_blocks(spark):
-    """Small blocks give the same ranking as large ones, and what is written is no posting per document."""
+    """Small blocks give the same ranking as large ones."""
     rnd = random.Random(8)
     vocabulary = [f"w{i}" for i in range(40)]
     corpus = [(i, None if i == 7 else " ".join(rnd.choices(vocabulary, k=rnd.randint(0, 40)))) for i in range(300)]
