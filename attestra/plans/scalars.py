@@ -11,6 +11,7 @@ from ..functions.criterion import criterion
 from ..functions.verdict import numeric_requirements
 from ..operators import manufacturing as M
 from ..operators import reports as P
+from ..operators.distinct import per_text
 from ..operators.rules import select
 from .records import KEYS
 from .registry import query
@@ -27,7 +28,8 @@ def date_parts(t):
     text = (F.when(f == 1, dotted(d)).when(f == 2, F.date_format(d, "yyyy년 M월 d일")).when(f == 3, F.concat(F.lit("시험일 "), F.date_format(d, "yyyy-M-d"), F.lit(" 시행")))
             .when(f == 4, F.date_format(d, "yyyy/MM")).when(f == 5, F.date_format(d, "yyyy년 MM월")).when(f == 6, F.date_format(d, "yyyy년")).otherwise("2024.13.45"))
     other = F.when(F.col("l_suppkey") % 2 == 0, d).otherwise(F.when(F.dayofmonth(d) > 1, F.date_sub(d, 1)).otherwise(F.date_add(d, 1)))
-    rows = lines(t).withColumns({"p": D.date_parts(text), "o": D.date_parts(F.date_format(other, "yyyy．M．d"))})
+    rows = per_text(lines(t).withColumn("text", text), ["text"], {"p": D.date_parts(F.col("text"))})
+    rows = per_text(rows.withColumn("other", F.date_format(other, "yyyy．M．d")), ["other"], {"o": D.date_parts(F.col("other"))})
     return rows.select(F.col("doc_id").alias("l_orderkey"), F.col("f").alias("l_linenumber"), "l_partkey", "l_suppkey", "p.y", "p.m", "p.d",
                        D.same_date(F.col("p"), F.col("o")).alias("same"))
 
@@ -140,4 +142,4 @@ def range_remarks(t):
     rows = t.wide("orders", "o_orderkey", "o_custkey").withColumn("criteria", criteria)
     flags = F.array_compact(F.array(F.when(criterion(F.col("criteria"))["kind"] == "range", F.lit("range")),
                                     F.when(F.size(numeric_requirements(F.col("criteria"))) > 1, F.lit("composite"))))
-    return rows.select("o_orderkey", F.array_join(flags, "; ").alias("remark"))
+    return per_text(rows, ["criteria"], {"remark": F.array_join(flags, "; ")}).select("o_orderkey", "remark")
