@@ -12,6 +12,7 @@ from ..functions import dates as D
 from ..functions.core import contains_any, let, sub
 from ..functions.fields import field_value
 from ..functions.text import key
+from .distinct import per_text
 from .judgement import severity, severity_name
 from .ordered import block_of, neighbour, running_last
 from .permits import containing_pairs
@@ -40,7 +41,8 @@ def normal_value(field: Column, value: Column) -> Column:
 
 def lot_agreement(occurrences: DataFrame) -> DataFrame:
     """Per document, folded lot and field: more than one distinct value fails; fewer than two values are no check."""
-    rows = occurrences.select("doc_id", C.lot_code(F.col("lot")).alias("lot"), "field", normal_value(F.col("field"), F.col("value")).alias("v")).where("v <> ''")
+    named = per_text(occurrences.select("doc_id", "lot", "field", "value"), ["lot"], {"code": C.lot_code(F.col("lot"))})
+    rows = per_text(named, ["field", "value"], {"v": normal_value(F.col("field"), F.col("value"))}).where("v <> ''").select("doc_id", F.col("code").alias("lot"), "field", "v")
     groups = rows.groupBy("doc_id", "lot", "field").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("n >= 2")
     return groups.select("doc_id", "lot", "field", "n", F.when(F.col("lo") == F.col("hi"), "PASS").otherwise("FAIL").alias("status"))
 
