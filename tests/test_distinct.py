@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from attestra.operators import distinct, judgement as J
-from attestra.operators.review import answers
+from attestra.operators.review import _shared, answers
+from attestra.operators.rules import Rule
 from attestra.session import widen
 
 
@@ -51,3 +52,13 @@ def test_stored_checks_are_columns_of_files(spark):
     checks = spark.range(10).select("id", F.lit(None).cast("string").alias("reason"), F.lit("PASS").alias("status"))
     rows, failed = answers({"A": checks}, checks.limit(0))
     assert failed == {} and rows[0].inputFiles() and sorted(map(tuple, rows[0].collect())) == [(i, None, "PASS") for i in range(10)]
+
+
+def test_a_table_of_many_rules_is_stored_and_a_faulty_one_is_left(spark):
+    rules = [Rule(f"S{i}", "signature") for i in range(3)] + [Rule("P", "process_order")]
+    records = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("서명: 홍길동").alias("content"))
+    tables = _shared({"records": records, "nodes": records}, rules)
+    assert tables["records"].inputFiles() and tables["nodes"] is records
+    assert sorted(r["doc_id"] for r in tables["records"].collect()) == [0, 1, 2]
+    faulty = records.withColumn("content", F.raise_error(F.lit("unreadable")).cast("string"))
+    assert _shared({"records": faulty}, rules)["records"] is faulty
