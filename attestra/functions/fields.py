@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,7 +29,9 @@ def field_values(text: Column, label: str) -> Column:
 
 def field_value(text: Column, label: str) -> Column:
     """The value of a label when it is written exactly once; ambiguity gives null."""
-    return let(field_values(text, label), lambda v: F.when(F.size(v) == 1, F.nullif(F.get(v, F.lit(0)), F.lit(""))))
+    value = let(field_values(text, label), lambda v: F.when(F.size(v) == 1, F.nullif(F.get(v, F.lit(0)), F.lit(""))))
+    # most texts lack a letter of the label and need no pattern
+    return F.when(reduce(lambda a, b: a & b, [text.contains(ch) for ch in dict.fromkeys(label) if not ch.isspace()], F.lit(True)), value)
 
 
 def key_value(line: Column, labels: list[str], protected: list[str] = ()) -> Column:
