@@ -94,7 +94,7 @@ def is_page_furniture(line: Column) -> Column:
 
 
 def is_leader(line: Column) -> Column:
-    return matches(line, r"^(?:[_\-.·\s]{3,}|(?:[_\-.·]{2,}\s*)+)$")
+    return matches(line, r"^(?:[_\-.·\s]{3,}|[_\-.·]{2})$")
 
 
 def is_reviewer_comment(line: Column) -> Column:
@@ -105,12 +105,14 @@ def is_reviewer_comment(line: Column) -> Column:
     hinted = F.lit(False)
     for hint in hints:
         hinted = hinted | line.contains(hint)
-    return matches(line, r"메모\s*포함\s*\[/최\d+(?:R\d+)?\]\s*:") | (~labelled & hinted)
+    return (line.contains("메모") & matches(line, r"메모\s*포함\s*\[/최\d+(?:R\d+)?\]\s*:")) | (hinted & ~labelled)
 
 
 def strip_leaders(line: Column) -> Column:
     trimmed = sub(line, r"^\s*(?:_{3,}|[-–—.·_]{5,})\s*(?=\S)", "")
-    return F.trim(sub(trimmed, r"(?<=\S)\s*(?:_{3,}|[-–—.·_]{5,})\s*$", ""))
+    # every text that ends with leaders ends with three of their characters
+    cut = lambda x: F.when(matches(x, r"[-–—.·_]{3}\s*$"), sub(x, r"(?<=\S)\s*(?:_{3,}|[-–—.·_]{5,})\s*$", "")).otherwise(x)
+    return F.trim(let(trimmed, cut))
 
 
 # fixed values: titles that look like headings but are values, units or requirement endings

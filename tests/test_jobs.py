@@ -339,3 +339,11 @@ def test_run_equality_counts_both_runs_without_a_join(spark):
     got = Rep.run_equality(left, right, "k")
     assert sorted(map(tuple, got.collect())) == [(1, True, False, 2), (2, True, True, 0), (3, False, False, 1), (4, False, False, 1)]
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_line_is_cleaned_once(spark):
+    """No condition on the cleaned line makes the clean-up anew, and odd line ends stay as they were."""
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(["  a  .....", "..", "-- ..", "....\u0085", "x _____ y _____", "메모 포함 [/최3R1] : x", None, "b --- "])], "line_no int, raw string")
+    kept = L.clean_lines(rows)
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+    assert {r["line_no"]: r["line"] for r in kept.collect()} == {0: "a", 4: "x _____ y", 7: "b ---"}
