@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
@@ -12,10 +12,12 @@ from ..functions import dates as D
 from ..functions.core import contains_any, let, sub
 from ..functions.fields import field_value
 from ..functions.text import key
+from ..session import cut_lineage
+from . import ordered
 from .distinct import per_text
 from .judgement import severity, severity_name
 from .ordered import block_of, neighbour, running_last
-from .permits import containing_pairs
+from .permits import MANY_NAMES, containing_pairs
 
 
 def lot_windows(lines: DataFrame, label: str, fields: list[str], reach: int = 8) -> DataFrame:
@@ -74,7 +76,40 @@ def stage_occurrences(items: DataFrame, body: DataFrame) -> DataFrame:
     The same text goes before a text that contains the other one. Of the stages of a row all of its best reason are kept, so two
     stages of one lot are two rows and nothing decides between them in silence.
     items: doc_id, stage_key, lot, made, amount; body: doc_id, row_id, stage_key, lot, made, amount (normal forms).
+
+    In a document of few items and rows that one task may hold every row meets every item, in one join; the others are joined
+    by each reason.
     """
+    counts = [df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("doc_id") for df, most in ((items, MANY_NAMES), (body, ordered.WHOLE_ROWS))]
+    crowded = cut_lineage(counts[0].unionByName(counts[1]).distinct())
+    if crowded.isEmpty():
+        return _best_stages(_met_stages(items, body))
+    few, many = ([df.join(crowded, "doc_id", kind) for df in (items, body)] for kind in ("left_anti", "left_semi"))
+    return _best_stages(_met_stages(*few)).unionByName(_best_stages(_joined_stages(*many)))
+
+
+def _best_stages(found: DataFrame) -> DataFrame:
+    """Of the stages of a row those of its best reason."""
+    place = F.rank().over(Window.partitionBy("doc_id", "row_id").orderBy("rank", "loose"))
+    return found.withColumn("_place", place).where("_place = 1").select("doc_id", "row_id", "stage", "rank").distinct()
+
+
+def _met_stages(items: DataFrame, body: DataFrame) -> DataFrame:
+    """Rows (doc_id, row_id, stage, rank, loose): each pair of an item and a row of its document by the best of its reasons."""
+    reasons = ("lot", "made", "amount")
+    known = items.select("doc_id", F.col("stage_key").alias("stage"), *[F.col(c).alias(f"_{c}") for c in reasons])
+    rows = body.select("doc_id", "row_id", F.col("stage_key").alias("written"), *reasons)
+    stage, written = F.col("stage"), F.col("written")
+    rank = F.when((stage != "") & (written != "") & (stage.contains(written) | written.contains(stage)), 1)
+    for k, c in enumerate(reasons, 2):
+        rank = rank.when((F.col(c) != "") & (F.col(c) == F.col(f"_{c}")), k)
+    # estimated by compressed files, the items would seem small enough to be sent
+    met = rows.hint("merge").join(known, "doc_id").withColumn("rank", rank).where("rank is not null")
+    return met.select("doc_id", "row_id", "stage", "rank", ((F.col("rank") == 1) & (stage != written)).alias("loose"))
+
+
+def _joined_stages(items: DataFrame, body: DataFrame) -> DataFrame:
+    """The same pairs in documents of any size, and each also by its other reasons."""
     texts = containing_pairs(items.select("doc_id", F.col("stage_key").alias("stage")), body.select("doc_id", F.col("stage_key").alias("written")), "doc_id", "stage", "written")
     found = texts.join(body.select("doc_id", "row_id", F.col("stage_key").alias("written")), ["doc_id", "written"]).select(
         "doc_id", "row_id", "stage", F.lit(1).alias("rank"), (F.col("stage") != F.col("written")).alias("loose"))
@@ -82,8 +117,7 @@ def stage_occurrences(items: DataFrame, body: DataFrame) -> DataFrame:
         known = items.select("doc_id", F.col("stage_key").alias("stage"), F.col(column).alias("k")).where("k is not null and k <> ''").distinct()
         rows = body.select("doc_id", "row_id", F.col(column).alias("k")).where("k is not null and k <> ''")
         found = found.unionByName(known.join(rows, ["doc_id", "k"]).select("doc_id", "row_id", "stage", F.lit(rank).alias("rank"), F.lit(False).alias("loose")))
-    best = found.groupBy("doc_id", "row_id").agg(F.min(F.struct("rank", "loose")).alias("best"))
-    return found.join(best, ["doc_id", "row_id"]).where("rank = best.rank and loose = best.loose").select("doc_id", "row_id", "stage", "rank").distinct()
+    return found
 
 
 def next_stage_dates(items: DataFrame, edges: DataFrame) -> DataFrame:

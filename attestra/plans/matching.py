@@ -303,7 +303,7 @@ m AS (SELECT DISTINCT b.doc_id, row_id, stage, 1 AS rank FROM b JOIN i ON i.doc_
   UNION ALL SELECT b.doc_id, row_id, stage, 2 FROM b JOIN i ON i.doc_id = b.doc_id AND i.lot = b.lot)
 SELECT DISTINCT doc_id, row_id, stage, rank FROM (SELECT *, MIN(rank) OVER (PARTITION BY doc_id, row_id) AS best FROM m) WHERE rank = best""")
 def stage_occurrences(t):
-    base = t.wide("lineitem", F.col("l_orderkey").alias("doc_id"), "l_linenumber", "l_suppkey", "l_partkey")
+    base = t.lineitem.select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", "l_suppkey", "l_partkey")
     none = F.lit(None).cast("string")
     items = base.select("doc_id", F.concat(F.lit("s"), F.col("l_suppkey") % 5).alias("stage_key"), F.concat(F.lit("L"), F.col("l_partkey") % 7).alias("lot"), none.alias("made"), none.alias("amount"))
     body = base.select("doc_id", F.col("l_linenumber").alias("row_id"), F.concat(F.lit("s"), F.col("l_linenumber") + 2, F.when(F.col("l_linenumber") % 2 == 0, " process").otherwise("")).alias("stage_key"), F.concat(F.lit("L"), "l_linenumber").alias("lot"), none.alias("made"), none.alias("amount")).distinct()

@@ -347,3 +347,34 @@ def test_a_line_is_cleaned_once(spark):
     kept = L.clean_lines(rows)
     assert kept._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
     assert {r["line_no"]: r["line"] for r in kept.collect()} == {0: "a", 4: "x _____ y", 7: "b ---"}
+
+
+@pytest.mark.parametrize("items_most, rows_most", [(64, 1 << 16), (2, 1 << 16), (64, 2), (0, 0)])
+def test_stages_of_large_and_small_documents_agree(spark, monkeypatch, items_most, rows_most):
+    """Documents whose rows meet all items and documents joined by each reason give the stages of a plain loop."""
+    monkeypatch.setattr(M, "MANY_NAMES", items_most)
+    monkeypatch.setattr(O, "WHOLE_ROWS", rows_most)
+    rnd = random.Random(5)
+    pick = lambda *values: rnd.choice([None, "", *values])
+    items = [(rnd.choice([1, 2, 3, None]), pick("fill", "bulk", "bulk process"), pick("L1", "L2"), pick("d"), pick("q")) for _ in range(14)]
+    body = [(rnd.choice([1, 2, 3, None]), k, pick("fill", "bulk", "process", "x"), pick("L1", "L2"), pick("d", "e"), pick("q")) for k in range(30)]
+    want = set()
+    for d, k, written, *values in body:
+        found = set()
+        for e, stage, *known in items:
+            if d is None or d != e:
+                continue
+            if stage and written and (stage in written or written in stage):
+                found.add((1, stage != written, stage))
+            found |= {(r, False, stage) for r, (v, w) in enumerate(zip(values, known), 2) if v and v == w}
+        best = min((f[:2] for f in found), default=None)
+        want |= {(d, k, stage, rank) for rank, loose, stage in found if (rank, loose) == best}
+    columns = "stage_key string, lot string, made string, amount string"
+    got = M.stage_occurrences(spark.createDataFrame(items, "doc_id int, " + columns), spark.createDataFrame(body, "doc_id int, row_id int, " + columns)).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 10
+
+
+def test_rows_of_small_documents_meet_their_items_in_one_join(spark):
+    rows = spark.range(100).selectExpr("id % 40 as doc_id", "id as row_id", "'s' as stage_key", "concat('L', id % 3) as lot", "string(null) as made", "string(null) as amount")
+    plan = M.stage_occurrences(rows.drop("row_id"), rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Exchange") == 2 and "Broadcast" not in plan
