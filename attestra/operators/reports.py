@@ -116,25 +116,14 @@ def run_equality(left: DataFrame, right: DataFrame, case: str) -> DataFrame:
 def part_equality(left: DataFrame, right: DataFrame, case: str, part: str) -> DataFrame:
     """Multiset equality of two runs per case and part, with the number of distinct rows that differ.
 
-    Every case and part is first summed up to its row count and two sums of independent hashes, which no order changes;
-    rows meet only where these differ. A part that only one run has is incomplete and not equal.
+    Rows of both runs are counted by their fingerprint in one aggregation, and rows of unlike counts then per case and part; no rows
+    are joined or read again. A part that only one run has is incomplete and not equal. A null case or part is one like any other.
     """
     value = [c for c in left.columns if c not in (case, part)]
-    rows = [d.select(case, part, fingerprint(*[F.col(c) for c in value]).alias("id")) for d in (left, right)]
-
-    def digests(run: DataFrame, name: str) -> DataFrame:
-        sums = [F.sum(F.xxhash64("id", F.lit(salt)).cast("decimal(20,0)")).alias(salt) for salt in ("first", "second")]
-        summed = run.groupBy(case, part).agg(F.count(F.lit(1)).alias("n"), *sums)
-        return summed.select(case, part, F.struct("n", "first", "second").alias(name))
-
-    sides = digests(rows[0], "l").join(digests(rows[1], "r"), [case, part], "full_outer")
-    apart = sides.where(~F.equal_null("l", "r")).select(case, part)
-    counted = [d.join(apart, [case, part], "left_semi").groupBy(case, part, "id").agg(F.count(F.lit(1)).alias(n)) for d, n in zip(rows, "ab")]
-    changed = (counted[0].join(counted[1], [case, part, "id"], "full_outer").where(~F.equal_null("a", "b"))
-               .groupBy(case, part).agg(F.count(F.lit(1)).alias("different")))
-    complete = F.col("l").isNotNull() & F.col("r").isNotNull()
-    return sides.join(changed, [case, part], "left").select(
-        case, part, complete.alias("complete"), F.equal_null("l", "r").alias("equal"), F.coalesce("different", F.lit(0)).cast("bigint").alias("different"))
+    rows = [d.select(case, part, fingerprint(*[F.col(c) for c in value]).alias("id"), F.lit(first).alias("first")) for d, first in ((left, True), (right, False))]
+    counted = rows[0].unionByName(rows[1]).groupBy(case, part, "id").agg(F.count_if("first").alias("a"), F.count_if(~F.col("first")).alias("b"))
+    out = counted.groupBy(case, part).agg(F.max("a").alias("a"), F.max("b").alias("b"), F.count_if(F.col("a") != F.col("b")).alias("different"))
+    return out.select(case, part, ((F.col("a") > 0) & (F.col("b") > 0)).alias("complete"), (F.col("different") == 0).alias("equal"), "different")
 
 
 def corpus_report(docs: DataFrame, audits: DataFrame, engine: str) -> DataFrame:

@@ -378,3 +378,8 @@ def test_rows_of_small_documents_meet_their_items_in_one_join(spark):
     rows = spark.range(100).selectExpr("id % 40 as doc_id", "id as row_id", "'s' as stage_key", "concat('L', id % 3) as lot", "string(null) as made", "string(null) as amount")
     plan = M.stage_occurrences(rows.drop("row_id"), rows)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Join") == 1 and plan.count("Exchange") == 2 and "Broadcast" not in plan
+
+
+def test_parts_of_runs_are_counted_without_a_join(spark):
+    run = spark.range(20).selectExpr("id % 5 as doc_id", "'tests' as part", "string(id) as name", "string(id) as value")
+    assert "Join" not in Rep.part_equality(run, run, "doc_id", "part")._jdf.queryExecution().optimizedPlan().toString()
