@@ -236,15 +236,18 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
     def cut(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_without(t, p) for t, p in zip(texts, places)], columns=["text", "spans"])
 
+    # a text travels once, inside its row
+    own = F.col("row").getField(text)
+
     def back(df: DataFrame, new: Column, spans: Column) -> DataFrame:
         return df.select(*[(new if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns], spans.alias("removed_spans"))
 
     none = F.array().cast(ranges)
     # rows that surely lose nothing meet no exchange
-    same = back(rows.where(~may("rid")), F.col("text"), none)
-    met = rows.where(may("rid")).alias("d").join(covered.alias("c"), F.expr("d.rid = c.rid and d.key <=> c.key"), "left").select("row", "text", "places")
-    losing = met.where("places is not null").withColumn("cut", cut("text", "places"))
-    kept = back(met.where("places is null"), F.col("text"), none)
+    same = back(rows.where(~may("rid")), own, none)
+    met = rows.where(may("rid")).alias("d").join(covered.alias("c"), F.expr("d.rid = c.rid and d.key <=> c.key"), "left").select("row", "places")
+    losing = met.where("places is not null").withColumn("cut", cut(own, "places"))
+    kept = back(met.where("places is null"), own, none)
     return back(losing, F.col("cut.text"), F.col("cut.spans")).unionByName(kept).unionByName(same)
 
 

@@ -149,3 +149,11 @@ def test_full_bitmap_changes_nothing(spark, monkeypatch):
     wanted = sorted(spans.remove_repeated(df).collect())
     monkeypatch.setattr(spans, "MARKS", 64)
     assert sorted(spans.remove_repeated(df).collect()) == wanted
+
+
+def test_a_text_travels_once(spark):
+    """Rows that meet their covered ranges carry the text inside the row alone, not beside it once more."""
+    import re
+    docs = spark.createDataFrame([(k, "one two three. four five six. " * 6) for k in range(4)], "doc_id long, text string")
+    plan = spans.remove_repeated(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row#" in plan and not re.search(r"\brow#\d+, (key#\d+L?, )?text#", plan)
