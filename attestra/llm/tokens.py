@@ -53,6 +53,24 @@ RUNS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[!-&(-/:-@\
 PLAIN = re.compile(f"(?:{RUNS.pattern})+")
 
 
+def runs_of(word: str) -> list[str] | None:
+    """The runs of a word in small letters; none if it holds anything else."""
+    if word.isascii() and word.isalpha():
+        return [word.lower()]
+    return RUNS.findall(word.lower()) if PLAIN.fullmatch(word) and "<|" not in word else None
+
+
+def run_tokenizer(path: str):
+    """The tokenizer of a file for runs parted by single spaces: they are normal already and one piece each, so nothing searches for these."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_padding()
+    tokenizer.no_truncation()
+    tokenizer.normalizer = normalizers.Sequence([])
+    tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return tokenizer
+
+
 class WordEncoder:
     """Encodes texts like a tokenizer file that drops white space: the ids of a text are those of its words in turn.
 
@@ -63,6 +81,7 @@ class WordEncoder:
 
     def __init__(self, path: str) -> None:
         self.tokenizer = load_tokenizer(path)
+        self.pieces = run_tokenizer(path)
         self.known: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(True)
@@ -70,22 +89,23 @@ class WordEncoder:
         self.closes[[k for piece, k in vocabulary.items() if piece.endswith("</w>")]] = True
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if PLAIN.fullmatch(w) and "<|" not in w]
-        cut = [RUNS.findall(w.lower()) for w in plain]
+        cut = list(map(runs_of, words))
+        rest = [w for w, runs in zip(words, cut) if runs is None]
+        if rest:
+            words, cut = [w for w, runs in zip(words, cut) if runs is not None], [runs for runs in cut if runs is not None]
         if len(self.runs) > KNOWN_WORDS:
             self.runs.clear()
         new = list({r for runs in cut for r in runs if r not in self.runs})
         for at in range(0, len(new), 4000):
             part = new[at:at + 4000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.pieces.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.closes[ids])
             if len(ends) != len(part):
                 raise ValueError("the vocabulary does not mark the ends of runs")
             bounds = [0, *(4 * (ends + 1)).tolist()]
             raw = ids.tobytes()
             self.runs.update((r, raw[a:b]) for r, a, b in zip(part, bounds, bounds[1:]))
-        self.known.update((w, self.runs[runs[0]] if len(runs) == 1 else b"".join(map(self.runs.__getitem__, runs))) for w, runs in zip(plain, cut))
-        rest = [w for w in words if w not in self.known]
+        self.known.update((w, self.runs[runs[0]] if len(runs) == 1 else b"".join(map(self.runs.__getitem__, runs))) for w, runs in zip(words, cut))
         self.known.update(zip(rest, encode_words(self.tokenizer, rest)))
 
     def encode(self, texts: list[str]) -> list[bytes]:

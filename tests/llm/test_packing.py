@@ -105,3 +105,14 @@ def test_many_short_texts_leave_little_padding(spark, text):
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     padding, sequences = check(pack_documents(df, vocabulary(WORD_TOKENIZER)).collect(), rows)
     assert padding < 2048 and sequences > 1
+
+
+def test_runs_without_search_have_the_ids_of_the_file():
+    """Runs of letters and marks go past the normaliser and the pattern of the file and have the ids that these give."""
+    import public_tokenizers
+    from attestra.llm.tokens import load_tokenizer, run_tokenizer, runs_of
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words = ["Hello", "CHÈQUE!!", "(straße)", "ÑÿÀ", "a_b{c}~", "###", "x"]
+    runs = [r for w in words for r in runs_of(w)]
+    assert run_tokenizer(path).encode(" ".join(runs)).ids == load_tokenizer(path).encode(" ".join(words), add_special_tokens=False).ids
+    assert [runs_of(w) for w in ("don't", "a1", "<|endoftext|>", "µ", "Ÿ", "a\u0301", "")] == [None] * 7
