@@ -3,22 +3,27 @@
 Fingerprints are grouped into tiles of equal population counts of their four 16-bit words. Two fingerprints that
 differ in at most r bits have counts whose absolute differences sum to at most r, so tile pairs beyond that are
 skipped without losing a link; the others are compared whole with numpy exclusive-or and bit counts. Where a link
-stands for an overlap of shingles, the pairs found are candidates, and exact overlaps decide.
+stands for an overlap of shingles, only fingerprints of texts that have one of their smallest shingle hashes in common
+are compared, which no such overlap is without; the pairs found are candidates, and exact overlaps decide.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, stored, tabled, text_of
 from .components import components
+from .spans import bitmap, marked
 
 WORD_BITS = 16
 WORDS = 64 // WORD_BITS
@@ -28,6 +33,8 @@ MATRIX_CELLS = 1 << 20
 # Shingle hashes of a block of candidates that are compared exactly, and what a row counts beside its hashes.
 BLOCK_BYTES = 4 << 20
 ROW_BYTES = 1024
+# Fingerprints of one shingle hash that are compared pair by pair, many hashes at once; more are compared as a tile.
+FEW_ROWS = 64
 
 
 def _mixed(hashes: np.ndarray, turn: int) -> np.ndarray:
@@ -78,16 +85,25 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = 3, parts: int
     return docs.withColumn("codes", of(text_of(text))).withColumn("fp", named).drop(text)
 
 
-def _sketches(words: int, parts: int):
-    """A column function from a text to (codes, fp, n): bits over its distinct shingles, a hash of their set and their number."""
+def _leading(hashes: np.ndarray, least: float) -> np.ndarray:
+    """The smallest of the ascending hashes of a set, so many that every set that overlaps with it by `least` or more has one of them among its own.
 
-    @F.pandas_udf("codes array<long>, fp long, n long")
+    Such a set holds at least `least` of the hashes, so the smallest common one has no more hashes before it than the others are.
+    """
+    return hashes[:len(hashes) - math.ceil(least * len(hashes) * (1 - 1e-12)) + 1]
+
+
+def _sketches(words: int, parts: int, least: float):
+    """A column function from a text to (codes, fp, n, leading): bits over its distinct shingles, a hash of their set, their number and its leading hashes."""
+
+    @F.pandas_udf("codes array<long>, fp long, n long, leading array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         sets = [np.unique(_shingles(t, words)) for t in texts]
         return pd.DataFrame({
             "codes": [np.array(_bits(s, parts), dtype=np.uint64).view(np.int64) for s in sets],
             "fp": np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], dtype=np.uint64).view(np.int64),
-            "n": np.array([len(s) for s in sets], dtype=np.int64)})
+            "n": np.array([len(s) for s in sets], dtype=np.int64),
+            "leading": [_leading(s, least).view(np.int64) for s in sets]})
 
     return of
 
@@ -187,17 +203,82 @@ def links(distinct: DataFrame, radius: int = 3, tile_rows: int = TILE_ROWS, part
              .where("l_sig <> sig or l_tile <= tile")
              .select("l", "r", F.expr("l_sig = sig and l_tile = tile").alias("same")))
 
-    def table(fps: np.ndarray) -> np.ndarray:
-        return np.asarray(fps, dtype=np.int64).view(np.uint64).reshape(-1, 1 + parts)
+    return pairs.mapInPandas(_compared(radius, parts), "a long, b long")
+
+
+def _table(fps: np.ndarray, parts: int) -> np.ndarray:
+    """A row per fingerprint: its name and its words."""
+    return np.asarray(fps, dtype=np.int64).view(np.uint64).reshape(-1, 1 + parts)
+
+
+def _edges(found: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    a = np.concatenate([f[0] for f in found] or [np.zeros(0, np.uint64)]).view(np.int64)
+    b = np.concatenate([f[1] for f in found] or [np.zeros(0, np.uint64)]).view(np.int64)
+    return pd.DataFrame({"a": a, "b": b})
+
+
+def _compared(radius: int, parts: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Edges of tile pairs: columns l, r and whether they are the same tile."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [_joined(table(l), table(r), radius, same) for l, r, same in zip(batch["l"], batch["r"], batch["same"])]
-            a = np.concatenate([f[0] for f in found] or [np.zeros(0, np.uint64)]).view(np.int64)
-            b = np.concatenate([f[1] for f in found] or [np.zeros(0, np.uint64)]).view(np.int64)
-            yield pd.DataFrame({"a": a, "b": b})
+            yield _edges([_joined(_table(l, parts), _table(r, parts), radius, same) for l, r, same in zip(batch["l"], batch["r"], batch["same"])])
+
+    return compare
+
+
+def _within(tiles: list[np.ndarray], radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Edges within each of many tiles; small ones are compared together, pair by pair."""
+    small = [t for t in tiles if len(t) <= FEW_ROWS]
+    found = [_joined(t, t, radius, True) for t in tiles if len(t) > FEW_ROWS]
+    if small:
+        rows, sizes = np.concatenate(small), np.array([len(t) for t in small])
+        end = np.repeat(np.cumsum(sizes), sizes)
+        later = end - np.arange(len(rows)) - 1
+        i = np.repeat(np.arange(len(rows)), later)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
+        near = np.bitwise_count(rows[i, 1:] ^ rows[j, 1:]).sum(axis=1, dtype=np.int64) <= radius
+        pair = np.unique(np.sort(np.stack([rows[i[near], 0], rows[j[near], 0]], axis=1), axis=1), axis=0)
+        found.append((pair[:, 0], pair[:, 1]))
+    return found
+
+
+def shared_links(distinct: DataFrame, radius: int, least: float, tile_rows: int = TILE_ROWS, parts: int = 1) -> DataFrame:
+    """Edges (a, b) within the radius whose components hold every pair within it whose sets overlap by `least` or more.
+
+    Columns of the input: fp, codes, n and leading. Only fingerprints that have a leading hash in common are compared. A hash of
+    more than `tile_rows` of them is compared in tiles of like set sizes, since sizes of such an overlap are within `least`, too.
+    """
+    small_batches(distinct.sparkSession)
+    often = tabled(distinct.select(F.explode("leading").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+    repeats = bitmap(often, "h")
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("leading")
+            h, row = pc.list_flatten(lists), pc.list_parent_indices(lists)
+            keep = pa.array(np.flatnonzero(marked(repeats, h.to_numpy(zero_copy_only=False))))
+            row = row.take(keep)
+            yield pa.RecordBatch.from_arrays([h.take(keep), *[batch.column(c).take(row) for c in ("fp", "n", "codes")]], ["h", "fp", "n", "codes"])
+
+    met = distinct.select("fp", "n", "codes", "leading").mapInArrow(emit, "h long, fp long, n long, codes array<long>")
+    crowded = F.broadcast(often.where(F.col("rows") > tile_rows).select("h"))
+    rows = F.flatten(F.collect_list(F.concat(F.array("fp"), "codes")))
+    few = met.join(crowded, "h", "left_anti").groupBy("h").agg(rows.alias("fps"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("fps")
+
+    def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield _edges(_within([_table(fps, parts) for fps in batch["fps"]], radius))
 
-    return pairs.mapInPandas(compare, "a long, b long")
+    like = F.floor(F.log("n") / (math.log(1 / least) * (1 + 1e-9)))
+    many = met.join(crowded, "h").withColumn("size", like)
+    counts = many.groupBy("h", "size").agg(F.ceil(F.count(F.lit(1)) / tile_rows).alias("tiles"))
+    tiles = tabled(many.join(counts, ["h", "size"]).groupBy("h", "size", F.pmod(F.xxhash64("fp"), "tiles").alias("tile")).agg(rows.alias("l")))
+    right = tiles.withColumnsRenamed({"tile": "r_tile", "l": "r"})
+    left = tiles.select("h", "tile", "l", F.col("size").alias("l_size"), F.explode(F.array("size", F.col("size") + 1)).alias("size"))
+    pairs = (left.join(right, ["h", "size"]).where("l_size <> size or tile <= r_tile")
+             .select("l", "r", F.expr("l_size = size and tile = r_tile").alias("same")))
+    return few.mapInPandas(within, "a long, b long").unionByName(pairs.mapInPandas(_compared(radius, parts), "a long, b long"))
 
 
 def _overlapping(left: list, right: list | None, radius: int, least: float) -> list[tuple[int, int]]:
@@ -287,10 +368,10 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     """
     small_batches(docs.sparkSession)
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("_key"), F.xxhash64(text_of(text)).alias("_row"))
-    rows = keyed.select("_key", "_row", _sketches(words, parts)(text_of(f"row.{text}")).alias("s")).select("_key", "_row", "s.*")
-    distinct = stored(rows.groupBy("fp").agg(F.min("codes").alias("codes"), F.min("n").alias("n"),
+    rows = keyed.select("_key", "_row", _sketches(words, parts, least)(text_of(f"row.{text}")).alias("s")).select("_key", "_row", "s.*")
+    distinct = tabled(rows.groupBy("fp").agg(F.min("codes").alias("codes"), F.min("n").alias("n"), F.min("leading").alias("leading"),
                                              F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "_row")).alias("best")))
-    maybe = components(links(distinct.select("fp", "codes"), radius, tile_rows, parts), "a", "b").withColumnRenamed("node", "fp")
+    maybe = components(shared_links(distinct, radius, least, tile_rows, parts), "a", "b").withColumnRenamed("node", "fp")
     groups = stored(distinct.join(maybe, "fp").select("root", "fp", "codes", "n", "best"))
     weight = F.sum(8 * F.col("n") + ROW_BYTES)
     large = groups.groupBy("root").agg(F.ceil(weight / block_bytes).cast("int").alias("blocks")).where("blocks > 1")

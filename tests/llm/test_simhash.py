@@ -156,6 +156,44 @@ def test_exact_overlap_decides(spark, block_bytes):
     assert len(set(label)) < len(texts) - 60
 
 
+def test_leading_hashes_of_an_overlap_meet():
+    random = np.random.default_rng(8)
+    for n in range(1, 60):
+        whole = np.unique(random.integers(0, 1 << 62, n).astype(np.uint64))
+        for least in (0.5, 0.8, 1.0):
+            fewer = int(least * len(whole) + 1e-9)
+            if fewer and fewer / len(whole) >= least:
+                part = np.sort(random.choice(whole, fewer, replace=False))
+                assert set(simhash._leading(whole, least).tolist()) & set(simhash._leading(part, least).tolist())
+    assert len(simhash._leading(whole[:0], 0.8)) == 0 and len(simhash._leading(np.arange(15, dtype=np.uint64), 0.8)) == 4
+
+
+def test_only_fingerprints_with_a_common_hash_are_compared(spark):
+    """Equal codes of texts without a common shingle are no candidates, however many they are."""
+    rows = [(k, [5, 5], 1, [1000 + k // 2 if k < 20 else 5000 + k]) for k in range(3000)]
+    distinct = spark.createDataFrame(rows, "fp long, codes array<long>, n long, leading array<long>")
+    found = {tuple(sorted(r)) for r in simhash.shared_links(distinct, 3, 0.8, parts=2).collect()}
+    assert found == {(k, k + 1) for k in range(0, 20, 2)}
+
+
+@pytest.mark.parametrize("tile_rows", [3, 40, 4096])
+def test_crowded_hashes_keep_every_link(spark, tile_rows):
+    """One line in all texts, texts of many lengths and a large group of near copies, in one tile a hash and in many."""
+    random = np.random.default_rng(9)
+    line = "a common line that stands in every one of these texts"
+    texts = []
+    for k in range(45):
+        words = prose(4000 + k, 2 + k % 9).split()
+        copy = list(words)
+        copy[random.integers(len(copy))] = "changed"
+        texts += [f"{line} {' '.join(words)}", f"{line} {' '.join(copy)}", f"{line} {' '.join(words[:int(len(words) * 0.85)])}"]
+    base = prose(8000, 8).split()
+    texts += [" ".join(base[:at] + ["changed"] + base[at + 1:]) for at in range(len(base))]
+    label = slow_groups(texts)
+    got = simhash.representatives(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tile_rows=tile_rows)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(label)) and 40 < len(set(label)) < len(texts) - 40
+
+
 def test_repeated_lines_join_nothing(spark):
     line = "one line of ten words that stands here many times\n"
     rows = [(k, prose(k, 40) + "\n" + line * 100) for k in (1, 2)]
