@@ -102,6 +102,34 @@ def test_search_equals_brute_force(spark, share):
     assert all(abs(got[k][1] - want[k][1]) < 1e-8 for k in want)
 
 
+def test_search_in_many_blocks_and_ranges(spark):
+    """Terms of several blocks and ranges, more than one share of questions, odd letters and words that a text repeats."""
+    rnd = random.Random(6)
+    vocabulary = ["the", "of", "a"] * 9 + ["가나다", "é𝒳z", "x"] * 3 + [f"w{i}" for i in range(50)]
+    corpus = [(i, " ".join(rnd.choices(vocabulary, k=rnd.randint(1, 30)))) for i in range(90)]
+    questions = [(i, " ".join(rnd.choices(vocabulary, k=8))) for i in range(5)] + [(9, "unknownword")]
+    frames = spark.createDataFrame(corpus + [(500, None)], "doc long, text string"), spark.createDataFrame(questions, "query long, text string")
+    # the text that is null counts as a document
+    for words, chars, terms in ((True, False, _words), (False, True, _pieces)):
+        brute = _brute_tfidf(corpus + [(500, "")], questions, terms)
+        got = K.search(*frames, k=4, words=words, chars=chars, block_bytes=4000, range_bytes=1000).collect()
+        want = {}
+        for q, _ in questions:
+            ranked = sorted(((round(brute[q, d], 9), d) for d, _ in corpus), key=lambda x: (-x[0], x[1]))
+            want.update({(q, i + 1): (d, s) for i, (s, d) in enumerate(ranked[:4]) if s > 0})
+        assert {(r["query"], r["rank"]): r["doc"] for r in got} == {k: v[0] for k, v in want.items()}
+        assert all(abs(r["score"] - want[r["query"], r["rank"]][1]) < 1e-8 for r in got)
+
+
+def test_search_stores_no_terms_of_documents(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(K, "shared_folder", lambda spark: str(tmp_path))
+    corpus = spark.range(300).selectExpr("id as doc", "concat_ws(' ', transform(sequence(1, 60), i -> concat('w', id * 60 + i))) as text")
+    K.search(corpus, spark.createDataFrame([(1, "w1 w2 nowhere")], "query long, text string"), k=3).collect()
+    stored = [spark.read.parquet(str(p)) for p in tmp_path.glob("search-*/df")]
+    # w1, w2, their pair and pieces, of 36,000 terms and more
+    assert len(stored) == 1 and sum(df.where("term is not null").count() for df in stored) < 60
+
+
 def test_containing_pairs_equal_all_pairs(spark):
     rnd = random.Random(1)
     left = sorted({"".join(rnd.choices("abc", k=rnd.randint(1, 12))) for _ in range(80)})
