@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import find_all, sub
 from ..functions.text import key
-from ..session import shared_folder
+from ..session import dropped_shuffles, shared_folder
 from .permits import containing_pairs
 
 # Weights of the two parts of the fused score.
@@ -218,6 +218,29 @@ def _occurrences(ranges: int):
     return count
 
 
+ASKED = "share bigint, part string, query array<{query}>, scale array<double>, n long, size long, terms binary, asking binary, tf binary, starts binary"
+
+
+def _questions(key: tuple, rows: pa.Table) -> pa.Table:
+    """The terms of the questions of one share and part in one compressed text, and of each term the questions that have it and how often.
+
+    A weight is the count times the idf, which a block knows of its terms, times the scale of the question.
+    """
+    queries, number = np.unique(rows["query"].to_numpy(), return_inverse=True)
+    encoded = rows["term"].combine_chunks().dictionary_encode()
+    term = encoded.indices.to_numpy()
+    order = np.lexsort((number, term))
+    scale = np.zeros(len(queries))
+    scale[number] = rows["scale"].to_numpy()
+    terms = encoded.dictionary.to_pylist()
+    raw = "\n".join(terms).encode()
+    starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(terms)))])
+    packed = [pa.array([_packed(raw)], pa.binary()), *[pa.array([_packed(x.astype("<i8").tobytes())], pa.binary()) for x in (number[order], rows["tf"].to_numpy()[order], starts)]]
+    return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([key[1].as_py()], pa.string()), pa.array([queries], pa.list_(rows.schema.field("query").type)),
+                     pa.array([scale], pa.list_(pa.float64())), pa.array([len(order)], pa.int64()), pa.array([len(raw)], pa.int64()), *packed],
+                    names=["share", "part", "query", "scale", "n", "size", "terms", "asking", "tf", "starts"])
+
+
 def rank_scores(scores: DataFrame, k: int) -> DataFrame:
     """Positive scores ranked per query; equal scores keep document order."""
     order = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "doc")
@@ -227,12 +250,12 @@ def rank_scores(scores: DataFrame, k: int) -> DataFrame:
 def _block_scores(k: int, documents: int, ranges: int):
     """Best documents of one block for the questions of one share: the cosine of weighted terms, summed over the parts."""
     def score(texts: pa.Table, weights: pa.Table) -> pa.Table:
-        kept_in = weights.schema.field("query").type.value_type.value_type
+        kept_in = weights.schema.field("query").type.value_type
         none = pa.table({"query": pa.array([], kept_in), "doc": pa.array([], texts.schema.field("doc").type), "score": pa.array([], pa.float64())})
-        asked = weights.filter(pc.is_valid(weights["term"])).combine_chunks()
+        asked = weights.filter(pc.is_valid(weights["terms"])).combine_chunks()
         if not texts.num_rows or not asked.num_rows:
             return none
-        queries = np.unique(pc.list_flatten(pc.list_flatten(asked["query"])).to_numpy())
+        queries = np.unique(pc.list_flatten(asked["query"]).to_numpy())
         docs = np.unique(texts["doc"].to_numpy())
         scores = np.zeros((len(docs), len(queries)))
         for part in ("w", "c"):
@@ -245,17 +268,22 @@ def _block_scores(k: int, documents: int, ranges: int):
             cells = weights.filter(pc.and_(pc.is_valid(weights["df"]), pc.equal(weights["part"], part))).combine_chunks()
             for at, n, packed in zip(cells["range"].to_pylist(), cells["n"].to_pylist(), cells["df"]):
                 df[of[at]] = np.frombuffer(_unpacked(packed, 4 * n), dtype="<u4")
-            weight = found.n * (np.log((1.0 + documents) / (df + 1)) + 1)[found.item]
+            idf = np.log((1.0 + documents) / (df + 1)) + 1
+            weight = found.n * idf[found.item]
             weight /= np.sqrt(np.bincount(found.row, weight * weight, len(docs)))[found.row]
             # columns of the dense pieces: the asked terms of this block
-            terms, asking, values = (pc.list_flatten(mine[c]).combine_chunks() for c in ("term", "query", "weight"))
-            place = found.places(terms.to_pylist())
-            known = np.flatnonzero(place >= 0)
+            n, size = mine["n"][0].as_py(), mine["size"][0].as_py()
+            place = found.places(_unpacked(mine["terms"][0], size).decode().split("\n"))
+            starts = np.frombuffer(_unpacked(mine["starts"][0], 8 * (len(place) + 1)), dtype="<i8")
+            asking, tf = (np.frombuffer(_unpacked(mine[c][0], 8 * n), dtype="<i8") for c in ("asking", "tf"))
+            place = np.repeat(place, np.diff(starts))
+            asking, tf, place = asking[place >= 0], tf[place >= 0], place[place >= 0]
+            known = np.unique(place)
             column = np.full(len(df), -1)
-            column[place[known]] = np.arange(len(known))
-            at, query = column[place[pc.list_parent_indices(asking).to_numpy()]], np.searchsorted(queries, pc.list_flatten(asking).to_numpy())
-            at[place[pc.list_parent_indices(asking).to_numpy()] < 0] = -1
-            value, term = pc.list_flatten(values).to_numpy(), column[found.item]
+            column[known] = np.arange(len(known))
+            at, term = column[place], column[found.item]
+            query = np.searchsorted(queries, mine["query"][0].values.to_numpy())[asking]
+            value = tf * idf[place] * mine["scale"][0].values.to_numpy()[asking]
             for start in range(0, len(known), TILE):
                 here, there = (term >= start) & (term < start + TILE), (at >= start) & (at < start + TILE)
                 left, right = np.zeros((len(docs), TILE)), np.zeros((TILE, len(queries)))
@@ -296,7 +324,8 @@ def search(corpus: DataFrame, questions: DataFrame, k: int, words: bool = True,
 
     def stored(df: DataFrame, name: str) -> DataFrame:
         # files tell the optimizer their size, so that few questions are broadcast and many are not
-        df.write.parquet(f"{path}/{name}")
+        with dropped_shuffles(spark):
+            df.write.parquet(f"{path}/{name}")
         return spark.read.parquet(f"{path}/{name}")
 
     share = F.pmod(F.xxhash64("query"), F.lit(shares)).alias("share")
@@ -309,13 +338,11 @@ def search(corpus: DataFrame, questions: DataFrame, k: int, words: bool = True,
     counted = stored(cells.groupBy("range").cogroup(wanted.groupBy("range")).applyInArrow(
         _merged, "range long, block long, part string, n long, df binary, term string, total long"), "df")
     known = counted.where("term is not null").select("part", "term", (F.log((F.lit(1.0) + documents) / (F.col("total") + 1)) + 1).alias("idf"))
-    raw = tf.join(known, ["part", "term"]).select("query", "part", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    raw = tf.join(known, ["part", "term"]).select("query", "part", "term", "tf", (F.col("tf") * F.col("idf")).alias("w"))
     norms = raw.groupBy("query", "part").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     of_part = F.when(F.col("part") == "w", WORD_WEIGHT if chars else 1.0).otherwise(CHAR_WEIGHT if words else 1.0)
-    asked = raw.join(norms, ["query", "part"]).groupBy("part", "term", share).agg(
-        F.collect_list("query").alias("queries"), F.collect_list(F.col("w") / F.col("norm") * of_part).alias("weights"))
-    asked = stored(asked.groupBy("share", "part").agg(F.collect_list(F.struct("term", "queries", "weights")).alias("a")).select(
-        "share", "part", F.col("a.term").alias("term"), F.col("a.queries").alias("query"), F.col("a.weights").alias("weight")), "asked")
+    asked = stored(raw.join(norms, ["query", "part"]).select(share, "part", "query", "term", "tf", (of_part / F.col("norm")).alias("scale")).groupBy(
+        "share", "part").applyInArrow(_questions, ASKED.format(query=query)), "asked")
 
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shares - 1).cast("bigint"))).alias("share")
     of_block = counted.where("block is not null").select("block", "range", "part", "n", "df", every)
