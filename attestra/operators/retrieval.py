@@ -66,14 +66,16 @@ def _pieces(words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     terms, owners, found = [], [], []
     for size in PIECES:  # a piece is the number of the piece one letter shorter and a letter, so codes stay small whatever the alphabet
         at = np.flatnonzero(place + size <= end)
-        _, first, which = np.unique(number[at] * len(letters) + one[at + size - 1], return_index=True, return_inverse=True)
+        distinct, which = np.unique(number[at] * len(letters) + one[at + size - 1], return_inverse=True)
+        first = np.empty(len(distinct), np.int64)
+        first[which] = at  # any place of a piece spells it
         number = number.copy()
         number[at] = which
         owners.append(owner[at])
         found.append(which + len(terms))
-        terms += [padded[i:i + size] for i in at[first].tolist()]
+        terms += [padded[i:i + size] for i in first.tolist()]
     owners = np.concatenate(owners)
-    return terms, np.concatenate(found)[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=len(words))
+    return terms, np.concatenate(found)[np.argsort(owners)], np.bincount(owners, minlength=len(words))
 
 
 @dataclass(frozen=True)
@@ -282,12 +284,15 @@ def _block_scores(k: int, documents: int, ranges: int):
             column = np.full(len(df), -1)
             column[known] = np.arange(len(known))
             at, term = column[place], column[found.item]
+            row, weight, term = found.row[term >= 0], weight[term >= 0], term[term >= 0]
+            order = np.argsort(term)
+            row, weight, term = row[order], weight[order], term[order]
             query = np.searchsorted(queries, mine["query"][0].values.to_numpy())[asking]
             value = tf * idf[place] * mine["scale"][0].values.to_numpy()[asking]
             for start in range(0, len(known), TILE):
-                here, there = (term >= start) & (term < start + TILE), (at >= start) & (at < start + TILE)
+                here, there = slice(*np.searchsorted(term, [start, start + TILE])), (at >= start) & (at < start + TILE)
                 left, right = np.zeros((len(docs), TILE)), np.zeros((TILE, len(queries)))
-                left[found.row[here], term[here] - start] = weight[here]
+                left[row[here], term[here] - start] = weight[here]
                 right[at[there] - start, query[there]] = value[there]
                 scores += left @ right
         # documents ascend, so a stable sort keeps their order among equal scores
